@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from readlake.llm import exact_dedup, packing, piece_bpe, quality
+from readlake.llm import exact_dedup, html_text, packing, pii, piece_bpe, quality
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
+        "op9_html_text": html_text.op9_html_text,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op1_pii": pii.SQL, "op3_exact_dedup": exact_dedup.SQL}
