@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readlake.llm import exact_dedup, html_text, packing, pii, piece_bpe, quality
+from readlake.llm import exact_dedup, html_text, lattice_lm, packing, pii, piece_bpe, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op9_html_text": html_text.op9_html_text,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_lattice_lm": lattice_lm.op6_lattice_lm,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
     }
