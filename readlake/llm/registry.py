@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from readlake.llm import exact_dedup, html_text, lattice_lm, packing, pii, piece_bpe, quality
+from readlake.llm import exact_dedup, html_text, lattice_lm, near_dedup, packing, pii, piece_bpe, quality
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_html_text": html_text.op9_html_text,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_quality_rules": quality.op5_quality_rules,
