@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from readlake.llm import exact_dedup, html_text, lattice_lm, near_dedup, packing, pii, piece_bpe, quality
+import corpus_pipeline
+from readlake.llm import exact_dedup, html_text, lattice_lm, near_dedup, packing, pii, piece_bpe, quality, tool_links, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
-        "op8_near_dedup": near_dedup.op8_near_dedup,
-        "op9_html_text": html_text.op9_html_text,
+        "op2_tool_links": tool_links.op2_tool_links,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_lattice_lm": lattice_lm.op6_lattice_lm,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_html_text": html_text.op9_html_text,
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
