@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keywords",)
+MODULES = ("keywords", "ledger", "shelving")
 
 
 def _modules():
