@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keywords", "ledger", "shelving")
+MODULES = ("ingest", "keywords", "layout", "ledger", "retrieval", "scalars", "shelving")
 
 
 def _modules():
