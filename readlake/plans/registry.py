@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "keywords", "layout", "ledger", "retrieval", "scalars", "shelving")
+MODULES = ("ingest", "keywords", "layout", "ledger", "retrieval", "scalars", "shelving", "streams", "study")
 
 
 def _modules():
