@@ -89,6 +89,8 @@ class FactorizationMachine:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> FactorizationMachine:
+        if not len(self.w):  # no term tells the classes apart: the bias stays
+            return self
         rng = np.random.default_rng(seed)
         g0, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
         for _ in range(epochs):
