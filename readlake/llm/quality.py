@@ -191,3 +191,39 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     good = judged(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_hash"])
     return docs.join(good, same, "left_semi").select(*docs.columns)
+
+
+_LOG_GAMMA = repr(math.log((1 + ALPHA) / (1 - ALPHA)))
+_GAMMA = repr((1 + ALPHA) / (1 - ALPHA))
+_SPLIT = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+
+def _sql_fences(keys: str) -> str:
+    """Documents and fences of each group and metric from the bins of ``b``."""
+    by = f"PARTITION BY {keys + ', ' if keys else ''}metric"
+    group = f"GROUP BY {keys + ', ' if keys else ''}metric"
+    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v!r}" for m, v in METRICS.items()) + " END"
+    value = f"CASE WHEN {{0}} = -10000 THEN 0 ELSE 2 * pow({_GAMMA}::DOUBLE, {{0}}) / ({_GAMMA} + 1) END"
+    return f"""(SELECT {keys + ", " if keys else ""}metric, total, q3 + {REACH} * greatest(q3 - q1, {least}) AS most, q1 - {REACH} * greatest(q3 - q1, {least}) AS least FROM (
+      SELECT {keys + ", " if keys else ""}metric, max(total) AS total, {value.format("min(bin) FILTER (upto >= total * 0.25)")} AS q1, {value.format("min(bin) FILTER (upto >= total * 0.75)")} AS q3 FROM (
+        SELECT *, sum(n) OVER ({by} ORDER BY bin) AS upto, sum(n) OVER ({by}) AS total FROM (SELECT {keys + ", " if keys else ""}metric, bin, count(*) AS n FROM b GROUP BY ALL)) {group}))"""
+
+
+#: The same rules as SQL, for documents whose doc_id is unique and whose only white space is ASCII.
+SQL = f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_SPLIT.format("coalesce(text, '')")} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\v\\f\\r]')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri WHERE g IS NOT NULL) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x))) AS n_caps, length(t) - length(replace(t, '!', '')) AS n_shouts
+  FROM w LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, unnest([{", ".join(f"'{x}'" for x in METRICS)}]) AS metric,
+  unnest([n_symbols / n_words, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, n_repeat_words / n_words, n_caps / n_words, n_shouts / n_words, word_chars / n_words]::DOUBLE[]) AS value FROM m WHERE n_words > 0),
+b AS (SELECT *, CASE WHEN value <= 1e-6 THEN -10000 ELSE ceil(ln(value) / {_LOG_GAMMA})::INT END AS bin FROM v),
+bad AS (SELECT DISTINCT v.doc_id FROM v LEFT JOIN {_sql_fences("lang, source")} s ON v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source AND v.metric = s.metric
+  LEFT JOIN {_sql_fences("lang")} l ON v.lang IS NOT DISTINCT FROM l.lang AND v.metric = l.metric JOIN {_sql_fences("")} a ON v.metric = a.metric
+  WHERE value > CASE WHEN s.total >= {MIN_GROUP} THEN s.most WHEN l.total >= {MIN_GROUP} THEN l.most ELSE a.most END
+  OR (v.metric IN ({", ".join(f"'{x}'" for x in LOWER)}) AND value < CASE WHEN s.total >= {MIN_GROUP} THEN s.least WHEN l.total >= {MIN_GROUP} THEN l.least ELSE a.least END))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+"""

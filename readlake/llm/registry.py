@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.SQL, "op3_exact_dedup": exact_dedup.SQL}
+    return {"op1_pii": pii.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_quality_rules": quality.SQL}
