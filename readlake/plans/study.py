@@ -13,7 +13,7 @@ from readlake.plans import scalars
 from readlake.sources.tables import table, with_views
 
 QUIZ = 6
-SUBTITLES = ("opening", "turn", "deepening", "hinge", "coda")
+SUBTITLES = ("beginning", "rise", "middle", "fall", "close")
 
 
 def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def spark():
         .config("spark.sql.warehouse.dir", f"{work}/warehouse")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
 
