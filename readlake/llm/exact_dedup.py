@@ -86,11 +86,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that stay, one row each, with the columns they came with."""
-    stay = classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    keyed = docs.withColumn("_digest", text_digest())
-    joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_digest"] == stay["_digest"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    """Documents that stay, one row each, with the columns they came with.  Texts are shuffled once, by one key."""
+    key = lambda digest: F.concat_ws("/", digest, F.col("doc_id").cast("string")).alias("_key")
+    stay = classes(docs).where("kept").select(key("text_sha256"))
+    joined = docs.select(F.struct(*docs.columns).alias("row"), key(text_digest())).join(stay, "_key", "left_semi")
+    return joined.dropDuplicates(["_key"]).select("row.*")
 
 
 SQL = """
