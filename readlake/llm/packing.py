@@ -36,7 +36,7 @@ from readlake.llm.common import materialize, small, table
 
 MAX_LEN = 4096
 END_ID = 1
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 1_500_000  # words whose ids a worker remembers
 LONG_WORD = 64  # bytes; longer ones aren't remembered
 PATTERNS = 30_000  # at most so many candidate patterns
 STEPS = 300
