@@ -428,6 +428,24 @@ def test_near_large_group_and_chain(spark):
     assert {x["class_id"] for x in r} == {0} and [x["doc_id"] for x in r if x["kept"]] == [399]
 
 
+def test_near_star_equals_brute_force(spark):
+    """Many edited copies of a base: each is similar to it, hardly any two of them to each other."""
+    rng, bases, texts = random.Random(21), [[f"s{b}w{i}" for i in range(600)] for b in range(2)], {}
+    for b, base in enumerate(bases):
+        for k in range(60):
+            own = list(base)
+            for at in rng.sample(range(0, 600, 6), 8):
+                own[at] = f"edit{b}x{k}x{at}"
+            texts[1000 * b + k] = own
+        texts[1000 * b + 500] = base
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert np.mean([jaccard(a, b) < 0.8 for a in range(60) for b in range(a)]) > 0.9 and min(jaccard(500, k) for k in range(60)) >= 0.8
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    r = near_dedup.near_classes(df).collect()
+    assert all(x["class_id"] == x["doc_id"] // 1000 * 1000 and x["class_size"] == 61 for x in r) and sum(x["kept"] for x in r) == 2
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in near_dedup.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
