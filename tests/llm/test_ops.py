@@ -461,6 +461,14 @@ def test_near_odd_inputs(spark, odd, empty):
     assert near_dedup.near_classes(empty).count() == 0
 
 
+def test_near_stage_keeps_one_of_each_class_under_any_ids(spark):
+    words = {n: [f"{n}{i}" for i in range(60)] for n in "abc"}
+    rows = [(None, " ".join(words["a"])), (None, " ".join(words["a"] + ["more"])), (None, " ".join(words["b"])), (5, " ".join(words["a"][::-1])), (5, " ".join(words["c"])), (5, " ".join(words["c"]))]
+    df = spark.createDataFrame(rows + [(0, " ".join(words["b"][::-1]))], "doc_id long, text string")
+    left = near_dedup.stage(spark, df, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"].split()[0]) for r in left) == [(False, 0, "b59"), (False, 5, "a59"), (False, 5, "c0"), (True, 0, "a0"), (True, 0, "b0")]
+
+
 # --- html
 
 
