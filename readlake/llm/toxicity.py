@@ -2,8 +2,9 @@
 
 1. A bounded sample of labelled training rows (SAMPLE at most, chosen by a hash of doc_id) is joined with
    its texts by broadcast.
-2. Each term's document counts by class are summed on the cluster; terms whose log-odds differ by at least
-   LEAST_Z standard errors are features (MOST_TERMS at most, those that differ most).
+2. Each term's document counts by class are summed on the cluster; all terms of LEAST_DOCS texts or more are
+   features (2 ** BITS at most).  A feature's value is (g / (g + EVIDENCE)) ** 2, where g is the log-likelihood ratio
+   of the term and the class, so that common terms without bearing weigh little and none is left out.
 3. The features of the sample's rows (nothing else) come to the driver, which fits a factorization machine
    by AdaGrad: a bias, a weight for each term and FACTORS latent factors for pairs of terms that meet in a
    text, such as an insult and a group.
@@ -33,9 +34,8 @@ from readlake.llm.common import materialize, small, table
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 20_000
 BITS = 20
-LEAST_Z = 4.0
+EVIDENCE = 16.0
 LEAST_DOCS = 4
-MOST_TERMS = 20_000
 FACTORS = 8
 EPOCHS, BATCH, RATE, L2 = 30, 256, 0.1, 1e-4
 THRESHOLD = 0.3
@@ -88,37 +88,41 @@ class FactorizationMachine:
         z = self.raw(np.array(features, np.int64)) if features else self.w0
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> FactorizationMachine:
-        if not len(self.w):  # no term tells the classes apart: the bias stays
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11, values: np.ndarray | None = None) -> FactorizationMachine:
+        """values: those of the features where a text has them (1 if not given); they go into the weights at the end."""
+        if not len(self.w):  # no terms: the bias stays
             return self
+        values = np.ones(len(self.w)) if values is None else values
         rng = np.random.default_rng(seed)
-        g0, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
+        # squared steps start at 1, so that terms of few texts, whose gradients are small, move little
+        g0, gw, gv = 1.0, np.ones_like(self.w), np.ones_like(self.v)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
-                flat = np.concatenate([rows[i] for i in pick]) if len(pick) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-                v = self.v[flat]
-                s = np.zeros((len(pick), v.shape[1]))
-                np.add.at(s, row, v)
-                pair = 0.5 * ((s * s).sum(axis=1) - np.bincount(row, (v * v).sum(axis=1), len(pick)))
-                z = np.clip(self.w0 + np.bincount(row, self.w[flat], len(pick)) + pair, -50, 50)
+                lengths = [len(rows[i]) for i in pick]
+                used, flat = np.unique(np.concatenate([rows[i] for i in pick]), return_inverse=True)
+                row = np.repeat(np.arange(len(pick)), lengths)
+                w, v = self.w[used], self.v[used]  # only what the batch holds is read and written
+                x = values[used][flat]
+                own = v[flat] * x[:, None]
+                s = np.stack([np.bincount(row, own[:, f], len(pick)) for f in range(v.shape[1])], axis=1)
+                pair = 0.5 * ((s * s).sum(axis=1) - np.bincount(row, (own * own).sum(axis=1), len(pick)))
+                z = np.clip(self.w0 + np.bincount(row, w[flat] * x, len(pick)) + pair, -50, 50)
                 error = 1 / (1 + np.exp(-z)) - y[pick]
-                e = error[row]
+                e = error[row] * x
                 d0 = error.sum()
                 g0 += d0 * d0
                 self.w0 -= RATE * d0 / math.sqrt(g0)
-                dw = np.bincount(flat, e, len(self.w))
-                used = np.unique(flat)
-                dw[used] += L2 * len(pick) * self.w[used]
-                gw += dw * dw
-                self.w -= RATE * dw / np.sqrt(gw)
-                dv = np.zeros_like(self.v)
-                np.add.at(dv, flat, e[:, None] * (s[row] - v))
-                dv[used] += L2 * len(pick) * self.v[used]
-                gv += dv * dv
-                self.v -= RATE * dv / np.sqrt(gv)
+                dw = np.bincount(flat, e, len(used)) + L2 * len(pick) * w
+                gw[used] += dw * dw
+                self.w[used] = w - RATE * dw / np.sqrt(gw[used])
+                step = e[:, None] * (s[row] - own)
+                dv = np.stack([np.bincount(flat, step[:, f], len(used)) for f in range(v.shape[1])], axis=1) + L2 * len(pick) * v
+                gv[used] += dv * dv
+                self.v[used] = v - RATE * dv / np.sqrt(gv[used])
+        self.w *= values
+        self.v *= values[:, None]
         return self
 
 
@@ -130,17 +134,13 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriz
     prior = bad / n if n else 0.0
     if not bad or bad == n:
         return {}, FactorizationMachine(0, prior)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (bad - F.col("a") + 0.5)) - F.log(b / (n - bad - F.col("b") + 0.5))
     counts = rows.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    chosen = (
-        counts.where(F.col("a") + F.col("b") >= LEAST_DOCS)
-        .withColumn("z", F.abs(odds / F.sqrt(1 / a + 1 / b)))
-        .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "slot")
-        .limit(MOST_TERMS)
-    )
-    features = {s: k for k, s in enumerate(sorted(r["slot"] for r in chosen.collect()))}
+    a, b = F.col("a"), F.col("b")
+    part = lambda seen, of, texts: F.when(seen > 0, 2 * seen * F.log(seen * n / (of * texts))).otherwise(0.0)
+    ratio = part(a, bad, a + b) + part(b, n - bad, a + b) + part(bad - a, bad, n - a - b) + part(n - bad - b, n - bad, n - a - b)
+    chosen = counts.where(a + b >= LEAST_DOCS).select("slot", ratio.alias("g")).toArrow().sort_by("slot")  # 2 ** BITS rows at most
+    features = {s: k for k, s in enumerate(chosen.column("slot").to_pylist())}
+    g = np.maximum(0.0, chosen.column("g").to_numpy())
     wanted = rows.sparkSession.sparkContext.broadcast(features)
 
     def reduced(batches):
@@ -152,7 +152,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriz
     sample = rows.mapInArrow(reduced, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")  # SAMPLE rows at most
     x = [np.array(f, np.int64) for f in sample.column("features").to_pylist()]
     y = sample.column("toxic").to_numpy().astype(float)
-    return features, FactorizationMachine(len(features), prior).fit(x, y)
+    return features, FactorizationMachine(len(features), prior).fit(x, y, values=(g / (g + EVIDENCE)) ** 2)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

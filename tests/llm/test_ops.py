@@ -165,6 +165,17 @@ def test_toxicity_held_out(spark, sf):
     assert hit.mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.65 and held[held.toxic == 0].predicted.mean() < 0.02
 
 
+def test_toxicity_sees_terms_of_toxic_texts_only(spark):
+    rng = random.Random(4)
+    texts = {i: " ".join(f"w{rng.randrange(300)}" for _ in range(40)) + (f" insult{i % 3}" if i % 8 == 0 else "") for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in texts], "doc_id long, toxic int")
+    features, _ = toxicity.fitted(docs, labels)
+    assert {toxicity.slot(f"insult{k}") for k in range(3)} <= set(features)
+    held = [r for r in toxicity.scored(docs, labels).collect() if r["held_out"]]
+    assert min(r["score"] for r in held if r["doc_id"] % 8 == 0) > max(r["score"] for r in held if r["doc_id"] % 8)
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
