@@ -3,9 +3,9 @@
 The parser's events become lines, one for each block of text, each with its text-to-tag ratio (characters
 over tags met since the line before).  Lines in elements or under class names that never hold the article
 (menus, adverts, forms, comments, ...) have ratio 0.  Ratios are smoothed with a Gaussian, two clusters
-of them set the threshold, and lines above it mark the content.  The content's region is the container
-(article, main, or else the body) that holds most marked text; all its lines that aren't boilerplate are
-returned, short ones too.
+of them set the threshold, and lines above it mark the content.  The content's regions are all outermost
+containers (article, main); without containers, the innermost element that holds MOST of the marked text and
+lines.  All their lines that aren't boilerplate are returned, short ones too.
 
 Cases: null or empty html, or a page without text, gives an empty text; broken markup is parsed as far as
 events go; every row has its result, repeated rows alike.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from readlake.llm.common import small, table
 
 SIGMA = 1.0
+MOST = 0.9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split()
@@ -31,6 +32,8 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "script style noscript template nav footer aside form iframe svg math button select textarea input object embed canvas audio video head title menu dialog".split()
 )
+#: What a head holds; other tags, and text, close one that is open.
+HEAD = frozenset("base link meta noscript script style template title".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Words of class and id names that mark what isn't the article.
 BOILERPLATE = frozenset(
@@ -51,25 +54,27 @@ CLOSES = {
 
 
 class Lines(HTMLParser):
-    """lines: [text, tags, container number or -1, dropped]."""
+    """lines: [text, tags, container number or -1, dropped, region]; a region is the number of the element around the line's own block, or -1."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, dropped, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, dropped, container, number of the block
+        self.around: list[int] = []  # of each block, by number: that around it
+        self.regions: list[int] = []  # of each block, by number: the region of its lines
         self.held: list[str] = []
         self.tags = 0
         self.containers = 0
 
-    def state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, -1)
+    def state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, -1, -1)
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         self.held.clear()
         if text:
-            dropped, container = self.state()
-            self.lines.append([text, self.tags, container, dropped])
+            dropped, container, block = self.state()
+            self.lines.append([text, self.tags, container, dropped, self.regions[block] if block >= 0 else -1])
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -79,6 +84,8 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.held.append(" ")
         self.tags += 1
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in HEAD):
+            self.shut_head()
         if tag in VOID:
             return
         if not inline:
@@ -89,7 +96,7 @@ class Lines(HTMLParser):
                 depth -= 1
                 if self.stack[depth][0] in shut:
                     del self.stack[depth:]
-        dropped, container = self.state()
+        dropped, container, block = self.state()
         inside = container >= 0
         names = {w.lower() for k, v in attrs if k in ("class", "id") and v for w in _NAMES.findall(v)}
         role = {w for k, v in attrs if k == "role" and v for w in _WORDS.findall(v.lower())}
@@ -97,10 +104,20 @@ class Lines(HTMLParser):
         bad = tag in DROPPED or hidden or bool(role & ROLES) or (tag == "header" and not inside)
         if names & BOILERPLATE and (not names & WRAPPERS or names & {"comment", "comments", "ad", "ads", "related"}) and tag not in ("html", "body", "h1"):
             bad = True
-        if (tag in CONTAINERS or "main" in role) and not bad and not dropped:
+        if (tag in CONTAINERS or "main" in role) and not bad and not dropped and not inside:
             container = self.containers
             self.containers += 1
-        self.stack.append((tag, dropped or bad, container))
+        if not inline:
+            self.around.append(block)
+            block = len(self.around) - 1
+            self.regions.append(block if tag in ("html", "body") else self.around[block])
+        self.stack.append((tag, dropped or bad, container, block))
+
+    def shut_head(self) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == "head":
+                del self.stack[k:]
+                return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -114,6 +131,8 @@ class Lines(HTMLParser):
                 return  # a stray end tag closes no block
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.shut_head()
         self.held.append(data)
 
     def unknown_decl(self, data: str) -> None:
@@ -148,6 +167,24 @@ def two_clusters(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def chosen_region(parser: Lines, marked: list[bool]) -> list[bool]:
+    """Whether each line lies in the innermost element that holds MOST of the marked text and of the marked lines."""
+    size = len(parser.around)
+    text, count = [0] * (size + 1), [0] * (size + 1)  # the last is the page
+    for line, m in zip(parser.lines, marked, strict=True):
+        if m:
+            text[line[4]] += len(line[0])
+            count[line[4]] += 1
+    for k in range(size - 1, -1, -1):  # an element's number is less than those in it
+        text[parser.around[k]] += text[k]
+        count[parser.around[k]] += count[k]
+    best = max((k for k in range(size) if text[k] >= MOST * text[-1] and count[k] >= MOST * count[-1]), default=-1)
+    inside = [best < 0] * (size + 1)
+    for k in range(size):
+        inside[k] = k == best or inside[parser.around[k]]
+    return [inside[line[4]] for line in parser.lines]
+
+
 def main_text(html: str) -> list[str]:
     """The blocks of the page's main text, in order."""
     parser = Lines()
@@ -155,17 +192,14 @@ def main_text(html: str) -> list[str]:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not any(not dropped for *_, dropped in lines):
+    if not any(not dropped for *_, dropped, _ in lines):
         return []
-    ratios = smoothed([0.0 if dropped else math.log1p(len(text) / max(1, tags)) for text, tags, _, dropped in lines])
+    ratios = smoothed([0.0 if dropped else math.log1p(len(text) / max(1, tags)) for text, tags, _, dropped, _ in lines])
     threshold = two_clusters(ratios)
-    mass: dict[int, int] = {}
-    for (text, _, container, dropped), ratio in zip(lines, ratios, strict=True):
-        if not dropped and ratio >= threshold:
-            mass[container] = mass.get(container, 0) + len(text)
-    boxes = {k: v for k, v in mass.items() if k >= 0}
-    best = max(boxes, key=lambda k: (boxes[k], -k)) if boxes else -1
-    return [text for text, _, container, dropped in lines if not dropped and (best < 0 or container == best)]
+    marked = [not line[3] and ratio >= threshold for line, ratio in zip(lines, ratios, strict=True)]
+    boxed = [line[2] >= 0 and not line[3] for line in lines]
+    inside = boxed if any(boxed) else chosen_region(parser, marked)
+    return [line[0] for line, i in zip(lines, inside, strict=True) if i and not line[3]]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

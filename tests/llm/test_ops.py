@@ -495,6 +495,28 @@ def test_html_main_text():
     html_text.main_text("<![if x]><p>a<![endif]--> <!-- open <div <p")
 
 
+def test_html_nested_and_sibling_containers():
+    long = "A long paragraph of the text that goes on for quite a while, number "
+    page = f"<main><h1>Title</h1><p>{long}0</p><article><p>{long}1</p></article><article><p>{long}2</p><p>{long}3</p></article><p>Outro</p></main>"
+    assert html_text.main_text(page) == ["Title", *(f"{long}{k}" for k in range(4)), "Outro"]
+    page = f"<div><a href=x>Link</a></div><article><p>{long}1</p></article><article><p>{long}2</p><p>{long}3</p></article>"
+    assert html_text.main_text(page) == [f"{long}{k}" for k in range(1, 4)]
+
+
+def test_html_open_head():
+    for page in ("<html><head><title>T</title><body><p>Text</p>", "<head><meta charset=x><title>T</title><p>Text", "<head><title>T</title>Text"):
+        assert html_text.main_text(page) == ["Text"]
+
+
+def test_html_plain_divs():
+    long = "A long paragraph of the text that goes on for quite a while, as texts do, number "
+    links = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(12))
+    text = "".join(f"<div>{long}{k}</div>" for k in range(6))
+    page = f"<body><div class=x1><ul>{links}</ul></div><div class=x2><div><h1>Title</h1></div>{text}<p>Short.</p></div><div class=x3><ul>{links}</ul></div>"
+    assert html_text.main_text(page) == ["Title", *(f"{long}{k}" for k in range(6)), "Short."]
+    assert html_text.main_text("<div>First</div><div>Second, longer than that by far, and then some more</div>") == ["First", "Second, longer than that by far, and then some more"]
+
+
 def test_html_on_the_test_pages(spark, sf):
     import html as entities
 
