@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share.  Where none is configured, a local session gets a temporary one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-readlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,15 +37,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder whose every reader has been written elsewhere."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def small(batches, rows: int = 256):
-    """Arrow batches in slices of so many rows, to bound what a task holds at a time."""
+def small(batches, rows: int = 256, size: int = 4 << 20):
+    """Arrow batches in slices of so many rows and about so many bytes of text, to bound what a task holds at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        n = batch.num_rows
+        weight = sum(
+            (pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)),
+            start=0,
+        )
+        at = 0
+        while at < n:
+            stop = min(n, at + rows)
+            if not isinstance(weight, int):
+                stop = at + max(1, int((weight[at:stop].cumsum() <= size).sum()))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
