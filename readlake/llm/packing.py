@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ from readlake.llm.common import materialize, small, table
 
 MAX_LEN = 4096
 END_ID = 1
-CACHE = 1_500_000  # words whose ids a worker remembers
+CACHE = 64 << 20  # bytes that a worker's words and their ids may take
+OVERHEAD = 200  # bytes of an entry beside its word and ids
 LONG_WORD = 64  # bytes; longer ones aren't remembered
 PATTERNS = 30_000  # at most so many candidate patterns
 STEPS = 300
@@ -50,6 +52,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered:
+    """Bytes by key, in two generations: when the younger is full, the elder goes, so what is used often stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit // 2, 0
+        self.young: dict = {}
+        self.elder: dict = {}
+
+    def missing(self, keys) -> list:
+        """Keys that aren't known; the others are in ``young`` from now on."""
+        if self.held > self.limit:
+            self.young, self.elder, self.held = {}, self.young, 0
+        young, elder, out = self.young, self.elder, []
+        for k in keys:
+            if k not in young:
+                if k in elder:
+                    self.put(k, elder[k])
+                else:
+                    out.append(k)
+        return out
+
+    def put(self, key, value: bytes) -> None:
+        self.young[key] = value
+        self.held += OVERHEAD + len(key) + len(value)
+
+    def forget(self, keys) -> None:
+        for k in keys:
+            self.held -= OVERHEAD + len(k) + len(self.young.pop(k))
+
+
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes.
 
@@ -66,8 +98,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.words, self.cores = Remembered(CACHE * 2 // 3), Remembered(CACHE // 3)
 
     def halves(self, word: str) -> tuple[str, str]:
         """Two strings whose ids make up the word's; a word that isn't letters and punctuation stays whole."""
@@ -78,33 +109,39 @@ class WordEncoder:
             return word, ""
         return m[1].lower() if m[1].isascii() else m[1], m[2]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode("utf-8", "replace").split() for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        pairs = [self.halves(w.decode("utf-8")) for w in new]
-        cores = [x for x in {y for pair in pairs for y in pair} if x not in self.cores]
-        if len(self.cores) > CACHE:
-            self.cores = {"": b""}
-            cores = list({y for pair in pairs for y in pair} - {""})
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        new = self.words.missing(words)
+        pairs = [self.halves(w) for w in new]
+        cores = self.cores.missing({y for pair in pairs for y in pair})
         found = self.encode(cores, add_special_tokens=False) if cores else []
-        self.cores.update(zip(cores, [array.array("I", e.ids).tobytes() for e in found], strict=True))
-        known.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in zip(new, pairs, strict=True))
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
-        for x in cores:
-            if len(x) > LONG_WORD:
-                del self.cores[x]
+        for x, e in zip(cores, found, strict=True):
+            self.cores.put(x, array.array("I", e.ids).tobytes())
+        part = self.cores.young
+        for w, (a, b) in zip(new, pairs, strict=True):
+            self.words.put(w, part[a] + part[b])
+        known = self.words.young
+        out = [known[w] for w in words]
+        self.words.forget([w for w in new if len(w) > LONG_WORD])
+        self.cores.forget([x for x in cores if len(x) > LONG_WORD])
         return out
 
+    def ids(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text.  Words are split, numbered and put together again by Arrow; only distinct ones are looked at."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = words.flatten().dictionary_encode()
+        ids = pa.array(self.learn(numbered.dictionary.to_pylist()), pa.large_binary()).take(numbered.indices)
+        if not len(ids):
+            return [memoryview(b"")] * len(texts)
+        edges = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :]
+        at = edges[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
 
 @functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker, which Spark uses for many tasks."""
+    """One for each Python worker, which Spark uses for many tasks; what it remembers is bounded in bytes."""
     return WordEncoder(path)
 
 
@@ -114,19 +151,19 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
 
     def cut(batches):
         encoder, end = word_encoder(tokenizer), array.array("I", [end_id]).tobytes()
-        for batch in small(batches):
+        for batch in small(batches, 4096):
             out = []
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * max_len)):
-                    part = ids[at : at + 4 * max_len]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(batch.column("text")), strict=True):
+                n, size = len(ids) // 4 + 1, 4 * max_len
+                for k, at in enumerate(range(0, 4 * n, size)):
+                    part, last = ids[at : at + size], at + size >= 4 * n
+                    crc = zlib.crc32(end, zlib.crc32(part)) if last else zlib.crc32(part)
+                    out.append((doc, k, at // 4, len(part) // 4 + last, crc))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
 def exact_patterns(hist: np.ndarray, size: int) -> np.ndarray:

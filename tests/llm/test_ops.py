@@ -5,11 +5,13 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS).select("*", *extra)
 
 
+@pytest.fixture(scope="module")
+def larger(sf):
+    """A larger set of the tables beside the small one, where there is one."""
+    path = os.environ.get("TEST_LARGER_SF_DIR", os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1"))
+    return path if os.path.isdir(path) else sf
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOCS)
@@ -156,9 +165,9 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
 # --- toxicity
 
 
-def test_toxicity_held_out(spark, sf):
-    r = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").toPandas()
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
+def test_toxicity_held_out(spark, larger):
+    r = toxicity.op4_toxicity(spark, larger).toPandas()
+    labels = spark.read.parquet(f"{larger}/labels.parquet").toPandas()
     held = r[r.held_out].merge(labels, on="doc_id")
     assert (held.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id]).all()
     hit = held.predicted == held.toxic
@@ -228,9 +237,8 @@ def test_quality_sketches_merge_and_bound_quantiles(spark):
     assert f["word_len_least"] == pytest.approx(q1 - 3 * max(q3 - q1, 1.0), abs=0.2) and f["word_len_most"] == pytest.approx(q3 + 3 * max(q3 - q1, 1.0), abs=0.2)
 
 
-def test_quality_finds_junk_and_keeps_clean(spark):
-    sf = "/root/testdata/sf0.1"
-    r = quality.op5_quality_rules(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+def test_quality_finds_junk_and_keeps_clean(spark, larger):
+    r = quality.op5_quality_rules(spark, larger).toPandas().merge(spark.read.parquet(f"{larger}/labels.parquet").toPandas(), on="doc_id")
     judged = r[~r.base_failed]
     assert (~judged[judged.quality == 0].kept).mean() > 0.95 and judged[judged.quality == 1].kept.mean() > 0.99
 
@@ -314,7 +322,16 @@ def test_word_encoder_equals_tokenizer():
     t, e, rng = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer()), random.Random(2)
     bits = list("aabcDE  \n\t.,!'12") + ["é", "日本", "😀", "́", "\xa0", "\x85", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "Σ", "İ", "***", "İ,"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
-    assert e.ids(texts) == [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [bytes(x) for x in e.ids(pa.array(texts))] == want and [bytes(x) for x in e.ids(pa.array(texts).slice(700, 300))] == want[700:1000]
+
+
+def test_remembered_words_are_bounded():
+    r = packing.Remembered(10 * packing.OVERHEAD)
+    for k in range(100):
+        for x in r.missing([f"w{k}", "often"]):
+            r.put(x, b"1234")
+    assert "often" in r.young and len(r.young) + len(r.elder) < 14
 
 
 def check_packing(df, spark):
@@ -457,6 +474,60 @@ def test_near_star_equals_brute_force(spark):
     assert all(x["class_id"] == x["doc_id"] // 1000 * 1000 and x["class_size"] == 61 for x in r) and sum(x["kept"] for x in r) == 2
 
 
+def test_near_recall_on_the_tables(spark, larger):
+    """All pairs of different texts whose exact weighted Jaccard similarity (TF or TF-IDF) reaches 0.8, against the classes."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{larger}/documents.parquet").collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    grams = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
+        grams[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    df = collections.Counter(x for c in grams.values() for x in c)
+    idf = {x: min(1.0, max(near_dedup.IDF_LEAST, math.log(len(texts) / n) / math.log(1 / near_dedup.RARE))) for x, n in df.items()}
+    # two multisets of similarity s share one of the rarest shingles that make up 1 - s of the weight of either
+    index, pairs = collections.defaultdict(list), set()
+    for i, c in grams.items():
+        ranked, total, so_far = sorted(c, key=lambda x: (df[x], x)), sum(c.values()), 0.0
+        for x in ranked:
+            pairs.update((j, i) for j in index[x])
+            index[x].append(i)
+            so_far += c[x] * near_dedup.IDF_LEAST  # weights are at least this share of the counts
+            if so_far > (1 - near_dedup.SIMILARITY) * total:
+                break
+    wanted = []
+    for i, j in pairs:
+        a, b = grams[i], grams[j]
+        both = a & b
+        plain = sum(both.values()) / (sum(a.values()) + sum(b.values()) - sum(both.values()))
+        weigh = lambda c: sum(n * idf[x] for x, n in c.items())
+        if a != b and max(plain, weigh(both) / (weigh(a) + weigh(b) - weigh(both))) >= near_dedup.SIMILARITY:
+            wanted.append((i, j))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.read.parquet(f"{larger}/documents.parquet")).collect()}
+    assert wanted and np.mean([got[i] == got[j] for i, j in wanted]) >= 0.98
+
+
+def test_near_document_frequencies_are_near_the_truth():
+    rng = np.random.default_rng(1)
+    often, n = rng.integers(0, 2**32, 50).astype(np.uint32), 4000
+    table_ = np.zeros((2, 1 << near_dedup.DF_BITS), np.int64)
+    for _ in range(n):
+        keys = np.unique(np.concatenate([often[rng.random(50) < np.linspace(0.02, 0.9, 50)], rng.integers(0, 2**32, 300).astype(np.uint32)]))
+        for k, at in enumerate(near_dedup.slots(keys)):
+            np.add.at(table_[k], at, 1)
+    one, two = near_dedup.slots(often)
+    held = near_dedup.holders(table_)
+    assert np.minimum(held[0][one], held[1][two]) / n == pytest.approx(np.linspace(0.02, 0.9, 50), abs=0.03)
+    idf = near_dedup.idf_of(often, near_dedup.idf_tables(table_, n))
+    assert idf.min() >= near_dedup.IDF_LEAST and idf[0] > idf[-1]
+
+
+def test_near_runs_pair_members_of_different_components():
+    run = [(b"a", b"a", 1.0, 0), (b"b", b"b", 3.0, 0), (b"c", b"b", 2.0, 0), (b"d", b"d", 0.5, 0)]
+    hubs, partners = near_dedup._partners(run, 0)
+    assert [h[0] for h in hubs] == [b"b", b"a"] and partners == [[b"b"], [b"a"], [b"a"], [b"b", b"a", b"c"]]
+    assert near_dedup._partners(run[1:3], 0)[1] == []
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in near_dedup.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
