@@ -10,24 +10,34 @@ STOP_WORDS = tuple(
     "who whom whose which what when where why how all any both each few more most other some such only own same so than too very just also as if "
     "because while until then again once up down out off".split()
 )
-ABBREVIATIONS = tuple("mr mrs ms dr prof st jr sr vs etc no vol fig pp ch".split())
+ABBREVIATIONS = tuple("mr mrs ms dr st prof vs etc fig no vol approx dept inc ltd".split())
 ENGLISH_HINTS = tuple("the and of to in is that it for with as was be on this".split())
 NEVER_NAMES = tuple(
     "The A An He She It They We You I This That These Those There Here And But Or Nor So Yet If When Then Now While What Which Who Whom Whose Why How Where "
     "In On At To Of By For From With As Into Over Under No Not Never Yes All Some Many Most Each Every Both Such His Her Its Their Our Your My Is Are Was Were Be".split()
 )
 ARTICLES = tuple("the a an his her its their our your my this that these those".split())
-SPEECH_VERBS = tuple("said asked replied answered whispered called cried told thought".split())
+SPEECH_VERBS = tuple("said says asked answered added told shouted muttered remarked".split())
 MOODS = (
-    ("calm", ("quiet", "still", "soft", "hush", "rest")),
-    ("warm", ("fire", "warm", "lamp", "gold", "tea")),
-    ("uneasy", ("cold", "dark", "shadow", "fear", "iron")),
-    ("wonder", ("light", "star", "sky", "sea", "bright")),
-    ("sorrow", ("loss", "tears", "old", "gone", "rain")),
+    ("joyful", ("laugh", "smile", "delight", "merry", "cheer")),
+    ("tense", ("danger", "alarm", "threat", "sudden", "nervous")),
+    ("tender", ("gentle", "love", "kind", "dear", "embrace")),
+    ("bleak", ("barren", "bitter", "despair", "ruin", "ash")),
+    ("curious", ("strange", "puzzle", "secret", "question", "riddle")),
 )
-TIMES = (("night", ("night", "moon", "star")), ("morning", ("dawn", "morning", "early")), ("noon", ("noon", "sun")), ("evening", ("dusk", "evening", "lamp")))
-INSIDE = ("room", "hall", "door", "house", "wall", "stair")
-OUTSIDE = ("street", "road", "field", "forest", "sea", "river")
+TIMES = (("night", ("nightfall", "asleep", "owl")), ("morning", ("daybreak", "breakfast", "cock")), ("noon", ("midday", "lunch")), ("evening", ("nightcap", "supper", "curfew")))
+INSIDE = ("ceiling", "corridor", "cupboard", "bed", "desk", "carpet")
+OUTSIDE = ("meadow", "harbour", "beach", "path", "cliff", "orchard")
+#: Words that open a request and name nobody.
+REQUESTS = tuple("Please Could Would Can Summarise Explain Define List Find Compare Translate Help Write Who What Make The A An".split())
+#: What a question is about: the first pattern found in it decides.
+INTENTS = (
+    ("summary", "summar|recap|overview|in short"), ("cast", "who |character|persons"), ("theme", "theme|about|meaning|moral"), ("define", "define|vocabular|synonym|term"),
+    ("explain", "explain|clarify|passage"), ("scene", "scene|film|picture|stage"),
+)
+#: Words that ask for long and for short drafts.
+LONG_CUES = tuple("lengthy thorough in-depth multi-chapter saga long detailed unabridged".split())
+SHORT_CUES = tuple("short quick tiny brief one-page snippet haiku".split())
 WORDS_PER_MINUTE = 230  # fixed value
 FINISHED = 99.5  # fixed value: progress that counts as finished
 UPLOAD_LIMIT_MB = 25  # fixed value
@@ -44,17 +54,13 @@ FORMATS = (
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
 #: Cue words that make questions of conversation turns.
 CUES = ("Please summarise: ", "Who is here: ", "What is the theme: ", "Define this word: ", "Explain the passage: ", "Make it a film: ", "")
-CATALOG = (
-    ("openlab/quick-8b:free", "Quick 8B", 32768, 0.0, 0.0),
-    ("openlab/quick-8b", "Quick 8B paid", 32768, 1e-7, 2e-7),
-    ("mistralai/tale-70b:free", "Tale 70B", 131072, 0.0, 0.0),
-    ("google/large-27b:free", "Large 27B", 65536, 0.0, 0.0),
-    ("deepseek/builder-coder-33b:free", "Builder Coder", 163840, 0.0, 0.0),
-    ("x:user/ft", "Private tune", 4096, 0.0, 0.0),
-    ("openlab/tiny-3b:free", "Tiny 3B", 8192, 0.0, 0.0),
-)
-#: profile, family fragment, bonus.
-FAMILIES = (("creative", "tale", 150.0), ("creative", "large", 80.0), ("fast", "quick", 120.0), ("fast", "tiny", 111.0), ("fast", "large", 30.0), ("fast", "tale", 40.0))
+#: Catalogue ranking: for each profile what a size of ten and a context of CONTEXT_CAP are worth.
+CONTEXT_CAP = 131072
+PROFILES = (("creative", 12.0, 6.0), ("fast", -4.0, 9.0))
+#: profile, fragment of an id, bonus.
+FAMILIES = (("creative", "widget", 5.0), ("creative", "red", 3.0), ("fast", "bolt", 4.0), ("fast", "small", 2.5), ("fast", "gear", -2.0))
+#: Makers by the pattern of their ids, and what being one of them is worth.
+MAKERS = (("^brand-1[0-9]/", 2.0), ("^brand-[1-4]/", 1.0))
 
 
 def sql_list(values) -> str:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.functions import text as T
+from readlake.plans.scalars import strip_licence
 from readlake.sources.tables import books, lines, passages, table, with_views
 
-DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button")
+DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button", "figcaption")
 HTML_STEPS = (("(?s)<!--.*?-->", ""), *((rf"(?is)<{e}(\s[^>]*)?>.*?</{e}\s*>", "") for e in DROPPED))
 BLOCK_STEPS = ((r"(?i)<(h[1-6]|p|li|blockquote|pre)(\s[^>]*)?>", "\x01$1\x02"), (r"(?i)</(h[1-6]|p|li|blockquote|pre)\s*>", "\x01\x02"))
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -20,7 +21,9 @@ PART_WORDS, LEAST_PART, WHOLE = 2800, 840, 6000  # fixed values of the fallback
 
 def html_line_rows(pages: DataFrame) -> DataFrame:
     """page_id, line_no, tag, text, heading: the readable blocks of pages in order."""
-    body = T.replaced(F.col("html"), HTML_STEPS)
+    # one pass takes comments and dropped elements; the column is bound once, as all arms below use it
+    pages = pages.select("page_id", F.regexp_replace("html", rf"(?is)<!--.*?-->|<({'|'.join(DROPPED)})(?:\s[^>]*)?>.*?</\1\s*>", "").alias("body"))
+    body = F.col("body")
     scope = F.lit(None).cast("string")
     for e in ("article", "main", "body"):
         scope = F.coalesce(scope, F.nullif(F.regexp_extract(body, rf"(?is)<{e}(?:\s[^>]*)?>(.*)", 1), F.lit("")))
@@ -65,10 +68,12 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of texts with any of the three line ends."""
+    """Lines of texts with any of the three line ends, without an e-book's licence."""
     raw = F.regexp_replace("text", "\n", F.lit("\r\n"))
     raw = F.when(F.col("doc_id") % 2 == 0, raw).otherwise(F.replace("text", F.lit("\n"), F.lit("\r")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace(raw, "\r\n?", "\n"), "\n")).alias("line_no", "text"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("*** START OF THE PROJECT GUTENBERG EBOOK ***\n"), raw, F.lit("*** END OF THE PROJECT GUTENBERG EBOOK ***"))).otherwise(raw)
+    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", strip_licence(F.col("raw")).alias("raw"))
+    return d.select("doc_id", F.posexplode(F.split(F.regexp_replace("raw", "\r\n?", "\n"), "\n")).alias("line_no", "text"))
 
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,16 +141,19 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_parts(paras: DataFrame) -> DataFrame:
-    """book_id, k, part, whole of paragraphs (book_id, k, words): parts close once they reach PART_WORDS; a small last one joins that before."""
+    """book_id, k, part, whole of paragraphs (book_id, k, words): parts close once they reach PART_WORDS; a small last one joins that before.
+
+    The fold keeps where parts end, not the paragraphs.
+    """
     per = paras.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("k", "words"))).alias("ps"), F.sum("words").alias("total"))
     fold = F.expr(
-        f"""aggregate(ps, named_struct('part', 0, 'n', 0L, 'out', cast(array() as array<struct<k:int,words:int,part:int>>)),
-          (a, p) -> named_struct('part', a.part + if(a.n + p.words >= {PART_WORDS}, 1, 0), 'n', if(a.n + p.words >= {PART_WORDS}, 0L, a.n + p.words),
-            'out', concat(a.out, array(named_struct('k', p.k, 'words', p.words, 'part', a.part)))))"""
+        f"""aggregate(ps, named_struct('n', 0L, 'ends', cast(array() as array<int>)),
+          (a, p) -> if(a.n + p.words >= {PART_WORDS}, named_struct('n', 0L, 'ends', concat(a.ends, array(p.k))), named_struct('n', a.n + p.words, 'ends', a.ends)))"""
     )
-    f = per.withColumn("f", fold).select("book_id", "total", F.col("f.part").alias("last"), F.col("f.n").alias("open"), F.explode("f.out").alias("p"))
-    small = (F.col("p.part") == F.col("last")) & (F.col("open") < LEAST_PART) & (F.col("last") > 0)
-    part = F.when(F.col("total") < WHOLE, 0).when(small, F.col("p.part") - 1).otherwise(F.col("p.part"))
+    f = per.withColumn("f", fold).select("book_id", "total", F.size("f.ends").alias("last"), F.col("f.n").alias("open"), "f.ends", F.explode("ps").alias("p"))
+    f = f.withColumn("own", F.size(F.filter("ends", lambda e: e < F.col("p.k"))))
+    small = (F.col("own") == F.col("last")) & (F.col("open") < LEAST_PART) & (F.col("last") > 0)
+    part = F.when(F.col("total") < WHOLE, 0).when(small, F.col("own") - 1).otherwise(F.col("own"))
     return f.select("book_id", F.col("p.k").alias("k"), F.col("p.words").alias("words"), part.alias("part"), (F.col("total") < WHOLE).alias("whole"))
 
 
@@ -181,14 +189,16 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     for test, points, note in rules:
         score -= F.when(test, points).otherwise(0)
         notes.append(F.when(test, note))
+    heads = F.size(F.filter(F.split("text", "\n"), T.is_heading))
+    notes.append(F.when((F.col("n") > 4000) & (heads <= 1), "no headings"))
     return d.select("doc_id", F.greatest(F.lit(5), F.least(F.lit(98), score)).alias("score"), F.array_join(F.array_compact(F.array(*notes)), "; ").alias("notes"))
 
 
 def verify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether documents yielded anything to read; the first failure names the reason."""
-    s = doc_stats(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select("doc_id").join(s, "doc_id", "left")
-    reason = F.when(F.coalesce("passages", F.lit(0)) == 0, "no passages").when(F.col("words") < 10, "too short").otherwise("ok")
+    c = chapter_stats(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum("passages").alias("passages"), F.sum("words").alias("words"), F.min("words").alias("least"))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(c, "doc_id", "left")
+    reason = F.when(F.coalesce("chapters", F.lit(0)) == 0, "no chapters").when(F.col("passages") == 0, "no passages").when(F.col("least") == 0, "empty chapter").when(F.col("words") < 10, "too short").otherwise("ok")
     return d.select("doc_id", reason.alias("reason"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
@@ -259,11 +269,11 @@ SELECT g.book_id, words, total, (CASE WHEN total < {WHOLE} THEN 0 WHEN part = la
     "doc_stats": with_views(f"SELECT doc_id, sum(len({_SW('text')}))::BIGINT AS words, (sum(length(text)) + count(*) - 1)::BIGINT AS chars, count(*) AS passages, count(DISTINCT chapter_idx) AS chapters FROM passages GROUP BY doc_id"),
     "chapter_stats": with_views(f"SELECT doc_id, chapter_idx, sum(len({_SW('text')}))::BIGINT AS words, count(*) AS passages, min(chunk_idx) <= doc_id * 7 % 12 AS read FROM passages GROUP BY doc_id, chapter_idx"),
     "quality_score": f"""SELECT doc_id, greatest(5, least(98, 100 - CASE WHEN g > 0.02 THEN 25 WHEN g > 0.005 THEN 10 ELSE 0 END - CASE WHEN n > 0 AND a < 3.1 THEN 15 ELSE 0 END - CASE WHEN n > 0 AND s > 0.32 THEN 10 ELSE 0 END - CASE WHEN n < 120 THEN 30 ELSE 0 END))::INT AS score,
-concat_ws('; ', CASE WHEN g > 0.02 THEN 'noise' WHEN g > 0.005 THEN 'some noise' END, CASE WHEN n > 0 AND a < 3.1 THEN 'short words' END, CASE WHEN n > 0 AND s > 0.32 THEN 'layout debris' END, CASE WHEN n < 120 THEN 'little text' END) AS notes
-FROM (SELECT doc_id, len(w) AS n, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\p{{P}}\\p{{S}}\\p{{Z}}\\n]')) / greatest(1, length(text)) AS g, length(array_to_string(w, '')) / greatest(1, len(w)) AS a, len(list_filter(w, lambda x: length(x) <= 2)) / greatest(1, len(w)) AS s
+concat_ws('; ', CASE WHEN g > 0.02 THEN 'noise' WHEN g > 0.005 THEN 'some noise' END, CASE WHEN n > 0 AND a < 3.1 THEN 'short words' END, CASE WHEN n > 0 AND s > 0.32 THEN 'layout debris' END, CASE WHEN n < 120 THEN 'little text' END, CASE WHEN n > 4000 AND heads <= 1 THEN 'no headings' END) AS notes
+FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: {T.sql_is_heading("x")})) AS heads, len(w) AS n, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\p{{P}}\\p{{S}}\\p{{Z}}\\n]')) / greatest(1, length(text)) AS g, length(array_to_string(w, '')) / greatest(1, len(w)) AS a, len(list_filter(w, lambda x: length(x) <= 2)) / greatest(1, len(w)) AS s
 FROM (SELECT doc_id, text, {_SW("text")} AS w FROM documents))""",
     "verify_docs": with_views(
-        f"SELECT doc_id, CASE WHEN coalesce(p, 0) = 0 THEN 'no passages' WHEN w < 10 THEN 'too short' ELSE 'ok' END AS reason, coalesce(p, 0) AS passages FROM documents LEFT JOIN (SELECT doc_id, count(*) AS p, sum(len({_SW('text')})) AS w FROM passages GROUP BY doc_id) USING (doc_id)"
+        f"SELECT doc_id, CASE WHEN coalesce(p, 0) = 0 THEN 'no chapters' WHEN e THEN 'empty chapter' WHEN w < 10 THEN 'too short' ELSE 'ok' END AS reason, coalesce(p, 0) AS passages FROM documents LEFT JOIN (SELECT doc_id, count(*) AS p, sum(n) AS w, bool_or(c = 0) AS e FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id, chapter_idx) AS c FROM (SELECT *, len({_SW('text')}) AS n FROM passages)) GROUP BY doc_id) USING (doc_id)"
     ),
     "retention_guard": with_views(
         f"""SELECT doc_id, before, after, CASE WHEN chars > 30000 THEN 'skipped' WHEN after < 0.92 * before THEN 'rejected' ELSE 'accepted' END AS verdict FROM (SELECT doc_id, sum(len({_SW("text")}))::INT AS before, coalesce(sum(len({_SW("text")})) FILTER (length(text) > 40), 0)::INT AS after, sum(length(text)) + count(*) - 1 AS chars FROM lines GROUP BY doc_id)"""

@@ -36,6 +36,11 @@ def keyword_rows(docs: DataFrame, n: int = KEYWORDS) -> DataFrame:
     return ranked(term_freqs(docs), ["doc_id"], [F.desc("tf"), "first_pos"], n)
 
 
+def sentence_arrays(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, s: the sentences of each text, in order."""
+    return docs.select(*(keys or ["doc_id"]), T.sentences(F.col("text")).alias("s"))
+
+
 def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, idx, sentence."""
     return docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
@@ -45,20 +50,21 @@ def position_bonus(idx: Column, n: Column) -> Column:
     return F.when(idx < 2, 0.4).when(idx < 4, 0.2).when(idx > n - 2, 0.15).otherwise(0.0)
 
 
-def summaries(sents: DataFrame, keys: list[str], n: int) -> DataFrame:
+def summaries(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
     """keys, summary: the n best sentences (by their words' frequency within the key, length and place) in order.
 
-    ``sents``: keys, idx (from 0), sentence.
+    ``texts``: one row per key with its sentences ``s``.  They are shuffled once by the keys, and counted, weighed,
+    ranked and looked up where they are.
     """
-    toks = sents.select(*keys, "idx", F.explode(T.tokens(F.col("sentence"))).alias("word")).where(T.is_content_word(F.col("word")))
-    tf = toks.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-    per = toks.groupBy(*keys, "idx", "word").agg(F.count(F.lit(1)).alias("k"))
-    density = per.join(tf, [*keys, "word"]).groupBy(*keys, "idx").agg(F.sum(F.col("k") * F.col("tf")).alias("density"), F.sum("k").alias("words"))
-    full = sents.join(density, [*keys, "idx"], "left").withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    base = F.coalesce("density", F.lit(0)) / F.pow(F.coalesce("words", F.lit(0)) + 3.0, F.lit(0.62))
-    score = F.round(base + position_bonus(F.col("idx"), F.col("n")), 9)
-    best = ranked(full.withColumn("score", score), keys, [F.desc("score"), "idx"], n)
-    return best.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("idx", "sentence")))["sentence"], " ").alias("summary"))
+    base = texts.where(F.size("s") > 0).repartition(*keys)
+    rows = base.select(*keys, F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
+    words = F.filter(T.tokens(F.col("sentence")), T.is_content_word)
+    per = rows.select(*keys, "n", "idx", F.explode_outer(words).alias("word")).groupBy(*keys, "n", "idx", "word").agg(F.count("word").alias("k"))
+    per = per.withColumn("tf", F.sum("k").over(W.partitionBy(*keys, "word")))
+    dense = per.groupBy(*keys, "n", "idx").agg(F.sum(F.col("k") * F.col("tf")).alias("density"), F.sum("k").alias("words"))
+    score = F.round(F.col("density") / F.pow(F.col("words") + 3.0, F.lit(0.62)) + position_bonus(F.col("idx"), F.col("n")), 9)
+    best = ranked(dense.withColumn("score", score), keys, [F.desc("score"), "idx"], n).groupBy(*keys).agg(F.sort_array(F.collect_list("idx")).alias("at"))
+    return best.join(base, keys).select(*keys, F.array_join(F.transform("at", lambda i: F.get("s", i)), " ").alias("summary"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries(sentence_rows(documents(spark, sf_dir)), ["doc_id"], SUMMARY)
+    return summaries(sentence_arrays(documents(spark, sf_dir)), ["doc_id"], SUMMARY)
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +100,8 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence for each chapter, and two for the whole document (chapter -1)."""
     c = chapters(spark, sf_dir)
-    by = c.select("doc_id", "chapter_idx", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
-    one = summaries(by, ["doc_id", "chapter_idx"], 1)
-    two = summaries(sentence_rows(documents(spark, sf_dir)), ["doc_id"], 2)
+    one = summaries(sentence_arrays(c, ["doc_id", "chapter_idx"]), ["doc_id", "chapter_idx"], 1)
+    two = summaries(sentence_arrays(documents(spark, sf_dir)), ["doc_id"], 2)
     return one.unionByName(two.withColumn("chapter_idx", F.lit(-1)))
 
 
@@ -104,9 +109,9 @@ def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first keywords with the best one of the sentences that contain them."""
     docs = documents(spark, sf_dir)
     kw = keyword_rows(docs, THEMES).select("doc_id", "word", "rank")
-    hits = sentence_rows(docs).join(kw, "doc_id").where(F.contains(F.lower("sentence"), F.col("word")))
-    at = F.row_number().over(W.partitionBy("doc_id", "rank").orderBy("idx")) - 1
-    note = summaries(hits.select("doc_id", F.col("rank").alias("place"), at.alias("idx"), "sentence"), ["doc_id", "place"], 1)
+    held = F.filter("s", lambda x: F.contains(F.lower(x), F.col("word")))
+    hits = sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s"))
+    note = summaries(hits, ["doc_id", "place"], 1)
     return kw.join(note.withColumnRenamed("place", "rank"), ["doc_id", "rank"], "left").select("doc_id", "rank", F.initcap("word").alias("name"), F.coalesce("summary", F.lit("")).alias("note"))
 
 
@@ -122,9 +127,8 @@ def theme_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary_rows(docs: DataFrame, n: int = VOCABULARY) -> DataFrame:
     """doc_id, rank, term, context: long rare words, longest first, with the first sentence that holds each."""
     rare = ranked(term_freqs(docs).where("length(word) >= 7 and tf <= 4"), ["doc_id"], [F.desc(F.length("word")), "first_pos"], n).select("doc_id", "rank", F.col("word").alias("term"))
-    held = sentence_rows(docs).join(rare, "doc_id").where(F.contains(F.lower("sentence"), F.col("term")))
-    first = held.groupBy("doc_id", "rank").agg(F.min_by("sentence", "idx").alias("context"))
-    return rare.join(first, ["doc_id", "rank"], "left").select("doc_id", "rank", "term", F.coalesce("context", F.lit("")).alias("context"))
+    held = F.filter("s", lambda x: F.contains(F.lower(x), F.col("term")))
+    return rare.join(sentence_arrays(docs), "doc_id").select("doc_id", "rank", "term", F.coalesce(F.get(held, F.lit(0)), F.lit("")).alias("context"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,22 +140,23 @@ STRIP_LEFT, STRIP_RIGHT, NAME = r"^[\"'“”‘’(\[]+", r"[\"'“”’),.!?;
 
 def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     """doc_id, rank, name, note: capitalised words that aren't common ones, by weight (double beside a speech verb)."""
-    sents = sentence_rows(docs)
-    toks = sents.select("doc_id", "idx", "sentence", F.posexplode(F.split("sentence", T.SPACES)).alias("k", "raw"))
-    toks = toks.withColumn("clean", F.regexp_replace(F.regexp_replace("raw", STRIP_LEFT, ""), STRIP_RIGHT, ""))
-    w = W.partitionBy("doc_id", "idx").orderBy("k")
-    toks = toks.withColumn("prev", F.lower(F.lag("clean").over(w))).withColumn("next", F.lower(F.lead("clean").over(w)))
-    caps = toks.where(F.col("clean").rlike(NAME)).withColumn("lower", F.lower("clean"))
-    capital = caps.groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("caps"))
-    every = token_rows(docs).groupBy("doc_id", F.col("word").alias("lower")).agg(F.count(F.lit(1)).alias("every"))
-    common = capital.join(every, ["doc_id", "lower"], "left").where((F.coalesce("every", F.lit(0)) - F.col("caps") >= 1) & (F.col("caps") <= 1)).select("doc_id", "lower")
+    base = docs.select("doc_id", "text", T.sentences(F.col("text")).alias("s")).repartition("doc_id")
+    # a sentence's words with those beside them; only capitalised ones leave their array
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
+    words = base.select("doc_id", F.posexplode("s").alias("idx", "sentence")).select("doc_id", "idx", F.transform(F.split("sentence", T.SPACES), clean).alias("cs"))
+    beside = F.transform("cs", lambda c, k: F.struct(k.alias("k"), c.alias("clean"), F.lower(F.get("cs", k - 1)).alias("prev"), F.lower(F.get("cs", k + 1)).alias("next")))
+    caps = words.select("doc_id", "idx", F.explode(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
+    every = base.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("lower")).groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
+    # counts and names meet in a window on (document, word), which the one shuffle by document serves
+    both = caps.withColumn("every", F.lit(None).cast("long")).unionByName(every, allowMissingColumns=True)
+    w = W.partitionBy("doc_id", "lower")
+    both = both.withColumn("caps", F.count("clean").over(w)).withColumn("all", F.coalesce(F.sum("every").over(w), F.lit(0)))
     verb = F.coalesce(F.col("prev").isin(*SPEECH_VERBS), F.lit(False)) | F.coalesce(F.col("next").isin(*SPEECH_VERBS), F.lit(False))
-    kept = caps.where(~F.col("clean").isin(*NEVER_NAMES) & ~F.coalesce(F.col("prev").isin(*ARTICLES), F.lit(False))).join(common, ["doc_id", "lower"], "left_anti")
-    totals = kept.groupBy("doc_id", F.col("clean").alias("name")).agg(
-        F.sum(F.when(verb, 2).otherwise(1)).alias("weight"), F.min(F.struct("idx", "k", "sentence")).alias("first")
-    )
+    kept = both.where(F.col("clean").isNotNull() & ~((F.col("all") - F.col("caps") >= 1) & (F.col("caps") <= 1)))
+    kept = kept.where(~F.col("clean").isin(*NEVER_NAMES) & ~F.coalesce(F.col("prev").isin(*ARTICLES), F.lit(False)))
+    totals = kept.groupBy("doc_id", F.col("clean").alias("name")).agg(F.sum(F.when(verb, 2).otherwise(1)).alias("weight"), F.min(F.struct("idx", "k")).alias("first"))
     best = ranked(totals.where("weight >= 2"), ["doc_id"], [F.desc("weight"), "first.idx", "first.k"], n)
-    return best.select("doc_id", "rank", "name", "weight", F.col("first.sentence").alias("note"))
+    return best.join(base.select("doc_id", "s"), "doc_id").select("doc_id", "rank", "name", "weight", F.get("s", F.col("first.idx")).alias("note"))
 
 
 def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +178,7 @@ def _listed(df: DataFrame, col: str) -> DataFrame:
 def study_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, keywords, words and names of each document in one row."""
     docs = documents(spark, sf_dir)
-    out = docs.select("doc_id").join(summaries(sentence_rows(docs), ["doc_id"], 3), "doc_id", "left")
+    out = docs.select("doc_id").join(summaries(sentence_arrays(docs), ["doc_id"], 3), "doc_id", "left")
     for part, col in ((keyword_rows(docs, 6), "word"), (vocabulary_rows(docs), "term"), (name_rows(docs), "name")):
         out = out.join(_listed(part, col), "doc_id", "left")
     return out.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("summary", "word", "term", "name")])

@@ -11,18 +11,21 @@ from readlake.plans import ingest
 from readlake.sources.tables import lines, table, with_views
 
 ROWS = 4  # rows of a derived page
+ROW_CHARS = 70  # characters of a derived row
 PAGE_NUMBER = "(?i)^((page)? *[0-9]{1,4} *|[ivxlcdm]{1,6})$"
 SPINE = 400  # fixed value: spine items that a book uses
 
 
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page, row_idx, row_count, text, h, gap: lines as rows of pages with font heights and gaps."""
-    n = F.col("line_no")
+    """doc_id, page, row_idx, row_count, text, h, gap: lines, long ones broken, as rows of pages with font heights and gaps."""
+    broken = lines(spark, sf_dir).where("trim(text) <> ''").select("doc_id", "line_no", F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {ROW_CHARS}), i -> substring(text, i * {ROW_CHARS} + 1, {ROW_CHARS}))")).alias("piece", "text"))
+    n = F.col("n")
     page, row = F.floor(n / ROWS) + 1, n % ROWS
-    text = F.when((row == 0) & (page % 2 == 0), page.cast("string")).when((row == 3) & (page % 3 == 0), "iv").otherwise(F.substring("text", 1, 70))
+    text = F.when((row == 0) & (page % 2 == 0), page.cast("string")).when((row == 3) & (page % 3 == 0), "iv").otherwise(F.col("text"))
     h = F.when(n % 9 == 4, 16.0).when(n % 9 == 7, 13.2).otherwise(10 + (F.length("text") % 3) * 0.3)
     gap = F.when(row == 0, 0).when(n % 7 == 3, 40).otherwise(12)
-    r = lines(spark, sf_dir).where("trim(text) <> ''").select("doc_id", page.alias("page"), row.alias("row_idx"), F.trim(text).alias("text"), h.alias("h"), gap.alias("gap"))
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "piece")) - 1
+    r = broken.withColumn("n", at).select("doc_id", page.alias("page"), row.alias("row_idx"), F.trim(text).alias("text"), h.alias("h"), gap.alias("gap"))
     return r.withColumn("row_count", F.count(F.lit(1)).over(W.partitionBy("doc_id", "page")))
 
 
@@ -96,7 +99,7 @@ def styled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("line_no")
     style = F.when(n % 10 == 0, "Heading1").when(n % 10 == 5, "Quote").otherwise("Normal")
     r = lines(spark, sf_dir).where("trim(text) <> ''").select(
-        "doc_id", "line_no", style.alias("style"), (n % 3 == 1).alias("bold"), F.when(n % 6 == 1, 15.0).otherwise(11.0).alias("size"), F.substring(F.trim("text"), 1, 75).alias("t")
+        "doc_id", "line_no", style.alias("style"), (n % 3 == 1).alias("bold"), F.when(n % 6 == 1, 15.0).otherwise(11.0).alias("size"), F.trim("text").alias("t")
     )
     r = r.join(upper_median(r, "size"), "doc_id")
     bold = F.col("bold") & (F.length("t") > 2) & (F.length("t") < 70) & (F.col("size") >= 1.25 * F.col("median"))
@@ -112,9 +115,11 @@ def slides_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spine_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a book's spine: text items in order, those with a real line, a heading made for those without."""
-    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 20).alias("book"), F.when(F.col("page_id") % 7 == 3, "text/css").otherwise("text/html").alias("kind"), "url", "html")
-    item = F.row_number().over(W.partitionBy("book").orderBy("page_id"))
-    p = p.withColumn("item", item).where((F.col("item") <= SPINE) & F.col("kind").rlike("html|xml"))
+    pages = table(spark, sf_dir, "pages")
+    # a book is a block of SPINE numbers, so that books grow in number with the pages; items are numbered without their text
+    items = pages.select("page_id", F.floor(F.col("page_id") / SPINE).alias("book"), F.when(F.col("page_id") % 7 == 3, "text/css").otherwise("text/html").alias("kind"))
+    items = items.withColumn("item", F.row_number().over(W.partitionBy("book").orderBy("page_id"))).where((F.col("item") <= SPINE) & F.col("kind").rlike("html|xml"))
+    p = pages.join(items, "page_id").select("page_id", "book", "item", "url", "html")
     rows = ingest.html_line_rows(p.select("page_id", F.regexp_replace("html", "(?i)<(/?)h1(?=[ >])", F.when(F.col("page_id") % 4 == 0, "<$1h4").otherwise("<$1h1")).alias("html")))
     flags = rows.groupBy("page_id").agg(F.max(F.col("tag").isin("h1", "h2")).alias("has_head"), F.max(F.length("text") > 40).alias("has_text"))
     kept = p.join(flags.where("has_text"), "page_id").select("page_id", "book", "item", "url", "has_head")
@@ -128,9 +133,10 @@ QUERIES = {f.__name__: f for f in (layout_page_numbers, layout_font_clusters, la
 _LIKE = f"""length(text) BETWEEN 2 AND 80 AND NOT regexp_matches(text, '[.!?…]$') AND NOT regexp_matches(text, '{PAGE_NUMBER}') AND ((h >= heading_h AND words <= 12)
  OR (length(letters) >= 4 AND letters = upper(letters) AND length(text) < 60 AND words <= 8 AND NOT regexp_matches(text, '[0-9]{{3}}')) OR (length(text) BETWEEN 7 AND 59 AND words BETWEEN 2 AND 8 AND capital / words >= 0.6))"""
 _V = {
-    "lrows": f"""SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS row_count FROM (SELECT doc_id, page, row_idx, trim(CASE WHEN row_idx = 0 AND page % 2 = 0 THEN page::VARCHAR WHEN row_idx = 3 AND page % 3 = 0 THEN 'iv' ELSE text[1:70] END) AS text,
-CASE WHEN line_no % 9 = 4 THEN 16.0::DOUBLE WHEN line_no % 9 = 7 THEN 13.2::DOUBLE ELSE 10 + (length(text) % 3) * 0.3::DOUBLE END AS h, CASE WHEN row_idx = 0 THEN 0 WHEN line_no % 7 = 3 THEN 40 ELSE 12 END AS gap
-FROM (SELECT *, line_no // {ROWS} + 1 AS page, line_no % {ROWS} AS row_idx FROM lines WHERE trim(text) <> ''))""",
+    "lrows": f"""SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS row_count FROM (SELECT doc_id, page, row_idx, trim(CASE WHEN row_idx = 0 AND page % 2 = 0 THEN page::VARCHAR WHEN row_idx = 3 AND page % 3 = 0 THEN 'iv' ELSE text END) AS text,
+CASE WHEN n % 9 = 4 THEN 16.0::DOUBLE WHEN n % 9 = 7 THEN 13.2::DOUBLE ELSE 10 + (length(text) % 3) * 0.3::DOUBLE END AS h, CASE WHEN row_idx = 0 THEN 0 WHEN n % 7 = 3 THEN 40 ELSE 12 END AS gap
+FROM (SELECT *, n // {ROWS} + 1 AS page, n % {ROWS} AS row_idx FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, piece) - 1 AS n FROM (
+SELECT doc_id, line_no, unnest(range(k)) AS piece, unnest(list_transform(range(k), lambda i: text[i * {ROW_CHARS} + 1:i * {ROW_CHARS} + {ROW_CHARS}])) AS text FROM (SELECT *, (length(text) - 1) // {ROW_CHARS} + 1 AS k FROM lines WHERE trim(text) <> '')))))""",
     "prows": f"SELECT * FROM lrows WHERE NOT regexp_matches(text, '{PAGE_NUMBER}') OR (row_idx > 1 AND row_idx < row_count - 2)",
     "fonts": """SELECT doc_id, body_h, CASE WHEN top > body_h THEN top ELSE round(body_h * 1.15, 6) END AS heading_h FROM (SELECT doc_id, arg_max(b, n * 1000 - b) AS body_h, max(b) FILTER (k = CASE WHEN kinds >= 4 THEN floor(kinds * 0.75) WHEN kinds >= 2 THEN kinds - 1 END) AS top FROM (
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS kinds FROM (SELECT doc_id, floor(h * 2 + 0.5) / 2 AS b, count(*) AS n FROM prows GROUP BY ALL)) GROUP BY doc_id)""",
@@ -149,7 +155,7 @@ FROM prows r JOIN fonts USING (doc_id) JOIN {_MED("h", "prows")} mh USING (doc_i
     ),
     "styled_headings": with_views(
         f"""SELECT doc_id, line_no, line_no % 10 = 0 OR (line_no % 3 = 1 AND length(t) > 2 AND length(t) < 70 AND size >= 1.25 * m) OR {T.sql_is_heading("t")} AS heading FROM styled JOIN {_MED("size", "styled")} USING (doc_id)""",
-        styled="SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN 15.0 ELSE 11.0 END AS size, trim(text)[1:75] AS t FROM lines WHERE trim(text) <> ''",
+        styled="SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN 15.0 ELSE 11.0 END AS size, trim(text) AS t FROM lines WHERE trim(text) <> ''",
     ),
     "slides_to_lines": with_views(
         """SELECT conv_id, slide, CASE WHEN k = 0 THEN -1 ELSE k END::INT AS k, CASE WHEN k = 0 THEN 'Slide ' || (slide + 1) || ': ' || item ELSE item END AS text, k = 0 AS heading FROM items""",
@@ -157,7 +163,7 @@ FROM prows r JOIN fonts USING (doc_id) JOIN {_MED("h", "prows")} mh USING (doc_i
     ),
     "spine_assemble": with_views(
         f"""WITH flags AS (SELECT page_id, max(t2 IN ('h1', 'h2')) AS has_head, max(length(text) > 40) AS has_text FROM rows2 GROUP BY page_id),
-kept AS (SELECT p.*, has_head FROM (SELECT page_id, page_id % 20 AS book, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS item, url FROM pages) p JOIN flags USING (page_id) WHERE page_id % 7 <> 3 AND item <= {SPINE} AND has_text)
+kept AS (SELECT p.*, has_head FROM (SELECT page_id, page_id // {SPINE} AS book, row_number() OVER (PARTITION BY page_id // {SPINE} ORDER BY page_id) AS item, url FROM pages) p JOIN flags USING (page_id) WHERE page_id % 7 <> 3 AND item <= {SPINE} AND has_text)
 SELECT book, item, -1 AS line_no, regexp_replace(regexp_extract(url, '([^/]+)$', 1), '[-_]', ' ', 'g') AS text, true AS heading FROM kept WHERE NOT has_head
 UNION ALL SELECT book, item, line_no, text, t2 IN ('h1', 'h2') FROM rows2 JOIN kept USING (page_id)""",
         **ingest._V, rows2="SELECT *, CASE WHEN tag = 'h1' AND page_id % 4 = 0 THEN 'h4' ELSE tag END AS t2 FROM hlines",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,20 +140,29 @@ def quiz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("answered"), F.count_if("right").alias("correct"), F.round(100.0 * F.count_if("right") / F.count(F.lit(1)), 3).alias("percent"))
 
 
-def throttled(events: DataFrame) -> DataFrame:
-    """(user_id, event_id) of events (user_id, event_id, at in microseconds) that the throttle lets through.
+def throttled(events: DataFrame, key: str = "user_id", limit: int = THROTTLE_SECONDS * 1_000_000) -> DataFrame:
+    """(key, event_id) of events (key, event_id, at) that the throttle lets through: those ``limit`` or more after the last one let through.
 
-    What it lets through depends on what it has let through before, but a row after a pause of
-    THROTTLE_SECONDS always goes through: each such island is folded on its own.
+    What it lets through depends on what it has let through before, but a row after a pause of ``limit``
+    always goes through.  So runs without such a pause are dealt over tasks and read in order, row by row:
+    a task holds one number, however long a run.
     """
-    limit = THROTTLE_SECONDS * 1_000_000
-    islands = with_island_start(events, "user_id", "at", ["event_id"], limit, 24 * 3600 * 1_000_000)
-    per = islands.groupBy("user_id", "island").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("es"))
-    fold = F.expr(
-        f"""aggregate(es, named_struct('last', cast(null as bigint), 'out', cast(array() as array<bigint>)),
-          (a, x) -> if(a.last is null or x.at - a.last >= {limit}, named_struct('last', x.at, 'out', concat(a.out, array(x.event_id))), a), a -> a.out)"""
-    )
-    return per.select("user_id", F.explode(fold).alias("event_id"))
+    kind = dict(events.dtypes)[key]
+    islands = with_island_start(events, key, "at", ["event_id"], limit, 144 * limit)
+    runs = islands.repartition(key, "island").sortWithinPartitions(key, "island", "at", "event_id").select(key, "island", "at", "event_id")
+
+    def passed(batches):
+        run, last = None, None
+        for batch in batches:
+            keep = []
+            for k, island, at in zip(*(batch.column(c).to_pylist() for c in (key, "island", "at")), strict=True):
+                good = (k, island) != run or at - last >= limit
+                if good:
+                    run, last = (k, island), at
+                keep.append(good)
+            yield batch.select([key, "event_id"]).filter(pa.array(keep, pa.bool_()))
+
+    return runs.mapInArrow(passed, f"{key} {kind}, event_id long")
 
 
 def read_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:

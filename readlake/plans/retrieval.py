@@ -11,6 +11,7 @@ from readlake.params import STOP_WORDS, sql_list
 from readlake.plans import keywords, scalars
 from readlake.sources.tables import passages, table, with_views
 
+CHAT_KEPT, WHOLE_CONTEXT = 30, 11_000  # fixed values
 NEEDLE, SNIPPET_BEFORE, SNIPPET_AFTER, HITS = "tion", 40, 60, 60  # fixed values but for the needle
 
 
@@ -24,8 +25,9 @@ def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, doc_id, text: each question asked of a document of its number."""
-    return scalars.asked(spark, sf_dir).select("conv_id", "turn", (F.col("conv_id") % 200).alias("doc_id"), "text")
+    """conv_id, turn, doc_id, text: each question asked of a document of its number, going round all documents."""
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+    return scalars.asked(spark, sf_dir).crossJoin(F.broadcast(n)).select("conv_id", "turn", (F.col("conv_id") % F.col("n")).alias("doc_id"), "text")
 
 
 def retrieve_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def bookmark_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchor_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a quote of 2 to 400 characters first stands in its passage."""
-    p = passages(spark, sf_dir).where("chunk_idx % 3 = 0")
+    p = passages(spark, sf_dir)
     q = p.select("doc_id", "chunk_idx", F.expr("substring(text, 11, doc_id % 30)").alias("quote"))
     at = F.instr("text", F.col("quote")) - 1
     return q.where(F.length("quote").between(2, 400)).join(p.select("doc_id", "chunk_idx", "text"), ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", at.alias("start"), (at + F.length("quote")).alias("stop"))
@@ -99,15 +101,24 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "chapter_idx", F.concat_ws("\n\n", "before", F.concat(F.lit("## Chapter "), F.col("chapter_idx") + 1), "here", "after").alias("context"), (F.length("here") == 7500).alias("full"))
 
 
+def whole_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters of a document under their titles, up to WHOLE_CONTEXT characters, and whether that cut them short."""
+    part = F.concat(F.lit("## Chapter "), F.col("chapter_idx") + 1, F.lit("\n\n"), F.col("text"))
+    c = keywords.chapters(spark, sf_dir).select("doc_id", F.struct("chapter_idx", part.alias("text")).alias("c"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["text"]), "\n\n").alias("body")
+    return c.groupBy("doc_id").agg(body).select("doc_id", F.left("body", F.lit(WHOLE_CONTEXT)).alias("context"), (F.length("body") > WHOLE_CONTEXT).alias("truncated"))
+
+
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six turns before each user's turn."""
+    """The six turns before each user's turn, whole; a conversation's last CHAT_KEPT turns are all there are."""
     c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant') and text <> ''")
+    c = c.withColumn("back", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= CHAT_KEPT)
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
-    h = c.select("conv_id", "turn", "role", F.collect_list(F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(40)))).over(w).alias("turns"))
+    h = c.select("conv_id", "turn", "role", F.collect_list(F.concat(F.col("role"), F.lit(": "), F.col("text"))).over(w).alias("turns"))
     return h.where("role = 'user'").select("conv_id", "turn", F.array_join("turns", "\n").alias("history"))
 
 
-QUERIES = {f.__name__: f for f in (passage_search, retrieve_passage, source_passage, chapter_at_chunk, bookmark_text, anchor_quote, annotation_spans, context_pack, chat_history)}
+QUERIES = {f.__name__: f for f in (passage_search, retrieve_passage, source_passage, chapter_at_chunk, bookmark_text, anchor_quote, annotation_spans, context_pack, whole_context, chat_history)}
 _ANN = "SELECT doc_id, chunk_idx, a AS start, b AS stop, a % 4 AS color FROM passages, (VALUES (0, 20), (10, 30), (20, 33), (35, 50), (49, 60)) AS s(a, b) WHERE length(text) >= 60"
 _CH = "SELECT doc_id, chapter_idx, string_agg(text, chr(10) || chr(10) ORDER BY chunk_idx) AS text FROM passages GROUP BY doc_id, chapter_idx"
 ORACLES = {
@@ -115,7 +126,7 @@ ORACLES = {
         f"""SELECT doc_id, chunk_idx, substring(text, greatest(1, hit - {SNIPPET_BEFORE}), hit + {len(NEEDLE) + SNIPPET_AFTER} - greatest(1, hit - {SNIPPET_BEFORE})) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS r FROM (SELECT *, instr(lower(text), '{NEEDLE}') AS hit FROM passages) WHERE hit > 0) WHERE r <= {HITS}"""
     ),
     "retrieve_passage": with_views(
-        f"""WITH q AS (SELECT DISTINCT conv_id, turn, doc_id, word FROM (SELECT conv_id, turn, conv_id % 200 AS doc_id, unnest({T.sql_tokens("text")}) AS word FROM asked) WHERE length(word) > 3 AND word NOT IN ({sql_list(STOP_WORDS)})),
+        f"""WITH q AS (SELECT DISTINCT conv_id, turn, doc_id, word FROM (SELECT conv_id, turn, conv_id % (SELECT count(*) FROM documents) AS doc_id, unnest({T.sql_tokens("text")}) AS word FROM asked) WHERE length(word) > 3 AND word NOT IN ({sql_list(STOP_WORDS)})),
 t AS (SELECT doc_id, chunk_idx, unnest({T.sql_tokens("text")}) AS word FROM passages)
 SELECT conv_id, turn, doc_id, chunk_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_idx) AS r FROM (SELECT conv_id, turn, doc_id, chunk_idx, count(*) AS score FROM q JOIN t USING (doc_id, word) GROUP BY ALL)) WHERE r = 1""",
         asked=scalars._ASKED,
@@ -132,7 +143,7 @@ UNION ALL SELECT doc_id, chunk, m, 0 FROM (SELECT DISTINCT doc_id, unnest([0, do
     ),
     "bookmark_text": with_views("SELECT doc_id, chunk_idx, label, text FROM (SELECT doc_id, (doc_id * 7 % 12)::INT AS chunk_idx, 'b' || doc_id AS label FROM documents WHERE doc_id % 2 = 0) LEFT JOIN (SELECT doc_id, chunk_idx, text FROM passages) USING (doc_id, chunk_idx)"),
     "anchor_quote": with_views(
-        "SELECT doc_id, chunk_idx, (instr(text, q) - 1)::INT AS start, (instr(text, q) - 1 + length(q))::INT AS stop FROM (SELECT doc_id, chunk_idx, text, substring(text, 11, doc_id % 30) AS q FROM passages WHERE chunk_idx % 3 = 0) WHERE length(q) BETWEEN 2 AND 400"
+        "SELECT doc_id, chunk_idx, (instr(text, q) - 1)::INT AS start, (instr(text, q) - 1 + length(q))::INT AS stop FROM (SELECT doc_id, chunk_idx, text, substring(text, 11, doc_id % 30) AS q FROM passages) WHERE length(q) BETWEEN 2 AND 400"
     ),
     "annotation_spans": with_views(
         """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY start, stop) AS k FROM ann),
@@ -144,5 +155,6 @@ SELECT doc_id, chunk_idx, start, stop, color FROM f WHERE kept""", ann=_ANN
         """SELECT doc_id, chapter_idx, coalesce(right(lag(text) OVER w, 1200), '') || chr(10) || chr(10) || '## Chapter ' || (chapter_idx + 1) || chr(10) || chr(10) || text[1:7500] || chr(10) || chr(10) || coalesce(lead(text) OVER w, '')[1:900] AS context, length(text) >= 7500 AS full
 FROM chap WINDOW w AS (PARTITION BY doc_id ORDER BY chapter_idx)""", chap=_CH
     ),
-    "chat_history": """SELECT conv_id, turn, coalesce(h, '') AS history FROM (SELECT conv_id, turn, role, string_agg(role || ': ' || text[1:40], chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations WHERE role IN ('user', 'assistant') AND text <> '') WHERE role = 'user'""",
+    "chat_history": f"""SELECT conv_id, turn, coalesce(h, '') AS history FROM (SELECT conv_id, turn, role, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant') AND text <> '') WHERE back <= {CHAT_KEPT}) WHERE role = 'user'""",
+    "whole_context": with_views(f"SELECT doc_id, body[1:{WHOLE_CONTEXT}] AS context, length(body) > {WHOLE_CONTEXT} AS truncated FROM (SELECT doc_id, string_agg('## Chapter ' || (chapter_idx + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY chapter_idx) AS body FROM chap GROUP BY doc_id)", chap=_CH),
 }

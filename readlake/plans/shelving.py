@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.operators.keyed import cascade, latest_by_key, patched, replaced_slice
-from readlake.params import CATALOG, FAMILIES, FINISHED, WORDS_PER_MINUTE
-from readlake.sources.tables import passages, shelf, table, with_views
+from readlake.operators.stores import json_rows
+from readlake.params import CONTEXT_CAP, FAMILIES, FINISHED, MAKERS, PROFILES, WORDS_PER_MINUTE
+from readlake.plans.retrieval import _ANN, annotations
+from readlake.sources.tables import passages, shelf, table, usage, with_views
 
 NEEDLE = "the"
 
@@ -37,23 +39,29 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some columns of owned rows replaced; a patch's null leaves a column as it is."""
-    base = shelf(spark, sf_dir).select("doc_id", "title", "collection", "favorite")
-    patch = base.where("doc_id % 4 = 0").select("doc_id", F.lit("Shelved").alias("collection"), F.when(F.col("doc_id") % 8 == 0, F.lit(True)).alias("favorite"))
+    base = shelf(spark, sf_dir).select("doc_id", "title", "collection", "favorite", F.col("created_at").alias("updated_at"))
+    patch = base.where("doc_id % 4 = 0").select(
+        "doc_id", F.lit("Shelved").alias("collection"), F.when(F.col("doc_id") % 8 == 0, F.lit(True)).alias("favorite"), F.expr("timestamp_ntz'2030-01-01 00:00:00'").alias("updated_at")
+    )
     return patched(base, patch, "doc_id")
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left in each table after a set of documents is deleted; passages and bookmarks go with them, events stay."""
+    """Rows left in each store after a set of documents is deleted: what belongs to them goes, ledgers, stories and caches stay."""
     gone = table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select("doc_id")
     children = {
         "documents": table(spark, sf_dir, "documents").select("doc_id"),
         "passages": passages(spark, sf_dir).select("doc_id"),
         "bookmarks": table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id"),
+        "annotations": annotations(spark, sf_dir).select("doc_id"),
+        "scenes": passages(spark, sf_dir).select("doc_id", "chapter_idx").distinct(),
+        "jobs": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")),
     }
-    left = cascade(children, gone, "doc_id")
-    out = table(spark, sf_dir, "events").agg(F.lit("events").alias("store"), F.count(F.lit(1)).alias("n"))
-    for name, df in left.items():
-        out = out.unionByName(df.agg(F.lit(name).alias("store"), F.count(F.lit(1)).alias("n")))
+    survivors = {"events": table(spark, sf_dir, "events"), "usage": usage(spark, sf_dir), "stories": table(spark, sf_dir, "conversations"), "cache": table(spark, sf_dir, "pages")}
+    out = None
+    for name, df in {**cascade(children, gone, "doc_id"), **survivors}.items():
+        n = df.agg(F.lit(name).alias("store"), F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.unionByName(n)
     return out
 
 
@@ -64,12 +72,21 @@ def replace_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced_slice(base, new, ["doc_id", "chapter_idx"], "ordinal")
 
 
+#: The stores that an export holds, and their keys.
+STORES = {
+    "benchmark": "item_id,text", "conversations": "conv_id,role,text,turn", "customer": "c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey", "documents": "doc_id,lang,n_chars,source,text",
+    "embeddings": "embedding,label,vec_id", "events": "event_id,event_type,props,ts,user_id,value", "labels": "doc_id,quality,toxic",
+    "lineitem": "l_discount,l_extendedprice,l_linenumber,l_linestatus,l_orderkey,l_partkey,l_quantity,l_returnflag,l_shipdate,l_suppkey,l_tax", "nation": "n_name,n_nationkey,n_regionkey",
+    "orders": "o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice", "pages": "html,page_id,url", "part": "p_brand,p_name,p_partkey,p_retailprice,p_size,p_type",
+    "region": "r_name,r_regionkey", "supplier": "s_acctbal,s_name,s_nationkey,s_suppkey",
+}
+
+
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every table as JSON text with the table's name (as written by ``write.text``), counted by key set."""
     out = None
-    for name in ("documents", "events", "conversations", "labels"):
-        df = table(spark, sf_dir, name)
-        rows = df.select(F.lit(name).alias("store"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    for name in STORES:
+        rows = json_rows(name, table(spark, sf_dir, name))
         out = rows if out is None else out.unionByName(rows)
     keys = F.array_join(F.array_sort(F.json_object_keys("json")), ",")
     return out.groupBy("store", keys.alias("keys")).agg(F.count(F.lit(1)).alias("n"))
@@ -96,13 +113,28 @@ def append_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-read documents that hold the needle in title, author, tag or collection, pinned and newest first."""
-    hit = F.lit(False)
+def filtered(rows: DataFrame, needle: str = "", status: str = "all", favourites: bool = False, collection: str | None = None) -> DataFrame:
+    """Rows of a shelf that hold the needle in title, author, tag or collection and pass the other filters, pinned and newest first."""
+    hit = F.lit(needle == "")
     for c in ("title", "author", "tag", "collection"):
-        hit |= F.coalesce(F.contains(F.lower(c), F.lit(NEEDLE)), F.lit(False))
-    s = shelf(spark, sf_dir).where(hit & (F.col("progress") > 0) & (F.col("progress") < FINISHED))
-    return s.select("doc_id", "title", "progress", "favorite")
+        hit |= F.coalesce(F.contains(F.lower(c), F.lit(needle.lower())), F.lit(False))
+    p = F.col("progress")
+    arm = {"reading": (p > 0) & (p < FINISHED), "finished": p >= FINISHED, "unstarted": p == 0}.get(status, F.lit(True))
+    own = (F.col("favorite") | F.lit(not favourites)) & (F.lit(True) if collection is None else F.coalesce(F.col("collection") == collection, F.lit(False)))
+    return rows.where(hit & arm & own).orderBy(F.desc("favorite"), F.desc(F.coalesce("last_read_at", "created_at")), "doc_id")
+
+
+#: Filters that the query shows: name, needle, status, favourites only, collection.
+FILTERS = (("reading", NEEDLE, "reading", False, None), ("finished", "", "finished", False, None), ("unstarted", "en", "unstarted", False, None), ("favourites", NEEDLE, "all", True, None), ("collection", "", "reading", True, "src1"))
+
+
+def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What several filters of the shelf let through."""
+    s, out = shelf(spark, sf_dir), None
+    for name, *how in FILTERS:
+        rows = filtered(s, *how).select(F.lit(name).alias("filter"), "doc_id", "title", "progress", "favorite")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,42 +204,46 @@ def minutes_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf(spark, sf_dir).select("doc_id", F.greatest(F.lit(1), left).alias("minutes"))
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue rows with the number of documents whose source number picks them (so that ranks follow the data)."""
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(CATALOG)], "k int, id string, name string, context long, in_price double, out_price double")
-    picked = table(spark, sf_dir, "documents").groupBy(F.pmod("doc_id", F.lit(len(CATALOG))).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("uses"))
-    return rows.join(F.broadcast(picked), "k", "left")
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entry, id, name, context, in_price: parts as rows of a model catalogue, a third of them free, some of users' own."""
+    maker = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    own = F.concat(maker, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size"), F.lit("b"), F.when(F.col("p_partkey") % 3 == 0, ":free").otherwise(""))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("entry"), F.when(F.col("p_partkey") % 17 == 6, F.concat(F.lit("x:user/"), F.col("p_partkey"), F.lit(":free"))).otherwise(own).alias("id"),
+        F.col("p_name").alias("name"), (F.col("p_size") * 4096).cast("long").alias("context"), (F.col("p_retailprice") / 1e9).alias("in_price"),
+    )
 
 
 def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free entries with prices for a million tokens."""
-    return _catalog(spark, sf_dir).where("id like '%:free' and not id like 'x:user/%'").select(
-        "id", "name", "context", F.round(F.col("in_price") * 1e6, 4).alias("in_per_m"), F.coalesce("uses", F.lit(0)).alias("uses")
-    )
+    """Free entries that aren't a user's own, with prices for a million tokens."""
+    return catalog(spark, sf_dir).where("id like '%:free' and not id like 'x:user/%'").select("entry", "id", "name", "context", F.round(F.col("in_price") * 1e6, 4).alias("in_per_m"))
 
 
 def catalog_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The free entry that suits each profile best."""
-    c = _catalog(spark, sf_dir).where("id like '%:free'")
-    size = F.coalesce(F.expr("try_cast(nullif(regexp_extract(id, '([0-9]+)b', 1), '') as double)"), F.lit(0.0))
-    tier = F.when(F.col("id").rlike("^(openai|anthropic|google)/"), 8.0).when(F.col("id").rlike("^(meta-llama|mistralai|cohere|deepseek)/"), 5.0).otherwise(0.0)
-    families = spark.createDataFrame(list(FAMILIES), "profile string, family string, bonus double")
-    profiles = families.select("profile").distinct()
-    pairs = c.crossJoin(F.broadcast(profiles)).join(F.broadcast(families.withColumnRenamed("profile", "p")), (F.col("profile") == F.col("p")) & F.contains("id", "family"), "left")
-    creative = F.col("profile") == "creative"
-    base = F.least(F.lit(131072), F.col("context")) / 8192 + F.least(F.lit(10.0), size / 45) * F.when(creative, 1.2).otherwise(0.4) + tier * F.when(creative, 0.8).otherwise(1.0)
-    base += F.when(F.contains("id", F.lit("coder")), -120.0).otherwise(0.0) + F.when(creative & (size > 0) & (size < 7), -20.0).otherwise(0.0)
-    scored = pairs.groupBy("profile", "id", base.alias("base")).agg(F.sum(F.coalesce("bonus", F.lit(0.0))).alias("bonus"))
-    scored = scored.withColumn("score", F.round(F.col("base") + F.col("bonus"), 6))
-    return scored.withColumn("r", F.row_number().over(W.partitionBy("profile").orderBy(F.desc("score"), "id"))).where("r = 1").select("profile", "id", "score")
-
-
-_CAT = (
-    "SELECT k, id, name, context, in_price, coalesce(uses, 0) AS uses FROM (VALUES "
-    + ", ".join(f"({i}, '{r[0]}', '{r[1]}', {r[2]}::BIGINT, {r[3]!r}::DOUBLE)" for i, r in enumerate(CATALOG))
-    + f") AS c(k, id, name, context, in_price) LEFT JOIN (SELECT doc_id % {len(CATALOG)} AS k, count(*) AS uses FROM documents GROUP BY 1) USING (k)"
+    """The free entry that suits each profile best: by context, size, maker and family."""
+    c = catalog(spark, sf_dir).where("id like '%:free'")
+    size = F.least(F.lit(10.0), F.coalesce(F.expr("try_cast(nullif(regexp_extract(id, '([0-9]+)b:', 1), '') as double)"), F.lit(0.0)) / 5)
+    maker = sum((F.when(F.col("id").rlike(p), bonus).otherwise(0.0) for p, bonus in MAKERS), F.lit(0.0))
+    scores = []
+    for profile, by_size, by_context in PROFILES:
+        family = sum((F.when(F.contains("id", F.lit(part)), bonus).otherwise(0.0) for who, part, bonus in FAMILIES if who == profile), F.lit(0.0))
+        score = size / 10 * by_size + F.least(F.lit(CONTEXT_CAP), F.col("context")) / CONTEXT_CAP * by_context + maker + family
+        scores.append(F.struct(F.lit(profile).alias("profile"), F.round(score, 6).alias("score")))
+    each = c.select("entry", "id", F.explode(F.array(*scores)).alias("s")).select("entry", "id", "s.profile", "s.score")
+    # combined map-side: one row for each profile reaches the last task of each
+    best = each.groupBy("profile").agg(F.max(F.struct("score", (-F.col("entry")).alias("first"), "id")).alias("b"))
+    return best.select("profile", (-F.col("b.first")).alias("entry"), "b.id", "b.score")
+
+
+_CAT = """SELECT p_partkey AS entry, CASE WHEN p_partkey % 17 = 6 THEN 'x:user/' || p_partkey || ':free' ELSE lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') || '-' || p_size || 'b' || CASE WHEN p_partkey % 3 = 0 THEN ':free' ELSE '' END END AS id,
+p_name AS name, (p_size * 4096)::BIGINT AS context, p_retailprice / 1e9 AS in_price FROM part"""
+_MADE = " + ".join(f"CASE WHEN regexp_matches(id, '{p}') THEN {b!r} ELSE 0 END" for p, b in MAKERS)
+_RANKS = " UNION ALL ".join(
+    f"SELECT '{profile}' AS profile, entry, id, round(size / 10 * ({by_size!r}::DOUBLE) + least({CONTEXT_CAP}, context) / {CONTEXT_CAP} * {by_context!r}::DOUBLE + ({_MADE})::DOUBLE + ("
+    + " + ".join(f"CASE WHEN contains(id, '{part}') THEN {bonus!r} ELSE 0 END" for who, part, bonus in FAMILIES if who == profile)
+    + ")::DOUBLE, 6) AS score FROM free"
+    for profile, by_size, by_context in PROFILES
 )
-_FAM = "(VALUES " + ", ".join(f"('{p}', '{f}', {b!r}::DOUBLE)" for p, f, b in FAMILIES) + ") AS f(p, family, bonus)"
 _N = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> ''))"
 QUERIES = {
     f.__name__: f
@@ -222,17 +258,19 @@ ORACLES = {
     "owner_scan": with_views("SELECT doc_id, user_id, CASE WHEN user_id = 3 THEN 'granted' ELSE 'refused' END AS access FROM shelf WHERE doc_id % 13 = 0"),
     "upsert_latest": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS o_totalprice,
 CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS version FROM orders UNION ALL SELECT o_orderkey + 10000000, 'N', o_totalprice, 1 FROM orders WHERE o_orderkey % 100 = 1""",
-    "patch_rows": with_views("SELECT doc_id, title, CASE WHEN doc_id % 4 = 0 THEN 'Shelved' ELSE collection END AS collection, doc_id % 8 = 0 OR favorite AS favorite FROM shelf"),
+    "patch_rows": with_views("SELECT doc_id, title, CASE WHEN doc_id % 4 = 0 THEN 'Shelved' ELSE collection END AS collection, doc_id % 8 = 0 OR favorite AS favorite, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2030-01-01' ELSE created_at END AS updated_at FROM shelf"),
     "cascade_delete": with_views(
         """SELECT 'events' AS store, count(*) AS n FROM events UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id % 10 <> 3
-UNION ALL SELECT 'passages', count(*) FROM passages WHERE doc_id % 10 <> 3 UNION ALL SELECT 'bookmarks', count(*) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 3"""
+UNION ALL SELECT 'annotations', count(*) FROM ann WHERE doc_id % 10 <> 3 UNION ALL SELECT 'scenes', count(*) FROM (SELECT DISTINCT doc_id, chapter_idx FROM passages WHERE doc_id % 10 <> 3)
+UNION ALL SELECT 'jobs', count(*) FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3) UNION ALL SELECT 'usage', count(*) FROM usage UNION ALL SELECT 'stories', count(*) FROM conversations UNION ALL SELECT 'cache', count(*) FROM pages
+UNION ALL SELECT 'passages', count(*) FROM passages WHERE doc_id % 10 <> 3 UNION ALL SELECT 'bookmarks', count(*) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 3""",
+        ann=_ANN,
     ),
     "replace_slice": with_views(
         """SELECT doc_id, chapter_idx, local_idx AS ordinal, length(text)::INT AS size FROM passages WHERE (doc_id, chapter_idx) NOT IN (SELECT (doc_id, chapter_idx) FROM passages WHERE chapter_idx = 1 AND local_idx % 2 = 1)
 UNION ALL SELECT doc_id, chapter_idx, (row_number() OVER (PARTITION BY doc_id, chapter_idx ORDER BY local_idx) - 1)::INT, (length(text) * 10)::INT FROM passages WHERE chapter_idx = 1 AND local_idx % 2 = 1"""
     ),
-    "export_json": """SELECT 'documents' AS store, 'doc_id,lang,n_chars,source,text' AS keys, count(*) AS n FROM documents UNION ALL SELECT 'events', 'event_id,event_type,props,ts,user_id,value', count(*) FROM events
-UNION ALL SELECT 'conversations', 'conv_id,role,text,turn', count(*) FROM conversations UNION ALL SELECT 'labels', 'doc_id,quality,toxic', count(*) FROM labels""",
+    "export_json": " UNION ALL ".join(f"SELECT '{n}' AS store, '{k}' AS keys, count(*) AS n FROM {n}" for n, k in STORES.items()),
     "export_text": with_views(
         """SELECT s.doc_id, title || chr(10) || chr(10) || author || chr(10) || chr(10) || p.body AS body FROM shelf s JOIN (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_idx) AS body FROM passages GROUP BY doc_id) p USING (doc_id)"""
     ),
@@ -242,7 +280,11 @@ SELECT doc_id, chapter_idx, text FROM passages UNION ALL
 SELECT doc_id, last + 1, text FROM passages JOIN (SELECT doc_id, max(chapter_idx) AS last FROM passages GROUP BY doc_id) USING (doc_id) WHERE chunk_idx < 2) GROUP BY doc_id"""
     ),
     "library_filter": with_views(
-        f"""SELECT doc_id, title, progress, favorite FROM shelf WHERE progress > 0 AND progress < {FINISHED} AND (contains(lower(title), '{NEEDLE}') OR contains(lower(author), '{NEEDLE}') OR contains(lower(tag), '{NEEDLE}') OR coalesce(contains(lower(collection), '{NEEDLE}'), false))"""
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS filter, doc_id, title, progress, favorite FROM shelf WHERE {dict(reading=f"progress > 0 AND progress < {FINISHED}", finished=f"progress >= {FINISHED}", unstarted="progress = 0").get(status, "true")}
+AND (contains(lower(title), '{needle}') OR contains(lower(author), '{needle}') OR contains(lower(tag), '{needle}') OR coalesce(contains(lower(collection), '{needle}'), false)) {"AND favorite" if fav else ""} {f"AND collection = '{coll}'" if coll else ""}"""
+            for name, needle, status, fav, coll in FILTERS
+        )
     ),
     "metadata_search": with_views(
         """SELECT doc_id, title, score FROM (SELECT *, (CASE WHEN contains(lower(title), 'en') THEN 4.0 ELSE 0 END + CASE WHEN contains(lower(author), 'en') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(tag), 'en') THEN 1.5 ELSE 0 END
@@ -270,12 +312,7 @@ SELECT DISTINCT doc_id, unnest([doc_id * 7 % n, doc_id * 3 % n, doc_id * 5 % n])
 floor(sum(words * progress / 100) + 0.5)::BIGINT AS words_read, floor(sum(words * progress / 100) / {WORDS_PER_MINUTE} + 0.5)::BIGINT AS minutes FROM shelf GROUP BY user_id"""
     ),
     "minutes_left": with_views(f"SELECT doc_id, greatest(1, floor((100 - progress) / 100 * words / {WORDS_PER_MINUTE} + 0.5)::BIGINT) AS minutes FROM shelf"),
-    "catalog_filter": f"SELECT id, name, context, round(in_price * 1e6, 4) AS in_per_m, uses FROM ({_CAT}) WHERE id LIKE '%:free' AND NOT id LIKE 'x:user/%'",
-    "catalog_rank": f"""SELECT profile, id, score FROM (SELECT profile, id, score, row_number() OVER (PARTITION BY profile ORDER BY score DESC, id) AS r FROM (
-SELECT profile, id, round(least(131072, context) / 8192 + least(10.0, size / 45) * CASE WHEN profile = 'creative' THEN 1.2 ELSE 0.4 END + tier * CASE WHEN profile = 'creative' THEN 0.8 ELSE 1.0 END
- - CASE WHEN contains(id, 'coder') THEN 120 ELSE 0 END - CASE WHEN profile = 'creative' AND size > 0 AND size < 7 THEN 20 ELSE 0 END
- + coalesce((SELECT sum(bonus) FROM {_FAM} WHERE p = profile AND contains(id, family)), 0), 6)::DOUBLE AS score
-FROM (SELECT id, context, coalesce(try_cast(nullif(regexp_extract(id, '([0-9]+)b', 1), '') AS DOUBLE), 0) AS size,
- CASE WHEN regexp_matches(id, '^(openai|anthropic|google)/') THEN 8.0 WHEN regexp_matches(id, '^(meta-llama|mistralai|cohere|deepseek)/') THEN 5.0 ELSE 0 END AS tier FROM ({_CAT}) WHERE id LIKE '%:free'),
- (VALUES ('creative'), ('fast')) AS ps(profile))) WHERE r = 1""",
+    "catalog_filter": f"SELECT entry, id, name, context, round(in_price * 1e6, 4) AS in_per_m FROM ({_CAT}) WHERE id LIKE '%:free' AND NOT id LIKE 'x:user/%'",
+    "catalog_rank": f"""WITH free AS (SELECT *, least(10.0, coalesce(try_cast(nullif(regexp_extract(id, '([0-9]+)b:', 1), '') AS DOUBLE), 0) / 5) AS size FROM ({_CAT}) WHERE id LIKE '%:free')
+SELECT profile, entry, id, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, entry) AS r FROM ({_RANKS})) WHERE r = 1""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readlake.functions import text as T
 from readlake.operators.keyed import cascade, latest_by_key, patched, replaced_slice
 from readlake.operators.ordered import with_island_start
+from readlake import params
 from readlake.plans import scalars
 
 
@@ -64,7 +65,7 @@ def test_json_payload(spark):
 
 
 def test_question_intent_prefers_theme_over_define():
-    patterns = dict(scalars.INTENTS)
+    patterns = dict(params.INTENTS)
     import re
 
     assert re.search(patterns["theme"], "meaning of") and list(patterns).index("theme") < list(patterns).index("define")
