@@ -29,7 +29,7 @@ def html_line_rows(pages: DataFrame) -> DataFrame:
         scope = F.coalesce(scope, F.nullif(F.regexp_extract(body, rf"(?is)<{e}(?:\s[^>]*)?>(.*)", 1), F.lit("")))
         scope = F.regexp_replace(scope, rf"(?is)</{e}\s*>.*", "")
     parts = F.split(T.replaced(F.coalesce(scope, body), BLOCK_STEPS), "\x01")
-    rows = pages.select("page_id", F.posexplode(parts).alias("pos", "part")).select(
+    rows = pages.select("page_id", F.posexplode_outer(parts).alias("pos", "part")).where("pos is not null").select(
         "page_id", "pos", F.lower(F.substring_index("part", "\x02", 1)).alias("tag"), F.trim(T.replaced(F.expr("substring(part, instr(part, '\\u0002') + 1)"), TEXT_STEPS)).alias("text")
     )
     kept = rows.where(F.col("tag").rlike("^(h[1-6]|p|li|blockquote|pre)$") & (F.length("text") >= 2))

@@ -18,8 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, word."""
-    return docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+    """doc_id, pos, word.
+
+    Outer, as Spark else infers a filter on the array's size and works the expression out again for it (so below).
+    """
+    return docs.select("doc_id", F.posexplode_outer(T.tokens(F.col("text"))).alias("pos", "word")).where("pos is not null")
 
 
 def term_freqs(docs: DataFrame) -> DataFrame:
@@ -37,13 +40,14 @@ def keyword_rows(docs: DataFrame, n: int = KEYWORDS) -> DataFrame:
 
 
 def sentence_arrays(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, s: the sentences of each text, in order."""
-    return docs.select(*(keys or ["doc_id"]), T.sentences(F.col("text")).alias("s"))
+    """keys, s: the sentences of each text, in order.  Texts are dealt by their keys first, which later steps rely on."""
+    keys = keys or ["doc_id"]
+    return docs.repartition(*keys).select(*keys, T.sentences(F.col("text")).alias("s"))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, idx, sentence."""
-    return docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    return docs.select(key, F.posexplode_outer(T.sentences(F.col("text"))).alias("idx", "sentence")).where("idx is not null")
 
 
 def position_bonus(idx: Column, n: Column) -> Column:
@@ -53,18 +57,19 @@ def position_bonus(idx: Column, n: Column) -> Column:
 def summaries(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
     """keys, summary: the n best sentences (by their words' frequency within the key, length and place) in order.
 
-    ``texts``: one row per key with its sentences ``s``.  They are shuffled once by the keys, and counted, weighed,
-    ranked and looked up where they are.
+    ``texts``: one row per key with its sentences ``s``, dealt by the keys: words are counted and weighed, and sentences
+    ranked and looked up, where they are.
     """
-    base = texts.where(F.size("s") > 0).repartition(*keys)
-    rows = base.select(*keys, F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
-    words = F.filter(T.tokens(F.col("sentence")), T.is_content_word)
-    per = rows.select(*keys, "n", "idx", F.explode_outer(words).alias("word")).groupBy(*keys, "n", "idx", "word").agg(F.count("word").alias("k"))
+    rows = texts.select(*keys, F.size("s").alias("n"), F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null")
+    # words that don't count stand as null, so that every sentence has a row
+    words = rows.select(*keys, "n", "idx", F.explode_outer(T.tokens(F.col("sentence"))).alias("word"))
+    words = words.withColumn("word", F.when(T.is_content_word(F.col("word")), F.col("word")))
+    per = words.groupBy(*keys, "n", "idx", "word").agg(F.count("word").alias("k"))
     per = per.withColumn("tf", F.sum("k").over(W.partitionBy(*keys, "word")))
     dense = per.groupBy(*keys, "n", "idx").agg(F.sum(F.col("k") * F.col("tf")).alias("density"), F.sum("k").alias("words"))
     score = F.round(F.col("density") / F.pow(F.col("words") + 3.0, F.lit(0.62)) + position_bonus(F.col("idx"), F.col("n")), 9)
     best = ranked(dense.withColumn("score", score), keys, [F.desc("score"), "idx"], n).groupBy(*keys).agg(F.sort_array(F.collect_list("idx")).alias("at"))
-    return best.join(base, keys).select(*keys, F.array_join(F.transform("at", lambda i: F.get("s", i)), " ").alias("summary"))
+    return best.join(texts, keys).select(*keys, F.array_join(F.transform("at", lambda i: F.get("s", i)), " ").alias("summary"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +115,7 @@ def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     kw = keyword_rows(docs, THEMES).select("doc_id", "word", "rank")
     held = F.filter("s", lambda x: F.contains(F.lower(x), F.col("word")))
-    hits = sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s"))
+    hits = sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s")).repartition("doc_id", "place")
     note = summaries(hits, ["doc_id", "place"], 1)
     return kw.join(note.withColumnRenamed("place", "rank"), ["doc_id", "rank"], "left").select("doc_id", "rank", F.initcap("word").alias("name"), F.coalesce("summary", F.lit("")).alias("note"))
 
@@ -140,13 +145,13 @@ STRIP_LEFT, STRIP_RIGHT, NAME = r"^[\"'“”‘’(\[]+", r"[\"'“”’),.!?;
 
 def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     """doc_id, rank, name, note: capitalised words that aren't common ones, by weight (double beside a speech verb)."""
-    base = docs.select("doc_id", "text", T.sentences(F.col("text")).alias("s")).repartition("doc_id")
+    base = docs.repartition("doc_id").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
     # a sentence's words with those beside them; only capitalised ones leave their array
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
-    words = base.select("doc_id", F.posexplode("s").alias("idx", "sentence")).select("doc_id", "idx", F.transform(F.split("sentence", T.SPACES), clean).alias("cs"))
+    words = base.select("doc_id", F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null").select("doc_id", "idx", F.transform(F.split("sentence", T.SPACES), clean).alias("cs"))
     beside = F.transform("cs", lambda c, k: F.struct(k.alias("k"), c.alias("clean"), F.lower(F.get("cs", k - 1)).alias("prev"), F.lower(F.get("cs", k + 1)).alias("next")))
-    caps = words.select("doc_id", "idx", F.explode(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
-    every = base.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("lower")).groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
+    caps = words.select("doc_id", "idx", F.explode_outer(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).where("x is not null").select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
+    every = base.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("lower")).where("lower is not null").groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
     # counts and names meet in a window on (document, word), which the one shuffle by document serves
     both = caps.withColumn("every", F.lit(None).cast("long")).unionByName(every, allowMissingColumns=True)
     w = W.partitionBy("doc_id", "lower")

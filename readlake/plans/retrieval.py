@@ -35,7 +35,7 @@ def retrieve_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).select("conv_id", "turn", "doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
     q = q.where((F.length("word") > 3) & ~F.col("word").isin(*STOP_WORDS))
     asked = q.select("doc_id").distinct()
-    toks = passages(spark, sf_dir).join(asked, "doc_id", "left_semi").select("doc_id", "chunk_idx", F.explode(T.tokens(F.col("text"))).alias("word"))
+    toks = passages(spark, sf_dir).join(asked, "doc_id", "left_semi").select("doc_id", "chunk_idx", F.explode_outer(T.tokens(F.col("text"))).alias("word")).where("word is not null")
     per = toks.groupBy("doc_id", "chunk_idx", "word").agg(F.count(F.lit(1)).alias("n"))
     s = q.join(per, ["doc_id", "word"]).groupBy("conv_id", "turn", "doc_id", "chunk_idx").agg(F.sum("n").alias("score"))
     return s.withColumn("r", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "chunk_idx"))).where("r = 1").drop("r")
