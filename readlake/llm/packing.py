@@ -3,9 +3,10 @@
 A packing needs only the histogram of piece lengths (at most MAX_LEN bins, whatever the corpus):
 
 1. tokenise, cut and hash every document on the executors; keep one small row per piece;
-2. count the lengths; enumerate patterns of two and three lengths that fill a sequence exactly;
+2. count the lengths; enumerate patterns of two to MOST lengths that fill a sequence exactly;
 3. fit how often each pattern is used to the histogram by non-negative least squares, in which short
-   lengths weigh less, as they also fill gaps; round down to what the histogram holds;
+   lengths weigh less, as they also fill gaps; use whole repeats, then one more of the patterns with the
+   largest remainders; enumerate and fit anew for what is left, until that places little;
 4. pack what remains by best fit on the histogram: the longest remaining length first, then always the
    longest that fits, the whole pattern repeated as long as its lengths last.
 
@@ -25,6 +26,7 @@ import functools
 import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,12 @@ END_ID = 1
 CACHE = 64 << 20  # bytes that a worker's words and their ids may take
 OVERHEAD = 200  # bytes of an entry beside its word and ids
 LONG_WORD = 64  # bytes; longer ones aren't remembered
-PATTERNS = 30_000  # at most so many candidate patterns
-STEPS = 300
+MOST = 6  # documents of a pattern
+DRAWS = 12_000  # candidate patterns of each number of documents that a round draws; rounds draw anew
+ROUNDS = 12  # of fitting, at most; best fit packs whatever they leave
+LEAST_FIT = 0.02  # repeats below which a pattern isn't used
+LEAST_GAIN = 0.05  # share of pieces that a round must place for another one
+STEPS = 150
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -166,20 +172,27 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
-def exact_patterns(hist: np.ndarray, size: int) -> np.ndarray:
-    """Rows of two or three lengths (0: none) that sum to ``size``, all present, longest first."""
+def exact_patterns(hist: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Rows of two to MOST lengths (0: none) that sum to ``size``, all present, longest first.
+
+    All pairs are there; of longer patterns a round's DRAWS: lengths drawn as often as the histogram has them,
+    and one length, or two, that fill what is left exactly.
+    """
+    rng = np.random.default_rng(seed)
     have = np.flatnonzero(hist)
     have = have[(have > 0) & (have < size)]
-    pairs = np.array([(size - x, x) for x in have if x <= size - x and hist[size - x]], np.int64).reshape(-1, 2)
-    rows = [np.column_stack([pairs, np.zeros(len(pairs), np.int64)])]
-    often = have[np.argsort(-hist[have], kind="stable")][: max(8, int((PATTERNS * 2) ** 0.5))]
-    a, b = (x.ravel() for x in np.meshgrid(often, often, indexing="ij"))
-    c = size - a - b
-    ok = (a <= b) & (c >= b)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = hist[c] > 0
-    rows.append(np.column_stack([c[ok], b[ok], a[ok]]))
-    return np.concatenate(rows)[:PATTERNS]
+    rows = [np.array([(size - x, x) for x in have if x <= size - x and hist[size - x]], np.int64).reshape(-1, 2)]
+    if len(have):
+        share = np.cumsum(hist[have] / hist[have].sum())
+        draw = lambda n: have[np.minimum(np.searchsorted(share, rng.random(n)), len(have) - 1)]
+        for k in range(2, MOST):
+            some = np.column_stack([draw(DRAWS) for _ in range(k)])
+            room = size - some.sum(axis=1)
+            ok = (room > 0) & (room < size)
+            ok[ok] = hist[room[ok]] > 0
+            rows.append(np.column_stack([some[ok], room[ok]]))
+    wide = [np.pad(r, ((0, 0), (0, MOST - r.shape[1]))) for r in rows]
+    return np.unique(-np.sort(-np.concatenate(wide), axis=1), axis=0)
 
 
 def fit_counts(hist: np.ndarray, patterns: np.ndarray, size: int) -> np.ndarray:
@@ -193,9 +206,9 @@ def fit_counts(hist: np.ndarray, patterns: np.ndarray, size: int) -> np.ndarray:
     weight[0] = 0
 
     def applied(x):
-        return np.bincount(patterns.ravel(), np.repeat(x, 3), size + 1)
+        return np.bincount(patterns.ravel(), np.repeat(x, patterns.shape[1]), size + 1)
 
-    rate = 1.0 / max(1.0, applied(np.ones(len(patterns)))[1:].max() * 3)
+    rate = 1.0 / max(1.0, applied(np.ones(len(patterns)))[1:].max() * patterns.shape[1])
     x = y = np.zeros(len(patterns))
     t = 1.0
     for _ in range(STEPS):
@@ -206,26 +219,35 @@ def fit_counts(hist: np.ndarray, patterns: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def plan_sequences(hist: np.ndarray, size: int = MAX_LEN) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, longest first; repeats), using every piece of the histogram exactly once."""
+def fitted_sequences(hist: np.ndarray, size: int = MAX_LEN) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(lengths of a sequence, longest first; repeats) from fitted patterns, and the histogram of what they leave."""
     left, plan = hist.astype(np.int64).copy(), []
     if left[size]:
         plan.append(((size,), int(left[size])))
         left[size] = 0
-    patterns = exact_patterns(left, size)
-    counts = np.floor(fit_counts(left.astype(float), patterns, size)).astype(np.int64)
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < 1:
+    for seed in range(ROUNDS):
+        patterns = exact_patterns(left, size, seed)
+        fit = fit_counts(left.astype(float), patterns, size)
+        before = left.sum()
+        # whole repeats first, then one more of those with the largest remainders, as far as the histogram has the lengths
+        for counts, order in ((np.floor(fit), np.argsort(-fit, kind="stable")), (np.ones(len(fit)), np.argsort(np.floor(fit) - fit, kind="stable"))):
+            for k in order:
+                if counts[k] < 1 or fit[k] < LEAST_FIT:
+                    continue
+                need = Counter(int(x) for x in patterns[k] if x)
+                times = min(int(counts[k]), *(int(left[x]) // n for x, n in need.items()))
+                if times > 0:
+                    plan.append((tuple(int(x) for x in patterns[k] if x), times))
+                    for x, n in need.items():
+                        left[x] -= n * times
+        if before - left.sum() < LEAST_GAIN * before:
             break
-        need: dict[int, int] = {}
-        for x in patterns[k]:
-            if x:
-                need[int(x)] = need.get(int(x), 0) + 1
-        times = min(int(counts[k]), *(int(left[x]) // n for x, n in need.items()))
-        if times > 0:
-            plan.append((tuple(int(x) for x in patterns[k] if x), times))
-            for x, n in need.items():
-                left[x] -= n * times
+    return plan, left
+
+
+def plan_sequences(hist: np.ndarray, size: int = MAX_LEN) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, longest first; repeats), using every piece of the histogram exactly once."""
+    plan, left = fitted_sequences(hist, size)
     have = [int(x) for x in np.flatnonzero(left)]  # ascending
     while have:
         lengths: list[tuple[int, int]] = []
