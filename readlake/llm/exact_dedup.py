@@ -1,9 +1,13 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest.  A delta is first reduced to one row per digest
-(map-side), then anti-joined with the index (the index side is read in its buckets, without a shuffle)
-and what is new is appended.  Classes are looked up in the index; the few digests that hold a large
-share of the rows are looked up by broadcast.
+(map-side), then anti-joined with the index (the index side is read in its buckets, without a shuffle), and
+what is new is appended.  A known digest that comes again is appended too, as a later row with the delta's
+count and largest doc_id: ``read`` adds the rows of a digest up in their bucket, again without a shuffle.
+Classes are looked up in the index; the few digests that hold a large share of the rows are looked up by
+broadcast.  A new index gets a bucket for every BUCKET_ROWS rows; an index that is there keeps its own number.
+
+The query brings the documents in two deltas, so that the second meets the digests of the first.
 
 Cases: null text counts as empty; an empty table gives an empty index and result; repeated rows of one
 doc_id share one verdict (``stage`` keeps one of them); a null doc_id never wins against a known one;
@@ -17,9 +21,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm.common import ascii_lower, fresh_path, join_groups, materialize, table, text_or_empty
+from readlake.llm.common import ascii_lower, discard, fresh_path, join_groups, materialize, table, text_or_empty
 
-BUCKETS = 64
+BUCKET_ROWS = 2_000_000
+DELTAS = 2
 
 
 def text_digest(text: str | Column = "text") -> Column:
@@ -28,27 +33,37 @@ def text_digest(text: str | Column = "text") -> Column:
 
 
 class DigestIndex:
-    """Rows (digest, keep_id, group_size), bucketed and sorted by digest."""
+    """Rows (digest, keep_id, group_size), bucketed and sorted by digest; a digest may have several, which add up.
+
+    ``path`` and ``name`` find an index again; ``rows`` is how many a new one is made for.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, rows: int = 0):
+        self.spark = spark
         self.path = path or fresh_path(spark, "digest-index")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {wanted} BUCKETS LOCATION '{self.path}'"
         )
+        described = spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+        self.buckets = int(described["data_type"])
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        rows = self.spark.table(self.name)
+        return rows.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def append(self, delta: DataFrame) -> None:
-        """Add the digests of ``delta`` (doc_id, digest) that the index lacks."""
+        """Add the digests of ``delta`` (doc_id, digest) that the index lacks, and later rows for those that it has."""
         groups = delta.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        known = self.spark.table(self.name).select("digest").hint("merge")
+        groups = materialize(groups, "digest-groups")
+        fresh, again = groups.join(known, "digest", "left_anti"), groups.join(known, "digest", "left_semi")
+        # read in full before the table changes
+        rows = materialize(fresh.select("digest", "keep_id", "group_size").unionByName(again.select("digest", "keep_id", "group_size")), "digest-delta")
         (
-            new.select("digest", "keep_id", "group_size")
-            .repartition(self.buckets, "digest")
+            rows.repartition(self.buckets, "digest")
             .write.format("parquet")
             .mode("append")
             .bucketBy(self.buckets, "digest")
@@ -61,18 +76,32 @@ class DigestIndex:
         """``delta`` with the keep_id and group_size of each row's digest."""
         return join_groups(delta, self.read(), "digest", "group_size", total)
 
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, self.path)
+
 
 def digests(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", text_digest().alias("digest")), "digests")
 
 
-def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def classes(docs: DataFrame, index: DigestIndex | None = None, deltas: int = 1) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The documents are appended to ``index`` in so many deltas; without one, an index is made for them and dropped.
+    """
     spark = docs.sparkSession
-    delta = digests(docs)
-    index = index or DigestIndex(spark)
-    index.append(delta)
-    return index.assign(delta, delta.count()).select(
+    rows = digests(docs)
+    total = rows.count()
+    own = index or DigestIndex(spark, rows=total)
+    for k in range(deltas):
+        own.append(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(deltas)) == k))
+    found = own.assign(rows, total)
+    if index is None:
+        found = materialize(found, "digest-classes")
+        own.drop()
+    return found.select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -82,7 +111,7 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), deltas=DELTAS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
