@@ -6,8 +6,10 @@ text with very many matches costs little more than its length.  Patterns use pos
 each run of characters at its start (or at the last match's end), so no text is scanned more than once.
 
 Base kinds (email, ip, card, phone) are kept when their validator holds.  The method adds
-iban (mod 97), ssn and tel (national numbers), which need a score of KEEP: the kind's own, raised by a
-context word close by.  An added span that overlaps a base span is dropped.
+iban (mod 97), ssn, intl and tel (numbers that the base's phone misses, as where it runs on into other digits)
+and secret (tokens and keys, by their entropy), which need a score of KEEP: the kind's own, raised by a
+context word close by.  For ssn, tel and secret the context decides.  An added span that overlaps a base span
+or one of a kind before it is dropped.
 
 Cases: null text is empty and has no spans; every row has its result, repeated rows alike; columns other
 than doc_id and text are ignored by the query and carried by ``stage``.
@@ -39,6 +41,10 @@ _MOD97 = (
 )
 
 
+SECRET, BITS = 200, 3.0  # longest secret; bits of entropy that a character of one has at least
+_ENTROPY = "-aggregate(transform(array_distinct(split(s.value, '')), c -> (length(s.value) - length(replace(s.value, c, ''))) / length(s.value)), 0D, (a, p) -> a + p * log2(p))"
+
+
 def _with(value: str, test: str) -> str:
     """``test`` over d, bound once to ``value``."""
     return f"element_at(transform(array({value}), d -> {test}), 1)"
@@ -68,14 +74,22 @@ KINDS = (
         _with("replace(s.value, ' ', '')", f"length(d) between 15 and 34 and {_MOD97}"), 0.6, "iban|account|konto|bank",
     ),
     Kind(
-        "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "text rlike '[0-9]-[0-9]{2}-[0-9]'",
-        "substring(s.value, 1, 3) not in ('000', '666') and substring(s.value, 1, 1) <> '9' and substring(s.value, 5, 2) <> '00' and right(s.value, 4) <> '0000'",
+        "ssn", r"[0-9][0-9-]{10}[0-9-]*+", "text rlike '[0-9]-[0-9]{2}-[0-9]'",
+        "s.value rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' and substring(s.value, 1, 3) not in ('000', '666') and substring(s.value, 1, 1) <> '9' and substring(s.value, 5, 2) <> '00' and right(s.value, 4) <> '0000'",
         0.3, "ssn|social|security",
     ),
+    Kind(
+        "intl", r"\+[0-9]{1,3}[ .-]?[(]?[0-9]{2,4}[)]?[ .-][0-9]{3}[ .-][0-9]{4}[0-9-]*+", "contains(text, '+')",
+        r"s.value rlike '[^0-9][0-9]{4}$'", 0.7, "phone|tel|call|mobile|fax",
+    ),
     Kind(
         "tel", r"(?<![0-9(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", "text rlike '[0-9]{3}[ .-][0-9]{4}'",
         "true", 0.3, "phone|tel|call|mobile|fax",
     ),
+    Kind(
+        "secret", r"[A-Za-z0-9_+/-]{24,}+", "text rlike '[A-Za-z0-9_+/-]{24}'",
+        f"length(s.value) <= {SECRET} and length({_DIGITS}) >= 3 and length({_DIGITS}) < length(s.value) and {_ENTROPY} >= {BITS}", 0.35, "token|secret|key|password|passwd|credential|bearer|auth",
+    ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -116,12 +130,12 @@ def spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         df = _placed(_matches(df, kind), kind)
     df = df.withColumn("base", F.expr(f"concat({', '.join(_scored(k, f'p_{k.name}') for k in KINDS if k.base)})"))
-    free = "not exists(base, b -> b.start < s.stop and s.start < b.stop)"
-    return df.select(
-        "doc_id",
-        "base",
-        F.expr(f"filter(concat({', '.join(_scored(k, f'p_{k.name}') for k in KINDS if not k.base)}), s -> s.score >= {KEEP} and {free})").alias("added"),
-    )
+    df = df.withColumn("added", F.expr("slice(base, 1, 0)"))
+    for kind in (k for k in KINDS if not k.base):
+        free = "not exists(base, b -> b.start < s.stop and s.start < b.stop) and not exists(added, b -> b.start < s.stop and s.start < b.stop)"
+        more = f"concat(added, filter({_scored(kind, f'p_{kind.name}')}, s -> s.score >= {KEEP} and {free}))"
+        df = df.withColumn("added", F.expr(f"case when size(h_{kind.name}) > 0 then {more} else added end"))
+    return df.select("doc_id", "base", "added")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +143,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE],
+        F.expr("cast(size(added) as bigint)").alias("n_added"),
         F.expr(f"sha2(cast({listed('base')} as binary), 256)").alias("base_sha256"),
         F.expr(listed("concat(base, added)")).alias("spans"),
     )
 
 
-#: Order in which kinds are masked: those that take in most characters first.
-MASK_ORDER = ("phone", "card", "iban", "email", "ip", "ssn", "tel")
+#: Order in which kinds are masked: secrets, whose context other masks would change, then those that take in most characters.
+MASK_ORDER = ("secret", "phone", "card", "iban", "email", "ip", "intl", "ssn", "tel")
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -169,17 +184,31 @@ def _sql_spans(kind: str, pattern: str, test: str) -> str:
 
 
 _SQL_LUHN = "list_sum(list_transform(range(length(d)), lambda i: [[0,1,2,3,4,5,6,7,8,9],[0,2,4,6,8,1,3,5,7,9]][1 + i % 2][1 + d[length(d) - i]::INT])) % 10 = 0"
-#: The base kinds and the spans added with them, as plain SQL; the test tables hold no added kinds (see tests for those).
+
+
+def _sql_near(kind: str) -> str:
+    words = next(k.words for k in KINDS if k.name == kind)
+    return f"regexp_matches(lower(t[greatest(s - {NEAR}, 0) + 1 : greatest(s - {NEAR}, 0) + e - s + {2 * NEAR}]), '(^|[^a-z])({words})')"
+
+
+_SQL_ENTROPY = "-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v))))"
+_SQL_SECRET = f"length(v) <= {SECRET} AND length(d) >= 3 AND length(d) < length(v) AND {_SQL_ENTROPY} >= {BITS} AND {_sql_near('secret')}"
+_SQL_SSN = f"regexp_full_match(v, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND v[1:3] NOT IN ('000', '666') AND v[1] <> '9' AND v[5:6] <> '00' AND v[8:11] <> '0000' AND {_sql_near('ssn')}"
+_SQL_FREE = lambda kind, *before: f"list_filter({kind}, lambda x: len(list_filter(email || ip || card || phone{''.join(' || ' + b for b in before)}, lambda b: split_part(b, ':', 2)::INT < split_part(x, ':', 3)::INT AND split_part(x, ':', 2)::INT < split_part(b, ':', 3)::INT)) = 0)"
+#: The base kinds, and of the added ones those that need no look-around (ssn, intl, secret), as plain SQL; iban and tel have none in the test tables (see tests).
 SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (
   SELECT doc_id,
     coalesce({_sql_spans("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true")}, []) AS email,
     coalesce({_sql_spans("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "list_bool_and(list_transform(string_split(v, '.'), lambda p: p::HUGEINT <= 255))")}, []) AS ip,
     coalesce({_sql_spans("card", "[0-9]([\\x20-]?[0-9])+", f"length(d) BETWEEN 16 AND 19 AND {_SQL_LUHN}")}, []) AS card,
-    coalesce({_sql_spans("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15")}, []) AS phone
-  FROM t)
-SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone,
+    coalesce({_sql_spans("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15")}, []) AS phone,
+    coalesce({_sql_spans("ssn", "[0-9][0-9-]{10}[0-9-]*", _SQL_SSN)}, []) AS ssn,
+    coalesce({_sql_spans("intl", "\\+[0-9]{1,3}[ .-]?[(]?[0-9]{2,4}[)]?[ .-][0-9]{3}[ .-][0-9]{4}[0-9-]*", "regexp_matches(v, '[^0-9][0-9]{4}$')")}, []) AS intl,
+    coalesce({_sql_spans("secret", "[A-Za-z0-9_+/-]{24,}", _SQL_SECRET)}, []) AS secret
+  FROM t), f AS (SELECT *, {_SQL_FREE("ssn")} AS ssn1, {_SQL_FREE("intl", "ssn")} AS intl1, {_SQL_FREE("secret", "ssn", "intl")} AS secret1 FROM s)
+SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone, len(ssn1 || intl1 || secret1) AS n_added,
   sha256(array_to_string(email || ip || card || phone, ',')) AS base_sha256,
-  array_to_string(email || ip || card || phone, ',') AS spans
-FROM s
+  array_to_string(email || ip || card || phone || ssn1 || intl1 || secret1, ',') AS spans
+FROM f
 """
