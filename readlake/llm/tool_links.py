@@ -1,8 +1,9 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and written as canonical JSON.
 
 1. Calls and results of a conversation are hash-joined by identifier; either may lack the other.
-2. A call's level is one more than the highest level of the calls that it depends on, found by joins, a
-   level a round (calls of a cycle get none; a dependency that doesn't exist is reported).  Sorting by
+2. A call's level is one more than the highest level of the calls that it depends on, found by joins: chains
+   of single dependencies by doubling, calls with several a level a round (calls of a cycle, and behind one,
+   get none; a dependency that doesn't exist is reported).  Sorting by
    conv_id, level and turn is a topological order; no window needs a whole conversation in a task.
 3. Arguments are parsed as VARIANT and held against the tool's parameters: missing, unknown and wrongly
    typed ones are listed.
@@ -46,25 +47,59 @@ def first_of_each(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _jumped(single: DataFrame, most: int) -> DataFrame:
+    """(conv_id, call_id, to, hops): where each call's chain of single dependencies ends, found by doubling.
+
+    single: conv_id, call_id, dep.  Chains that don't end within ``most`` calls go round in a cycle and are left out.
+    """
+    ends = single.select("conv_id", F.col("call_id").alias("to"))
+    point = materialize(single.select("conv_id", "call_id", F.col("dep").alias("to"), F.lit(1).cast("long").alias("hops")), "tool-jumps")
+    for _ in range(max(1, most).bit_length()):
+        far = point.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        point = materialize(
+            point.join(far, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "tool-jumps"
+        )
+    return point.join(ends, ["conv_id", "to"], "left_anti")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls (conv_id, call_id, depends) that lie on no cycle and behind none."""
+    """(conv_id, call_id, level) of calls (conv_id, call_id, depends) that lie on no cycle and behind none.
+
+    Chains of calls with one dependency each are followed by doubling, in a number of rounds that is the logarithm
+    of their length.  What remains are calls with several dependencies, which are placed a level a round.
+    """
     nodes = calls.select("conv_id", "call_id")
     wanted = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends")).alias("dep"))
     there = nodes.select("conv_id", F.col("call_id").alias("dep"))
     edges = materialize(wanted.join(there, ["conv_id", "dep"]), "tool-edges")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    placed = materialize(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "tool-levels")
-    out, level = placed, 0
-    while not edges.isEmpty() and not placed.isEmpty():
-        level += 1
-        done = placed.select("conv_id", F.col("call_id").alias("dep"))
-        reached = edges.join(done, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct()
-        edges = materialize(edges.join(done, ["conv_id", "dep"], "left_anti"), "tool-edges")
-        placed = materialize(
-            reached.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "tool-levels"
-        )
-        out = out.unionByName(placed)
-    return out
+    counted = materialize(edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep")), "tool-counts")
+    free = nodes.join(counted, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    most = counted.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if not most:
+        return free.withColumn("level", F.col("level").cast("int"))
+    jumps = materialize(_jumped(counted.where("n = 1").select("conv_id", "call_id", "dep"), most), "tool-ends")
+    # calls with several dependencies: each dependency stands for the end of its chain
+    via = jumps.select("conv_id", F.col("call_id").alias("dep"), "to", "hops")
+    several = edges.join(counted.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    chained = counted.where("n = 1").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("chained"))
+    some = several.join(via, ["conv_id", "dep"], "left").join(chained, ["conv_id", "dep"], "left")
+    # (a chain that ends nowhere leads into a cycle: ``to`` is then no call that is ever placed)
+    end = F.when(F.col("chained"), F.col("to")).otherwise(F.col("dep"))
+    open_ = materialize(some.select("conv_id", "call_id", end.alias("to"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops")), "tool-open")
+    placed = materialize(free, "tool-levels")
+    out, fresh = placed, placed
+    reached = None
+    while not open_.isEmpty() and not fresh.isEmpty():
+        at = fresh.select("conv_id", F.col("call_id").alias("to"), "level")
+        hit = open_.join(at, ["conv_id", "to"]).groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("hops")).alias("level"))
+        reached = materialize((hit if reached is None else reached.unionByName(hit)).groupBy("conv_id", "call_id").agg(F.max("level").alias("level")), "tool-reached")
+        open_ = materialize(open_.join(at, ["conv_id", "to"], "left_anti"), "tool-open")
+        waiting = open_.select("conv_id", "call_id").distinct()
+        fresh = materialize(reached.join(waiting, ["conv_id", "call_id"], "left_anti"), "tool-levels")
+        reached = materialize(reached.join(waiting, ["conv_id", "call_id"], "left_semi"), "tool-reached")
+        out = out.unionByName(fresh)
+    behind = jumps.join(out.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("hops")).alias("level"))
+    return out.unionByName(behind).withColumn("level", F.col("level").cast("int"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
