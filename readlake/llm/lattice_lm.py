@@ -12,7 +12,7 @@ fits to the corpus.  Recursions run over many words of one length at once.
    row per piece comes to the driver).
 3. Give each distinct word its marginal.
 4. Score documents: words holding at least 1 / SHARE of the training tokens (so at most SHARE of them)
-   come by broadcast; the others are joined by word, where none is frequent.
+   come by broadcast, long ones as digests; the others are joined by word, where none is frequent.
 
 Beside it the plain word model: add-half counts of words.
 
@@ -22,6 +22,8 @@ hold-out; with no training text all words are unknown; repeated rows are scored
 
 from __future__ import annotations
 
+import array
+import hashlib
 import math
 from collections import Counter
 
@@ -34,7 +36,8 @@ from readlake.llm.common import materialize, small, table
 
 FOLDS, HELD_OUT = 5, 1
 SHARE = 1_000_000
-LONG_WORD = 64  # bytes; longer words are never broadcast
+LONG_WORD = 64  # bytes; longer words go by a digest
+LONG_BLOCK = 2_000  # characters; longer words are worked through one by one
 FLUSH = 200_000  # words that a task counts before it passes them on
 PRIOR = 3_200.0  # pseudo-count of the first probabilities
 ROUNDS = 2  # of expectation-maximisation
@@ -64,6 +67,9 @@ class Vocabulary:
         weight = np.concatenate([1 / (rank + 10), np.full(256, 1e-6), [1e-2]])
         self.first = weight / weight.sum()
         self.longest = max(map(len, self.pieces))
+        self.lengths = [len(p) for p in self.pieces]
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.automaton = None
         keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
         self.tables = []
         rest = np.arange(len(keys))
@@ -110,6 +116,11 @@ class Vocabulary:
         at = 0
         while at < len(order):
             n = length[order[at]]
+            if n > LONG_BLOCK:
+                i = order[at]
+                out[i] = self._long(MARK + words[i], logp, 0.0 if weights is None else float(weights[i]), uses)
+                at += 1
+                continue
             stop = min(int(np.searchsorted(length[order], n, side="right")), at + max(1, 200_000 // int(n)))
             pick = order[at:stop]
             text = "".join([MARK + words[i] for i in pick])
@@ -118,6 +129,52 @@ class Vocabulary:
             at = stop
         return (out, uses) if weights is not None else out
 
+    def _long(self, text: str, logp: np.ndarray, weight: float, uses) -> float:
+        """One long word: pieces come from an automaton, in time and memory proportional to its length."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for k, p in enumerate(self.pieces):
+                self.automaton.add_word(p, (k, len(p)))
+            self.automaton.make_automaton()
+        lp, spelt = logp.tolist(), {c: self.spelled(ord(c), logp) for c in set(text) - self.single}
+        ahead = [-math.inf] * (len(text) + 1)
+        ahead[0] = 0.0
+        matches = self.automaton.iter(text)
+        end, piece = next(matches, (len(text), None))
+        held = array.array("i")  # (end, piece) of each match, in order
+        for j, c in enumerate(text):
+            best = [ahead[j] + spelt[c][0]] if c in spelt else []
+            while end == j:
+                k, n = piece
+                held.extend((j + 1, k))
+                best.append(ahead[j + 1 - n] + lp[k])
+                end, piece = next(matches, (len(text), None))
+            top = max(best)
+            ahead[j + 1] = top + math.log(sum([math.exp(x - top) for x in best])) if len(best) > 1 else top
+        if weight and uses is not None:
+            total, behind = ahead[-1], [-math.inf] * (len(text) + 1)
+            behind[-1] = 0.0
+            at = len(held)
+            for j in range(len(text), 0, -1):  # everything that starts at j has been seen when its end comes up
+                b = behind[j]
+                c = text[j - 1]
+                if c in spelt:
+                    p, ids = spelt[c]
+                    share = weight * math.exp(ahead[j - 1] + p + b - total)
+                    for x in ids:
+                        uses[x] += share
+                    behind[j - 1] = float(np.logaddexp(behind[j - 1], b + p))
+                while at and held[at - 2] == j:
+                    k = held[at - 1]
+                    i = j - self.lengths[k]
+                    uses[k] += weight * math.exp(ahead[i] + lp[k] + b - total)
+                    x, y = behind[i], b + lp[k]
+                    behind[i] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+                    at -= 2
+        return ahead[-1]
+
     def _block(self, codes: np.ndarray, logp: np.ndarray, weights, uses) -> np.ndarray:
         rows, n = codes.shape
         prefix = np.zeros((n + 1, rows), np.uint64)
@@ -176,6 +233,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def key_of(word: bytes) -> bytes:
+    """A word, or a digest of a long one (which starts with a byte that no word holds), so that keys have a bounded size."""
+    return word if len(word) <= LONG_WORD else b"\xff" + hashlib.blake2b(word, digest_size=24).digest()
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) for every word of rows (text, held_out); c counts training rows only."""
 
@@ -211,7 +273,7 @@ def fitted(words: DataFrame, model: str, ends: int, rounds: int = ROUNDS) -> np.
 
         def expected(batches, now=now):
             vocab, total = vocabulary(model), 0.0
-            for batch in batches:
+            for batch in small(batches, 1 << 14, 1 << 20):
                 text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
                 total = total + vocab.lattices(text, now.value, batch.column("c").to_numpy().astype(float))[1]
             if isinstance(total, np.ndarray):
@@ -226,8 +288,8 @@ def fitted(words: DataFrame, model: str, ends: int, rounds: int = ROUNDS) -> np.
     return np.log(p)
 
 
-def scored(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(docs: DataFrame, model: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (rounds=0: by the vocabulary's own scores alone)."""
     spark, model = docs.sparkSession, model or default_model()
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold == HELD_OUT).alias("held_out"))
@@ -236,18 +298,18 @@ def scored(docs: DataFrame, model: str | None = None) -> DataFrame:
     stats = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = (stats["n"] or 0) + ends, stats["v"] + (ends > 0)
     norm = total + 0.5 * (distinct + 1)
-    logp = spark.sparkContext.broadcast(fitted(counts, model, ends))
+    logp = spark.sparkContext.broadcast(fitted(counts, model, ends, rounds))
     end_base, end_score = math.log10((ends + 0.5) / norm), float(logp.value[-1]) / math.log(10)
 
     def marginal(batches):
         vocab = vocabulary(model)
-        for batch in batches:
+        for batch in small(batches, 1 << 14, 1 << 20):
             text = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
             lp = vocab.lattices(text, logp.value) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in batch.column("word").to_pylist()], pa.binary()), batch.column("c"), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
     words = materialize(counts.mapInArrow(marginal, "word binary, c long, lp double"), "word-scores")
-    often = (F.col("c") * SHARE >= total) & (F.octet_length("word") <= LONG_WORD) & (F.col("c") > 0)
+    often = (F.col("c") * SHARE >= total) & (F.col("c") > 0)
     top = words.where(often).toArrow()  # at most SHARE rows of at most LONG_WORD bytes
     known = spark.sparkContext.broadcast(
         {w: (math.log10((c + 0.5) / norm), lp) for w, c, lp in zip(*(top.column(k).to_pylist() for k in ("word", "c", "lp")), strict=True)}
@@ -262,6 +324,7 @@ def scored(docs: DataFrame, model: str | None = None) -> DataFrame:
                 words_ = tokens_of(text)
                 hits, b, s, others = 0, 0.0, 0.0, []
                 for w, k in Counter(words_).items():
+                    w = key_of(w)
                     hit = table_.get(w)
                     if hit is None:
                         others.append({"word": w, "n": k})
