@@ -13,7 +13,7 @@
 Terms are the lower-cased words of a text, hashed to 2 ** BITS slots; labels, lang, source and doc_id are
 never inputs of a score.
 
-Cases: null or empty text has no terms and gets the bias's score; without labelled rows the score is 0;
+Cases: null or empty text has no terms and gets the bias's score; without labelled rows the score is 0 but for rounding (below 1e-9);
 null labels are left out; of labels repeated for a doc_id the largest counts; repeated documents are scored
 row by row; a null doc_id is hashed as an empty string.
 """
@@ -37,7 +37,8 @@ BITS = 20
 EVIDENCE = 16.0
 LEAST_DOCS = 4
 FACTORS = 8
-EPOCHS, BATCH, RATE, L2 = 30, 256, 0.1, 1e-4
+EPOCHS, BATCH, RATE, L2 = 30, 256, 0.5, 1e-5
+SPREAD = 0.2  # of the latent factors at the start; smaller ones hardly leave zero
 THRESHOLD = 0.3
 REMEMBERED = 500_000
 _TERM = re.compile(r"\w+")
@@ -77,7 +78,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         self.w0 = math.log(prior / (1 - prior)) if 0 < prior < 1 else (-50.0 if prior <= 0 else 50.0)
         self.w = np.zeros(size)
-        self.v = rng.normal(0, 0.05, (size, factors))
+        self.v = rng.normal(0, SPREAD, (size, factors))
 
     def raw(self, features: np.ndarray) -> float:
         v = self.v[features]
