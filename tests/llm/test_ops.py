@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import math
 import os
 import random
@@ -86,9 +87,54 @@ def test_pii_base_spans_equal_brute_force(spark):
 def test_pii_added_kinds(spark):
     texts = {
         1: "account GB82 WEST 1234 5698 7654 32 now", 2: "GB82 WEST 1234 5698 7654 33", 3: "my social security number 123-45-6789", 4: "lot 123-45-6789", 5: "call (555) 010-1234", 6: "range 555-010-1234",
+        7: 'token = "0123456789abcdef0123456789abcdef01234567"', 8: "commit 0123456789abcdef0123456789abcdef01234567", 9: "secret aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa111", 10: "+1 (826) 555-4081 190.137.223.204",
+        11: "key " + "a1b2c3d4" * 40, 12: "password: hunter2 and bearer x9Kq2LmZ7Tw4Rv8Bn3Hc6Yd1",
     }
     got = {r["doc_id"]: [s["kind"] for s in r["added"]] for r in pii.spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: ["tel"], 6: []}
+    assert got == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: ["tel"], 6: [], 7: ["secret"], 8: [], 9: [], 10: ["intl"], 11: [], 12: ["secret"]}
+
+
+def brute_added(text: str) -> list[tuple[str, int, int]]:
+    """The added kinds by Python's regular expressions, in order, each apart from all before."""
+    taken = [x for spans in brute_pii(text).values() for x in spans]
+    near = lambda a, b, words: bool(re.search(f"(^|[^a-z])({words})", text[max(0, a - 48) : max(0, a - 48) + b - a + 96].lower()))
+
+    def iban(v):
+        d = v.replace(" ", "")
+        return 15 <= len(d) <= 34 and int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1
+
+    def secret(v):
+        n = sum(c.isdigit() for c in v)
+        return len(v) <= 200 and 3 <= n < len(v) and -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v)) >= 3
+
+    ssn = lambda v: bool(re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", v))
+    kinds = (
+        ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban, None), ("ssn", r"[0-9][0-9-]{10}[0-9-]*", ssn, "ssn|social|security"),
+        ("intl", r"\+[0-9]{1,3}[ .-]?[(]?[0-9]{2,4}[)]?[ .-][0-9]{3}[ .-][0-9]{4}[0-9-]*", lambda v: bool(re.search(r"[^0-9][0-9]{4}$", v)), None),
+        ("tel", r"(?<![0-9(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", lambda v: True, "phone|tel|call|mobile|fax"),
+        ("secret", r"[A-Za-z0-9_+/-]{24,}", secret, "token|secret|key|password|passwd|credential|bearer|auth"),
+    )
+    out = []
+    for kind, pattern, valid, words in kinds:
+        found = [m.span() for m in re.finditer(pattern, text) if valid(m[0]) and (words is None or near(*m.span(), words))]
+        found = [x for x in found if not any(a < x[1] and x[0] < b for a, b in taken)]
+        taken += found
+        out += [(kind, *x) for x in found]
+    return out
+
+
+def test_pii_added_spans_equal_brute_force(spark, larger):
+    rng = random.Random(9)
+    bits = ["token=", "key: ", "0123456789abcdef0123456789abcdef01234567", "call ", "(555) 010-1234", "555.010.1234", "+1 826 555-4081", "123-45-6789", "ssn ", "GB82 WEST 1234 5698 7654 32", " ", "x", "-", "9", "é", "a@b.co", "bearer "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    texts += [r["text"] for r in spark.read.parquet(f"{larger}/documents.parquet").where("text rlike '[A-Za-z0-9_+/-]{24}|[0-9]{3}[ .-][0-9]{4}'").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in pii.spans(df).collect():
+        got = [(s["kind"], s["start"], s["stop"]) for s in r["added"]]
+        assert got == brute_added(texts[r["doc_id"]])
+        found += len(got)
+    assert found > 100
 
 
 def test_pii_stage_masks(spark, odd, empty):
@@ -123,6 +169,72 @@ def test_tool_links(spark):
     assert r[1, "c"]["errors"] == ["unknown tool"] and r[1, "d"]["errors"] == ["arguments are no object"]
 
 
+def test_tool_levels_equal_brute_force(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for conv in range(12):
+        n, deps = rng.randint(1, 40), {}
+        for i in range(n):
+            some = {rng.randrange(i) for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))} if i else set()
+            deps[i] = some | ({rng.randrange(n)} if rng.random() < 0.03 else set()) | ({99} if rng.random() < 0.1 else set())
+        if conv == 0:
+            deps = {i: {i - 1} if i else set() for i in range(300)}  # a chain
+        if conv == 1:
+            deps = {0: {1}, 1: {2}, 2: {0}, 3: {2}, 4: {3, 5}, 5: set(), 6: {5, 6}, 7: {4}}  # cycles, and what is behind them
+        rows += [(conv, str(i), [str(d) for d in sorted(ds)]) for i, ds in deps.items()]
+        level: dict = {}
+        for _ in deps:
+            for i, ds in deps.items():
+                known = [level.get(d) for d in ds if d in deps]
+                if i not in level and None not in known:
+                    level[i] = max(known, default=-1) + 1
+        want |= {(conv, str(i)): v for i, v in level.items()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_links.levels(calls).collect()}
+    assert got == want
+    assert tool_links.levels(calls.limit(0)).count() == 0
+
+
+def test_tool_links_query_equals_brute_force(spark, sf):
+    """Statuses, errors and canonical JSON of every call that the conversations stand for, by Python's json."""
+    calls, results = tool_links.derived_calls(spark.read.parquet(f"{sf}/conversations.parquet"))
+    got = {(r["conv_id"], r["call_id"]): r for r in registry.queries()["op2_tool_links"](spark, sf).collect()}
+    own = {(r["conv_id"], r["call_id"]): r for r in calls.collect()}
+    back = {(r["conv_id"], r["call_id"]): r for r in results.collect()}
+    kinds = {"STRING": str, "BIGINT": int, "BOOLEAN": bool}
+    assert set(got) == set(own) | set(back)
+    for key, r in got.items():
+        c, b = own.get(key), back.get(key)
+        if c is None:
+            assert r["status"] == "result without call"
+            continue
+        missing = [d for d in c["depends"] if (key[0], d) not in own]
+        errors, args = [], json.loads(c["arguments"])
+        if c["name"] not in tool_links.TOOLS:
+            errors = ["unknown tool"]
+        elif not isinstance(args, dict):
+            errors = ["arguments are no object"]
+        else:
+            params = {p: (kind, need) for p, kind, need in tool_links.TOOLS[c["name"]]}
+            errors = [f"missing {p}" for p, (_, need) in params.items() if need and p not in args]
+            errors += [f"type of {p}" for p, v in args.items() if p in params and type(v) is not kinds[params[p][0]]] + [f"unknown {p}" for p in args if p not in params]
+        status = "call without result" if b is None else "result before call" if b["turn"] <= c["turn"] else "cycle" if key[1] in c["depends"] else None
+        assert r["errors"] == "; ".join(sorted(errors)) and (status is None or r["status"] == status)
+        if r["status"] == "linked" and not errors:
+            assert r["json"] == json.dumps({"arguments": args, "id": key[1], "name": c["name"], "result": b["content"]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        else:
+            assert r["json"] is None
+        assert (r["status"] == "missing dependency") <= bool(missing)
+
+
+def test_tool_links_odd_tables(spark):
+    calls = spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string, depends array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    assert tool_links.linked(calls, results, tool_links.schema_table(spark)).count() == 0
+    some = spark.createDataFrame([(1, 0, "a", "search", '{"query": "q", "limit": 1}', None)], calls.schema).withColumn("level", F.lit("x")).withColumn("content", F.lit("x")).withColumn("times", F.lit(9))
+    r = tool_links.linked(some, results.withColumn("name", F.lit("y")), tool_links.schema_table(spark)).collect()
+    assert [(x["status"], x["level"], x["duplicates"]) for x in r] == [("call without result", 0, 0)]
+
+
 def test_tool_links_levels_of_a_long_chain(spark, sf):
     r = registry.queries()["op2_tool_links"](spark, sf).toPandas()
     turns = {(c, f"call_{t}"): t for c, t in zip(r.conv_id, r.call_turn, strict=True)}
@@ -137,13 +249,23 @@ def test_tool_links_levels_of_a_long_chain(spark, sf):
 
 
 def test_exact_index_persists(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=2)
+    index = exact_dedup.DigestIndex(spark)
     first = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, digest string")
     index.append(first)
     index.append(spark.createDataFrame([(9, "x"), (10, "z")], "doc_id long, digest string"))
-    assert sorted(map(tuple, index.read().collect())) == [("x", 2, 2), ("y", 3, 1), ("z", 10, 1)]
-    plan = index.read().select("digest")._jdf.queryExecution().toString()
-    assert "Bucketed: true" in plan or "bucket" in plan.lower()
+    assert sorted(map(tuple, index.read().collect())) == [("x", 9, 3), ("y", 3, 1), ("z", 10, 1)]
+    again = exact_dedup.DigestIndex(spark, path=index.path, name=index.name, rows=10**9)  # found again, with its own buckets
+    again.append(spark.createDataFrame([(4, "y"), (5, "x")], "doc_id long, digest string"))
+    assert sorted(map(tuple, again.read().collect())) == [("x", 9, 4), ("y", 4, 2), ("z", 10, 1)] and again.buckets == index.buckets
+    plan = index.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    again.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_exact_deltas_agree_with_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(map(tuple, exact_dedup.classes(docs, deltas=3).collect())) == sorted(map(tuple, exact_dedup.classes(docs).collect()))
 
 
 def test_exact_odd_inputs(spark, odd, empty):
@@ -185,6 +307,29 @@ def test_toxicity_sees_terms_of_toxic_texts_only(spark):
     assert min(r["score"] for r in held if r["doc_id"] % 8 == 0) > max(r["score"] for r in held if r["doc_id"] % 8)
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """An insult with a group is toxic; several insults, or several groups, are not: no additive weights can tell."""
+    rng, rows = random.Random(5), []
+    insults, groups = ("insultone", "insulttwo"), ("groupone", "grouptwo")
+    for i in range(6000):
+        words, kind = [f"w{rng.randrange(3000)}" for _ in range(40)], rng.random()
+        words += [rng.choice(insults), rng.choice(groups)] if i % 12 == 0 else insults if kind < 0.3 else groups if kind < 0.6 else ()
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 12 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [r for r in toxicity.scored(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect() if r["held_out"]]
+    caught = lambda rs: np.mean([r["predicted"] for r in rs])
+    assert caught([r for r in held if r["doc_id"] % 12 == 0]) >= 0.9 and caught([r for r in held if r["doc_id"] % 12]) <= 0.01
+    # the same features without pairs
+    features = {t: k for k, t in enumerate(sorted({t for _, text, _ in rows for t in toxicity.terms(text)}))}
+    x, y = [np.array([features[t] for t in toxicity.terms(text)]) for _, text, _ in rows], np.array([float(v) for *_, v in rows])
+    linear = toxicity.FactorizationMachine(len(features), y.mean(), factors=1)
+    linear.v[:] = 0  # where they stay
+    linear.fit(x[:4500], y[:4500])
+    z = np.array([linear.w0 + linear.w[f].sum() for f in x[4500:]])
+    assert np.mean(1 / (1 + np.exp(-z[y[4500:] == 1])) >= toxicity.THRESHOLD) < 0.2
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
@@ -309,6 +454,22 @@ def test_language_model_training_raises_held_out_probability(spark, sf):
     assert fitted > first
 
 
+def test_long_words_equal_the_block_way(monkeypatch):
+    v = lattice_lm.Vocabulary(lattice_lm.default_model())
+    words, weights, logp = ["the" + "nationéx𝒳" * k for k in (1, 9, 60)], np.array([1.0, 2.0, 3.0]), np.log(v.first)
+    block, uses = v.lattices(words, logp, weights)
+    monkeypatch.setattr(lattice_lm, "LONG_BLOCK", 4)
+    single, own = v.lattices(words, logp, weights)
+    assert single == pytest.approx(block, rel=1e-12) and own == pytest.approx(uses, abs=1e-8)
+
+
+def test_language_model_of_very_long_frequent_words(spark):
+    rule = "=" * 300_000
+    docs = spark.createDataFrame([(i, f"{rule[:100]} a {rule if i % 50 == 0 else ''}") for i in range(100)], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in lattice_lm.scored(docs).collect()}
+    assert r[0]["n_tokens"] == 4 and r[1]["n_tokens"] == 3 and all(math.isfinite(x["score"]) and x["n_known"] == x["n_tokens"] for x in r.values())
+
+
 def test_language_model_odd_inputs(spark, odd, empty):
     assert lattice_lm.scored(odd).count() == odd.count() and lattice_lm.scored(empty).count() == 0
 
@@ -371,7 +532,15 @@ def test_plan_uses_every_piece_once():
             assert sum(lengths) <= 4096 and times > 0
             for x in lengths:
                 used[x] += times
-        assert (used == hist).all() and len(plan) <= 2 * 4097 + packing.PATTERNS
+        assert (used == hist).all() and len(plan) <= 2 * 4097 + packing.ROUNDS * packing.MOST * packing.DRAWS
+
+
+def test_most_pieces_are_placed_by_fitted_patterns(spark, larger):
+    lengths = packing.pieces(spark.read.parquet(f"{larger}/documents.parquet")).toPandas().length
+    hist = np.bincount(lengths, minlength=4097)
+    plan, left = packing.fitted_sequences(hist)
+    assert all(sum(p) == 4096 for p, _ in plan) and left.sum() < 0.2 * hist.sum()
+    assert sum(n for _, n in packing.plan_sequences(hist)) <= math.ceil(lengths.sum() / 4096) + 1
 
 
 def test_least_squares_recovers_counts():
@@ -627,6 +796,26 @@ def test_pieces_equal_library(spark, odd):
 # --- pipeline
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(900)}word" for _ in range(120)]
+    rows = [(i, " ".join(base + [f"more{k}" for k in range(i % 3)])) for i in (1, 2, 3, 3)] + [(None, " ".join(base[::-1])), (None, " ".join(base[5:] + base[:5] * 9)), (9, None), (None, ""), (10, " ".join(base).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(length(text) as bigint) n_chars")
+    mine = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        mine = spark.createDataFrame(stage(spark, mine, "").collect(), docs.schema)
+    # all near copies of the base are one document, that with the largest doc_id that the rules keep; the reversed and the repeated text are two more
+    kept = sorted(((r["doc_id"] or 0), r["text"].split()[0].lower()) for r in mine.collect())
+    assert [k for k, _ in kept].count(0) == len([1 for k, w in kept if k == 0]) and len([k for k, _ in kept if k]) == 1
+    out, _ = check_packing(corpus_pipeline.applied(spark, docs, ""), spark)
+    assert len(out) == len(kept)
+    for table_ in (empty, odd.limit(0)):
+        assert corpus_pipeline.applied(spark, table_, "").count() == 0
+    assert corpus_pipeline.applied(spark, odd, "").count() >= 1
+
+
 def test_pipeline_stages_chain(spark, sf):
     import corpus_pipeline
 
