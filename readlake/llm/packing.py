@@ -25,6 +25,7 @@ import bisect
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -41,6 +42,7 @@ MAX_LEN = 4096
 END_ID = 1
 CACHE = 64 << 20  # bytes that a worker's words and their ids may take
 OVERHEAD = 200  # bytes of an entry beside its word and ids
+GROUP = 512  # words that are encoded as one text
 LONG_WORD = 64  # bytes; longer ones aren't remembered
 MOST = 6  # documents of a pattern
 DRAWS = 12_000  # candidate patterns of each number of documents that a round draws; rounds draw anew
@@ -92,9 +94,9 @@ class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-    (split at ASCII white space) in order; words repeat, so their ids are remembered.  It also lower-cases
-    and separates letters from what follows, so a new word is first looked up as lower-case letters and
-    a tail of ASCII punctuation.
+    (split at ASCII white space) in order.  It also lower-cases
+    and separates letters from what follows, so a word is looked up as lower-case letters and a tail of ASCII
+    punctuation; these repeat, so their ids are remembered.
     """
 
     parts = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
@@ -103,8 +105,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.words, self.cores = Remembered(CACHE * 2 // 3), Remembered(CACHE // 3)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        for token, k in tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.cores = Remembered(CACHE)
 
     def halves(self, word: str) -> tuple[str, str]:
         """Two strings whose ids make up the word's; a word that isn't letters and punctuation stays whole."""
@@ -115,20 +121,32 @@ class WordEncoder:
             return word, ""
         return m[1].lower() if m[1].isascii() else m[1], m[2]
 
+    def encoded(self, cores: list[str]):
+        """(core, ids): runs of lower-case letters, which are one word each, are encoded many at a time and told apart by their last tokens."""
+        plain = [x for x in cores if x.isalpha() and x.islower() and (x.isascii() or (x == x.lower() and unicodedata.is_normalized("NFC", x)))]
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        alone = list(set(cores).difference(plain))
+        for group, e in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(group):
+                alone += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for x, stop in zip(group, stops.tolist(), strict=True):
+                yield x, raw[at:stop]
+                at = stop
+        for x, e in zip(alone, self.encode(alone, add_special_tokens=False), strict=True):
+            yield x, array.array("I", e.ids).tobytes()
+
     def learn(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        new = self.words.missing(words)
-        pairs = [self.halves(w) for w in new]
+        pairs = list(map(self.halves, words))
         cores = self.cores.missing({y for pair in pairs for y in pair})
-        found = self.encode(cores, add_special_tokens=False) if cores else []
-        for x, e in zip(cores, found, strict=True):
-            self.cores.put(x, array.array("I", e.ids).tobytes())
+        for x, ids in self.encoded(cores):
+            self.cores.put(x, ids)
         part = self.cores.young
-        for w, (a, b) in zip(new, pairs, strict=True):
-            self.words.put(w, part[a] + part[b])
-        known = self.words.young
-        out = [known[w] for w in words]
-        self.words.forget([w for w in new if len(w) > LONG_WORD])
+        out = [part[a] + part[b] for a, b in pairs]
         self.cores.forget([x for x in cores if len(x) > LONG_WORD])
         return out
 
@@ -157,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
 
     def cut(batches):
         encoder, end = word_encoder(tokenizer), array.array("I", [end_id]).tobytes()
-        for batch in small(batches, 4096):
+        for batch in small(batches, 1 << 14, 8 << 20):
             out = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(batch.column("text")), strict=True):
                 n, size = len(ids) // 4 + 1, 4 * max_len
