@@ -152,12 +152,9 @@ def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     beside = F.transform("cs", lambda c, k: F.struct(k.alias("k"), c.alias("clean"), F.lower(F.get("cs", k - 1)).alias("prev"), F.lower(F.get("cs", k + 1)).alias("next")))
     caps = words.select("doc_id", "idx", F.explode_outer(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).where("x is not null").select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
     every = base.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("lower")).where("lower is not null").groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
-    # counts and names meet in a window on (document, word), which the one shuffle by document serves
-    both = caps.withColumn("every", F.lit(None).cast("long")).unionByName(every, allowMissingColumns=True)
-    w = W.partitionBy("doc_id", "lower")
-    both = both.withColumn("caps", F.count("clean").over(w)).withColumn("all", F.coalesce(F.sum("every").over(w), F.lit(0)))
+    both = caps.join(every, ["doc_id", "lower"], "left").withColumn("caps", F.count(F.lit(1)).over(W.partitionBy("doc_id", "lower")))
     verb = F.coalesce(F.col("prev").isin(*SPEECH_VERBS), F.lit(False)) | F.coalesce(F.col("next").isin(*SPEECH_VERBS), F.lit(False))
-    kept = both.where(F.col("clean").isNotNull() & ~((F.col("all") - F.col("caps") >= 1) & (F.col("caps") <= 1)))
+    kept = both.where(~((F.coalesce("every", F.lit(0)) - F.col("caps") >= 1) & (F.col("caps") <= 1)))
     kept = kept.where(~F.col("clean").isin(*NEVER_NAMES) & ~F.coalesce(F.col("prev").isin(*ARTICLES), F.lit(False)))
     totals = kept.groupBy("doc_id", F.col("clean").alias("name")).agg(F.sum(F.when(verb, 2).otherwise(1)).alias("weight"), F.min(F.struct("idx", "k")).alias("first"))
     best = ranked(totals.where("weight >= 2"), ["doc_id"], [F.desc("weight"), "first.idx", "first.k"], n)
