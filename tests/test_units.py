@@ -23,6 +23,8 @@ def test_sentences(spark):
         "It costs 3.14 today. Fine.": ["It costs 3.14 today.", "Fine."],
         "We waited. then left.": ["We waited. then left."],
         "First part\n\nSecond part": ["First part", "Second part"],
+        "She said “Wait! It burns. Truly?” and left. Nobody answered.": ["She said “Wait! It burns. Truly?” and left. Nobody answered."],
+        "“Begin here. Then stop.” They obeyed. Silence!": ["“Begin here. Then stop.” They obeyed.", "Silence!"],
     }
     for text, wanted in cases.items():
         assert list(one(spark, text, T.sentences)) == wanted
@@ -105,3 +107,17 @@ def test_quotes_query(spark, sf):
 
     r = quotes(spark, sf).first()
     assert (r["opened"], r["closed"], r["single"]) == (1, 1, 1) and r["apostrophes"] >= 2
+
+
+def test_stores_are_appended_to_exported_and_cleared(spark, tmp_path):
+    from readlake.operators.stores import append_rows, clear_stores, export_stores
+
+    log, out = f"file://{tmp_path}/log", f"file://{tmp_path}/out"
+    for k in (1, 2):
+        append_rows(spark.createDataFrame([(k, None)], "k int, note string"), log)
+    rows = spark.read.parquet(log)
+    assert sorted(r["k"] for r in rows.collect()) == [1, 2]
+    export_stores({"log": rows}, out)
+    assert sorted(r["value"] for r in spark.read.text(f"{out}/log/store=log").collect()) == ['{"k":1,"note":null}', '{"k":2,"note":null}']
+    clear_stores(spark, [log])
+    assert spark.read.parquet(log).count() == 0 and spark.read.parquet(log).columns == ["k", "note"]
