@@ -4,7 +4,7 @@ A word's probability is the sum over all its segmentations into vocabulary piece
 probabilities, found by a forward recursion in log space; a text's is the product over its words and the
 end.  The vocabulary and its scores exist; they set first probabilities (Zipf's law in the rank that a
 merge-type vocabulary's scores state), which expectation-maximisation over the training words' lattices
-fits to the corpus.  Recursions run over many words of one length at once.
+fits to the corpus.  Recursions run over many words at once.
 
 1. Count words: every word of every document, with its count in training documents (map-side counts, one
    row per word).
@@ -37,6 +37,7 @@ from readlake.llm.common import materialize, small, table
 FOLDS, HELD_OUT = 5, 1
 SHARE = 1_000_000
 LONG_WORD = 64  # bytes; longer words go by a digest
+BLOCK = 200_000  # characters that are worked through at once
 LONG_BLOCK = 2_000  # characters; longer words are worked through one by one
 FLUSH = 200_000  # words that a task counts before it passes them on
 PRIOR = 3_200.0  # pseudo-count of the first probabilities
@@ -70,14 +71,14 @@ class Vocabulary:
         self.lengths = [len(p) for p in self.pieces]
         self.single = {p for p in self.pieces if len(p) == 1}
         self.automaton = None
-        keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
+        self.keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
         self.tables = []
-        rest = np.arange(len(keys))
+        rest = np.arange(len(self.keys))
         for shift in (44, 40, 36):  # each holds what collides in those before
-            slot = self.slot(keys[rest], shift)
-            table_key, table_id = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-            table_key[slot[::-1]], table_id[slot[::-1]] = keys[rest][::-1], rest[::-1]
-            self.tables.append((shift, table_key, table_id))
+            slot = self.slot(self.keys[rest], shift)
+            table_id = np.full(1 << 20, -1, np.int32)
+            table_id[slot[::-1]] = rest[::-1]
+            self.tables.append((shift, table_id))
             rest = rest[table_id[slot] != rest]
             if not len(rest):
                 break
@@ -94,14 +95,22 @@ class Vocabulary:
     def slot(keys: np.ndarray, shift: int) -> np.ndarray:
         return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(shift)).astype(np.int64) & ((1 << 20) - 1)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of hashes, -1 where there is no such piece."""
-        out = np.full(len(keys), -1, np.int32)
-        for shift, table_key, table_id in self.tables:
-            slot = self.slot(keys, shift)
-            hit = (table_key[slot] == keys) & (table_id[slot] >= 0)
-            out[hit] = table_id[slot][hit]
-        return out
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, in order, and the pieces' ids."""
+        place, places, found = np.arange(len(keys)), [], []
+        for shift, table_id in self.tables:
+            ids = table_id[self.slot(keys, shift)]
+            taken = np.flatnonzero(ids >= 0)  # only what meets another piece here can be in the next table
+            ids, keys, place = ids[taken], keys[taken], place[taken]
+            same = self.keys[ids] == keys
+            places.append(place[same])
+            found.append(ids[same])
+            keys, place = keys[~same], place[~same]
+            if not len(keys):
+                break
+        where, ids = np.concatenate(places), np.concatenate(found)
+        order = np.argsort(where, kind="stable")
+        return where[order], ids[order]
 
     def spelled(self, code: int, logp: np.ndarray) -> tuple[float, list[int]]:
         ids = [self.bytes_at + b for b in chr(code).encode("utf-8", "replace")]
@@ -121,11 +130,14 @@ class Vocabulary:
                 out[i] = self._long(MARK + words[i], logp, 0.0 if weights is None else float(weights[i]), uses)
                 at += 1
                 continue
-            stop = min(int(np.searchsorted(length[order], n, side="right")), at + max(1, 200_000 // int(n)))
+            width = length[order[at : at + BLOCK // int(n) + 1]]  # sorted, so a block is as wide as its last word
+            fits = (width <= LONG_BLOCK) & (width * np.arange(1, len(width) + 1) <= BLOCK)
+            stop = at + max(1, int(fits.sum()))
             pick = order[at:stop]
             text = "".join([MARK + words[i] for i in pick])
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pick), n)
-            out[pick] = self._block(codes, logp, None if weights is None else weights[pick], uses)
+            codes = np.zeros((len(pick), length[pick[-1]]), np.uint32)
+            codes[np.arange(codes.shape[1]) < length[pick][:, None]] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            out[pick] = self._block(codes, length[pick], logp, None if weights is None else weights[pick], uses)
             at = stop
         return (out, uses) if weights is not None else out
 
@@ -175,46 +187,48 @@ class Vocabulary:
                     at -= 2
         return ahead[-1]
 
-    def _block(self, codes: np.ndarray, logp: np.ndarray, weights, uses) -> np.ndarray:
+    def _block(self, codes: np.ndarray, length: np.ndarray, logp: np.ndarray, weights, uses) -> np.ndarray:
+        """Many words at once, in order of length: those that reach character j are the last ones."""
         rows, n = codes.shape
+        reach = np.searchsorted(length, np.arange(n + 1))  # the first row of so many characters
         prefix = np.zeros((n + 1, rows), np.uint64)
         for j in range(n):
             prefix[j + 1] = prefix[j] * _BASE + codes[:, j] + np.uint64(1)
         ahead = np.full((n + 1, rows), -np.inf)
         ahead[0] = 0.0
-        edges = []  # (from, to, ids, log probability, spelled)
+        edges = []  # (from, to, rows, ids, log probability) of what is found
+        bytewise = []  # (to, rows, kind of each, log probability, kinds) of characters without a piece
         for j in range(1, n + 1):
+            low = reach[j]
             for size in range(1, min(j, self.longest) + 1):
-                ids = self.find(prefix[j] - prefix[j - size] * self.powers[size])
-                found = ids >= 0
-                if size == 1 and not found.all():  # characters without a piece are spelled in bytes
-                    p = np.where(found, logp[ids], 0.0)
-                    lost = np.flatnonzero(~found)
+                where, ids = self.find(prefix[j, low:] - prefix[j - size, low:] * self.powers[size])
+                where += low
+                if len(where):
+                    p = logp[ids]
+                    ahead[j, where] = np.logaddexp(ahead[j, where], ahead[j - size, where] + p)
+                    edges.append((j - size, j, where, ids, p))
+                if size == 1 and len(where) < rows - low:
+                    lost = np.setdiff1d(np.arange(low, rows), where, assume_unique=True)
                     kinds, inverse = np.unique(codes[lost, j - 1], return_inverse=True)
                     spelled = [self.spelled(int(c), logp) for c in kinds]
-                    p[lost] = np.array([x for x, _ in spelled])[inverse]
-                    edges.append((j - 1, j, ids, p, (lost, inverse, spelled)))
-                elif found.any():
-                    p = np.where(found, logp[ids], -np.inf)
-                    edges.append((j - size, j, ids, p, None))
-                else:
-                    continue
-                ahead[j] = np.logaddexp(ahead[j], ahead[edges[-1][0]] + p)
-        total = ahead[n]
+                    p = np.array([x for x, _ in spelled])[inverse]
+                    ahead[j, lost] = ahead[j - 1, lost] + p
+                    bytewise.append((j, lost, inverse, p, spelled))
+        total = ahead[length, np.arange(rows)]
         if weights is not None and weights.any():
             behind = np.full((n + 1, rows), -np.inf)
-            behind[n] = 0.0
-            for i, j, _, p, _ in reversed(edges):
-                behind[i] = np.logaddexp(behind[i], behind[j] + p)
-            for i, j, ids, p, lost in edges:
-                share = weights * np.exp(ahead[i] + p + behind[j] - total)
-                found = ids >= 0
-                uses += np.bincount(ids[found], share[found], len(uses))
-                if lost:
-                    where, inverse, spelled = lost
-                    for k, mass in enumerate(np.bincount(inverse, share[where], len(spelled))):
-                        for b in spelled[k][1]:
-                            uses[b] += mass
+            behind[length, np.arange(rows)] = 0.0
+            steps = [(i, j, where, p) for i, j, where, _, p in edges] + [(j - 1, j, lost, p) for j, lost, _, p, _ in bytewise]
+            for i, j, where, p in sorted(steps, key=lambda x: -x[1]):
+                behind[i, where] = np.logaddexp(behind[i, where], behind[j, where] + p)
+            share = lambda i, j, where, p: weights[where] * np.exp(ahead[i, where] + p + behind[j, where] - total[where])
+            if edges:
+                mass = np.concatenate([share(i, j, where, p) for i, j, where, _, p in edges])
+                uses += np.bincount(np.concatenate([x[3] for x in edges]), mass, len(uses))
+            for j, lost, inverse, p, spelled in bytewise:
+                for k, mass in enumerate(np.bincount(inverse, share(j - 1, j, lost, p), len(spelled))):
+                    for b in spelled[k][1]:
+                        uses[b] += mass
         return total
 
 
