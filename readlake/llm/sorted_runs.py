@@ -1,0 +1,136 @@
+"""Sorted runs in levels: Parquet folders bucketed and sorted by key, and the commits that say which of them count.
+
+A delta is written as a run of level 0.  When a level holds FAN runs, they are merged into one run of the next
+level, so that there are at most FAN runs a level and a row is rewritten once a level.  All runs have the same
+buckets: a delta is shuffled once by its key, and the runs are read in their buckets, without a shuffle, be it to
+merge, to anti-join or to add up.
+
+Each change is one commit, a JSON file beside the runs that holds the number of buckets, the runs and the names of
+the deltas that are in.  It is written under another name and renamed, which fails if another writer was first.  So
+whoever opens the folder, in whatever session, reads all of its rows: the buckets are the commit's, not the
+session's.  A run without a commit (a task or driver was lost) is not read.  A delta whose name is in is not added
+again.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from readlake.llm.common import discard
+
+FAN = 4
+
+
+class SortedRuns:
+    """Rows (``keys`` and the columns of ``merge``) under ``path``; rows of one key are merged column by column.
+
+    ``schema`` is DDL by column; ``buckets`` holds for a new folder only, one that is there keeps its own; ``name`` begins
+    the runs' names in the session's catalogue.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: dict[str, str], keys: list[str], merge: dict[str, Callable[[str], Column]], buckets: int, name: str = "sorted_run"):
+        self.spark, self.path, self.schema, self.keys, self.merge, self.name = spark, path.rstrip("/"), schema, keys, merge, name
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.state = self._latest() or {"version": 0, "columns": schema, "keys": keys, "buckets": buckets, "runs": [], "deltas": []}
+        if self.state["columns"] != schema or self.state["keys"] != keys:
+            raise ValueError(f"{path} holds {self.state['columns']} by {self.state['keys']}, not {schema} by {keys}")
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    def _latest(self) -> dict | None:
+        """What the last commit says."""
+        folder = self._at(f"{self.path}/_commits")
+        if not self._fs.exists(folder):
+            return None
+        names = sorted(x.getPath().getName() for x in self._fs.listStatus(folder))
+        done = [n for n in names if n.endswith(".json")]
+        if not done:
+            return None
+        stream = self._fs.open(self._at(f"{self.path}/_commits/{done[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, **changed) -> None:
+        state = self.state | changed | {"version": self.state["version"] + 1}
+        folder = f"{self.path}/_commits"
+        draft, final = self._at(f"{folder}/.{uuid.uuid4().hex}"), self._at(f"{folder}/{state['version']:012d}.json")
+        out = self._fs.create(draft, False)
+        try:
+            out.write(json.dumps(state).encode())
+        finally:
+            out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"another writer has committed version {state['version']} of {self.path}; open it again")
+        self.state = state
+
+    def _named(self, run: str) -> str:
+        """The run's name in the session's catalogue, made known with the buckets of the commit."""
+        name = f"{self.name}_{run}"
+        by = ", ".join(self.keys)
+        columns = ", ".join(f"{c} {t}" for c, t in self.schema.items())
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return name
+
+    def _write(self, rows: DataFrame) -> str:
+        run = uuid.uuid4().hex
+        writer = rows.select(*self.schema).repartition(self.buckets, *self.keys).write.format("parquet")
+        writer.bucketBy(self.buckets, self.keys[0], *self.keys[1:]).sortBy(self.keys[0], *self.keys[1:]).option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run}")
+        return run
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(self._named(run)) for _, run in self.state["runs"]]
+
+    def read(self, runs: list[DataFrame] | None = None) -> DataFrame:
+        """One row for each key: the runs' rows merged in their buckets."""
+        runs = self.runs() if runs is None else runs
+        if not runs:
+            return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self.schema.items()))
+        both = runs[0]
+        for more in runs[1:]:
+            both = both.unionByName(more)
+        return both.groupBy(*self.keys).agg(*[f(c).alias(c) for c, f in self.merge.items()])
+
+    def unseen(self, delta: DataFrame) -> DataFrame:
+        """The rows of ``delta`` whose key no run holds: one merge with each run, of which there are few."""
+        for run in self.runs():
+            delta = delta.join(run.select(*self.keys).hint("merge"), self.keys, "left_anti")
+        return delta
+
+    def holds(self, delta: str) -> bool:
+        return delta in self.state["deltas"]
+
+    def add(self, rows: DataFrame, delta: str) -> None:
+        """``rows`` as a run, unless a delta of that name is in; then levels that are full are merged."""
+        if self.holds(delta):
+            return
+        self._commit(runs=[*self.state["runs"], [0, self._write(rows)]], deltas=[*self.state["deltas"], delta])
+        level = 0
+        while len(full := [run for at, run in self.state["runs"] if at == level]) >= FAN:
+            merged = self._write(self.read([self.spark.table(self._named(run)) for run in full]))
+            rest = [x for x in self.state["runs"] if x[1] not in full]
+            self._commit(runs=[*rest, [level + 1, merged]])
+            for run in full:
+                self._forget(run)
+            level += 1
+
+    def _forget(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run}")
+        discard(self.spark, f"{self.path}/{run}")
+
+    def drop(self) -> None:
+        """Forget the runs and delete their files."""
+        for _, run in self.state["runs"]:
+            self._forget(run)
+        discard(self.spark, self.path)
+        self.state = self.state | {"runs": [], "deltas": []}
