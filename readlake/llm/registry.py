@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from readlake.llm import exact_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, pii, piece_bpe, quality, tool_links, toxicity, vector_codes
+from readlake.llm import exact_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, pii, piece_bpe, quality, tool_links, toxicity, turn_repair, vector_codes
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_turn_repair": turn_repair.op13_turn_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_quality_rules": quality.SQL, "op12_line_dedup": line_dedup.SQL}
+    return {"op1_pii": pii.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_quality_rules": quality.SQL, "op11_vector_codes": vector_codes.SQL, "op12_line_dedup": line_dedup.SQL}

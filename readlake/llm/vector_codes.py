@@ -312,3 +312,34 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rows.groupBy("_label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_size"))
     both = join_groups(rows, groups, "_label", "_size", rows.count())
     return both.select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def _sql() -> str:
+    """The rounds one after the other, by all distances (exact in doubles)."""
+    part = "SELECT part, i, x, list_inner_product(x, x) AS xx"
+    steps = [
+        f"""k AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS ({part} FROM (SELECT i, part, v[part * len(v) // {PARTS} + 1 : (part + 1) * len(v) // {PARTS}] AS x FROM k, range({PARTS}) AS r(part))),
+b0 AS (SELECT part, i AS e, x FROM p WHERE i < {ENTRIES})"""
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(
+            f"""a{k} AS (SELECT p.part, p.i, arg_min({{'e': b.e, 'd': p.xx - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x)}}, (p.xx - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), b.e)) AS n
+  FROM p JOIN b{k} b USING (part) GROUP BY p.part, p.i)"""
+        )
+        if k < ROUNDS:
+            steps.append(
+                f"""m{k} AS (SELECT part, e, list(floor(s / n) ORDER BY pos) AS x FROM (
+  SELECT part, e, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT a.part, a.n.e AS e, p.x, unnest(range(1, len(p.x) + 1)) AS pos FROM a{k} a JOIN p USING (part, i)) GROUP BY part, e, pos) GROUP BY part, e),
+b{k + 1} AS (SELECT part, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, e))"""
+            )
+    last = ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM k
+JOIN (SELECT i, string_agg(printf('%02x', n.e), '' ORDER BY part) AS code, sum(n.d)::BIGINT AS error FROM a{last} GROUP BY i) USING (i),
+(SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, e, pos)) AS digest FROM (SELECT part, e, unnest(x) AS c, unnest(range(len(x))) AS pos FROM b{last}))"""
+
+
+SQL = _sql()
