@@ -1,9 +1,11 @@
-"""Sorted runs in levels: Parquet folders bucketed and sorted by key, and the commits that say which of them count.
+"""Sorted runs in levels: a Parquet table bucketed and sorted by key, with a partition for each run, and the commits
+that say which of them count.
 
 A delta is written as a run of level 0.  When a level holds FAN runs, they are merged into one run of the next
 level, so that there are at most FAN runs a level and a row is rewritten once a level.  All runs have the same
 buckets: a delta is shuffled once by its key, and the runs are read in their buckets, without a shuffle, be it to
-merge, to anti-join or to add up.
+merge, to anti-join or to add up.  (One scan reads the bucket's files of all runs.  A union of scans wouldn't do:
+over columnar scans its rows aren't placed as the planner takes it to place them.)
 
 Each change is one commit, a JSON file beside the runs that holds the number of buckets, the runs and the names of
 the deltas that are in.  It is written under another name and renamed, which fails if another writer was first.  So
@@ -14,11 +16,13 @@ again.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readlake.llm.common import discard
 
@@ -74,37 +78,39 @@ class SortedRuns:
             raise RuntimeError(f"another writer has committed version {state['version']} of {self.path}; open it again")
         self.state = state
 
-    def _named(self, run: str) -> str:
-        """The run's name in the session's catalogue, made known with the buckets of the commit."""
-        name = f"{self.name}_{run}"
-        by = ", ".join(self.keys)
+    def _table(self) -> str:
+        """The table's name in the session's catalogue, made known anew: with the buckets of the commit and the runs that are there."""
+        name, by = f"{self.name}_{hashlib.md5(self.path.encode()).hexdigest()}", ", ".join(self.keys)
         columns = ", ".join(f"{c} {t}" for c, t in self.schema.items())
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        self._fs.mkdirs(self._at(self.path))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # of an external table; the files stay
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        )
+        self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
         return name
 
     def _write(self, rows: DataFrame) -> str:
         run = uuid.uuid4().hex
-        writer = rows.select(*self.schema).repartition(self.buckets, *self.keys).write.format("parquet")
-        writer.bucketBy(self.buckets, self.keys[0], *self.keys[1:]).sortBy(self.keys[0], *self.keys[1:]).option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run}")
+        name = self._table()
+        placed = rows.select(*self.schema, F.lit(run).alias("run")).repartition(self.buckets, *self.keys)
+        writer = placed.write.format("parquet").mode("append").partitionBy("run").option("path", self.path)
+        writer.bucketBy(self.buckets, self.keys[0], *self.keys[1:]).sortBy(self.keys[0], *self.keys[1:]).saveAsTable(name)
         return run
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(self._named(run)) for _, run in self.state["runs"]]
+    def rows(self, runs: list[str] | None = None) -> DataFrame:
+        """The rows of some runs, or of all, in their buckets."""
+        runs = [run for _, run in self.state["runs"]] if runs is None else runs
+        return self.spark.table(self._table()).where(F.col("run").isin(runs)).select(*self.schema)
 
-    def read(self, runs: list[DataFrame] | None = None) -> DataFrame:
+    def read(self, runs: list[str] | None = None) -> DataFrame:
         """One row for each key: the runs' rows merged in their buckets."""
-        runs = self.runs() if runs is None else runs
-        if not runs:
-            return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self.schema.items()))
-        both = runs[0]
-        for more in runs[1:]:
-            both = both.unionByName(more)
-        return both.groupBy(*self.keys).agg(*[f(c).alias(c) for c, f in self.merge.items()])
+        return self.rows(runs).groupBy(*self.keys).agg(*[f(c).alias(c) for c, f in self.merge.items()])
 
     def unseen(self, delta: DataFrame) -> DataFrame:
         """The rows of ``delta`` whose key no run holds: one merge with each run, of which there are few."""
-        for run in self.runs():
-            delta = delta.join(run.select(*self.keys).hint("merge"), self.keys, "left_anti")
+        for _, run in self.state["runs"]:
+            delta = delta.join(self.rows([run]).select(*self.keys).hint("merge"), self.keys, "left_anti")
         return delta
 
     def holds(self, delta: str) -> bool:
@@ -117,20 +123,14 @@ class SortedRuns:
         self._commit(runs=[*self.state["runs"], [0, self._write(rows)]], deltas=[*self.state["deltas"], delta])
         level = 0
         while len(full := [run for at, run in self.state["runs"] if at == level]) >= FAN:
-            merged = self._write(self.read([self.spark.table(self._named(run)) for run in full]))
-            rest = [x for x in self.state["runs"] if x[1] not in full]
-            self._commit(runs=[*rest, [level + 1, merged]])
+            merged = self._write(self.read(full))
+            self._commit(runs=[*[x for x in self.state["runs"] if x[1] not in full], [level + 1, merged]])
             for run in full:
-                self._forget(run)
+                discard(self.spark, f"{self.path}/run={run}")
             level += 1
 
-    def _forget(self, run: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run}")
-        discard(self.spark, f"{self.path}/{run}")
-
     def drop(self) -> None:
-        """Forget the runs and delete their files."""
-        for _, run in self.state["runs"]:
-            self._forget(run)
+        """Forget the table and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table()}")
         discard(self.spark, self.path)
         self.state = self.state | {"runs": [], "deltas": []}
