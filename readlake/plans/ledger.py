@@ -15,6 +15,7 @@ LATEST = 500  # events that a trend looks at (the feature's own limit)
 TREND_DAYS = 14
 RATE_HOURS, RATE_LIMIT = 24, 5
 TTL_HOURS, REFRESH_HOURS = 6, 3
+STALE_DAYS = (300, 1800)  # idle days after which a job fails, and after which a finished one is reaped
 THROTTLE_SECONDS = 600
 BURST_MS = 900
 
@@ -84,7 +85,7 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that idled too long fail; finished ones are reaped later.  Ages are in days here."""
     j = with_now(jobs(spark, sf_dir), "updated_at")
     age = F.datediff("now", "updated_at")
-    fate = F.when(F.col("status").isin("running", "queued") & (age > 300), "failed").when((F.col("status") == "done") & (age > 1800), "reaped").otherwise("kept")
+    fate = F.when(F.col("status").isin("running", "queued") & (age > STALE_DAYS[0]), "failed").when((F.col("status") == "done") & (age > STALE_DAYS[1]), "reaped").otherwise("kept")
     return j.groupBy("status", fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -204,7 +205,7 @@ WHERE ts::DATE = now::DATE AND status = 'ok' GROUP BY user_id"""
     ),
     "status_counts": with_views("SELECT status, count(*) AS n, max(updated_at) AS latest FROM jobs GROUP BY status"),
     "stale_jobs": with_views(
-        """SELECT status, CASE WHEN status IN ('running', 'queued') AND now::DATE - updated_at::DATE > 300 THEN 'failed' WHEN status = 'done' AND now::DATE - updated_at::DATE > 1800 THEN 'reaped' ELSE 'kept' END AS fate,
+        f"""SELECT status, CASE WHEN status IN ('running', 'queued') AND now::DATE - updated_at::DATE > {STALE_DAYS[0]} THEN 'failed' WHEN status = 'done' AND now::DATE - updated_at::DATE > {STALE_DAYS[1]} THEN 'reaped' ELSE 'kept' END AS fate,
 count(*) AS n FROM jobs, (SELECT max(updated_at) AS now FROM jobs) GROUP BY ALL"""
     ),
     "backlog_order": with_views(
