@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readlake.functions import html as H
 from readlake.functions import text as T
 from readlake.plans.scalars import strip_licence
 from readlake.sources.tables import books, lines, passages, table, with_views
@@ -19,22 +20,29 @@ SPEECH = "^[“”‘’\"'«»—–]"
 PART_WORDS, LEAST_PART, WHOLE = 2800, 840, 6000  # fixed values of the fallback split
 
 
+BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre")
+SCOPES = ("article", "main", "body")
+
+
 def html_line_rows(pages: DataFrame) -> DataFrame:
-    """page_id, line_no, tag, text, heading: the readable blocks of pages in order."""
-    # one pass takes comments and dropped elements; the column is bound once, as all arms below use it
-    pages = pages.select("page_id", F.regexp_replace("html", rf"(?is)<!--.*?-->|<({'|'.join(DROPPED)})(?:\s[^>]*)?>.*?</\1\s*>", "").alias("body"))
-    body = F.col("body")
-    scope = F.lit(None).cast("string")
-    for e in ("article", "main", "body"):
-        scope = F.coalesce(scope, F.nullif(F.regexp_extract(body, rf"(?is)<{e}(?:\s[^>]*)?>(.*)", 1), F.lit("")))
-        scope = F.regexp_replace(scope, rf"(?is)</{e}\s*>.*", "")
-    parts = F.split(T.replaced(F.coalesce(scope, body), BLOCK_STEPS), "\x01")
-    rows = pages.select("page_id", F.posexplode_outer(parts).alias("pos", "part")).where("pos is not null").select(
-        "page_id", "pos", F.lower(F.substring_index("part", "\x02", 1)).alias("tag"), F.trim(T.replaced(F.expr("substring(part, instr(part, '\\u0002') + 1)"), TEXT_STEPS)).alias("text")
-    )
-    kept = rows.where(F.col("tag").rlike("^(h[1-6]|p|li|blockquote|pre)$") & (F.length("text") >= 2))
-    no = (F.row_number().over(W.partitionBy("page_id").orderBy("pos")) - 1).alias("line_no")
-    return kept.select("page_id", no, "tag", "text", F.col("tag").isin("h1", "h2", "h3").alias("heading"))
+    """page_id, line_no, tag, text, heading: the readable blocks of pages in order.
+
+    A page is cut at its tags; what stands in dropped elements, however nested, and outside the scope (the first
+    article, else main, else body) goes; the rest is put together by block.  Pages are shuffled once.
+    """
+    elements = [d for d in DROPPED if d not in H.RAW]
+    e = H.with_depths(H.tag_events(pages, "page_id", "html", (*elements, *BLOCKS, *SCOPES)), "page_id", elements, SCOPES)
+    page = W.partitionBy("page_id")
+    in_scope = F.lit(True)
+    for name in reversed(SCOPES):
+        in_scope = F.when(F.max(f"scope_{name}").over(page), F.col(f"scope_{name}")).otherwise(in_scope)
+    starts = (F.col("inside") == 0) & F.regexp_replace("tag", "^/", "").isin(*BLOCKS)
+    e = e.select("page_id", "pos", "tag", "text", in_scope.alias("in_scope"), "inside", F.coalesce(F.sum(starts.cast("int")).over(page.orderBy("pos")), F.lit(0)).alias("block"))
+    kept = e.where("inside = 0 and in_scope").groupBy("page_id", "block").agg(F.min_by("tag", "pos").alias("tag"), F.array_sort(F.collect_list(F.struct("pos", "text")))["text"].alias("texts"))
+    text = F.trim(F.regexp_replace(H.unescaped(F.array_join("texts", "")), "[ \t\n\\x0B\f\r\u00a0]+", " "))
+    rows = kept.where(F.col("tag").isin(*BLOCKS)).select("page_id", "block", "tag", text.alias("text")).where(F.length("text") >= 2)
+    no = (F.row_number().over(page.orderBy("block")) - 1).alias("line_no")
+    return rows.select("page_id", no, "tag", "text", F.col("tag").isin("h1", "h2", "h3").alias("heading"))
 
 
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +51,7 @@ def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title (first h1, else the title element) and author of pages."""
-    one = lambda p: F.nullif(F.trim(T.replaced(F.regexp_extract("html", p, 1), TEXT_STEPS)), F.lit(""))
+    one = lambda p: F.nullif(F.trim(F.regexp_replace(H.unescaped(F.regexp_replace(F.regexp_extract("html", p, 1), "<[^>]*>", "")), "[ \t\n\\x0B\f\r\u00a0]+", " ")), F.lit(""))
     title = F.coalesce(one(r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"), one(r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"))
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), one('(?i)<meta name="author" content="([^"]*)"').alias("author"))
 
