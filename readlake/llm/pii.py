@@ -87,7 +87,7 @@ KINDS = (
         "true", 0.3, "phone|tel|call|mobile|fax",
     ),
     Kind(
-        "secret", r"[A-Za-z0-9_+/-]{24,}+", "text rlike '[A-Za-z0-9_+/-]{24}'",
+        "secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,}+", "true",
         f"length(s.value) <= {SECRET} and length({_DIGITS}) >= 3 and length({_DIGITS}) < length(s.value) and {_ENTROPY} >= {BITS}", 0.35, "token|secret|key|password|passwd|credential|bearer|auth",
     ),
 )
