@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.functions import html as H
 from readlake.functions import text as T
+from readlake.operators.ordered import with_running_sums
 from readlake.plans.scalars import strip_licence
+from readlake.sources.shared import materialize
 from readlake.sources.tables import books, lines, passages, table, with_views
 
 DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button", "figcaption")
@@ -105,14 +109,23 @@ def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_heads(messy(spark, sf_dir))
 
 
+LINES = 4096  # lines, paragraphs or chapters of a book that one task orders
+
+
+def _block(number: str):
+    return F.floor(F.col(number) / LINES)
+
+
 def chapter_rows(rows: DataFrame) -> DataFrame:
-    """book_id, chapter_no, para_no, title, text of lines (book_id, line_no, text, heading)."""
-    t = F.trim("text")
-    w = W.partitionBy("book_id").orderBy("line_no")
-    b = rows.select("book_id", "line_no", t.alias("t"), "heading")
-    b = b.withColumn("head", (F.col("heading") | T.is_heading(F.col("t"))) & (F.length("t") <= 80))
-    b = b.withColumn("starts", F.col("head") | (F.col("t") == "") | F.col("t").rlike(SPEECH))
-    b = b.withColumn("chapter_no", F.sum(F.col("head").cast("int")).over(w)).withColumn("para_no", F.sum(F.col("starts").cast("int")).over(w))
+    """book_id, chapter_no, para_no, title, text of lines (book_id, line_no, text, heading).
+
+    Chapters and paragraphs are running counts over a book, in two levels, so that a book may be larger than a task.
+    """
+    b = rows.select("book_id", "line_no", F.trim("text").alias("t"), "heading")
+    b = b.withColumn("head", (F.col("heading") | T.is_heading(F.col("t"))) & (F.length("t") <= 80)).drop("heading")
+    starts = F.col("head") | (F.col("t") == "") | F.col("t").rlike(SPEECH)
+    b = with_running_sums(b, ["book_id"], ["line_no"], {"chapter_no": F.col("head").cast("int"), "para_no": starts.cast("int")}, _block("line_no"))
+    b = materialize(b.where("t <> ''"), "book-lines")  # for titles and paragraphs
     titles = b.where("head").select("book_id", "chapter_no", F.regexp_replace(T.clean_inline(F.col("t")), "^#+ *", "").alias("title"))
     paras = b.where("not head and t <> ''").groupBy("book_id", "chapter_no", "para_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "t")))["t"].alias("ts"))
     paras = paras.select("book_id", "chapter_no", "para_no", F.trim(T.join_lines(F.transform("ts", T.clean_inline))).alias("text")).where("length(text) > 1")
@@ -121,13 +134,15 @@ def chapter_rows(rows: DataFrame) -> DataFrame:
 
 def merged_rows(paras: DataFrame) -> DataFrame:
     """chapter_rows with small chapters folded into the one before: book_id, part, title, chapter_no, para_no, text."""
+    paras = materialize(paras, "paragraphs")
     words = F.sum(F.size(T.space_words(F.col("text"))))
     c = paras.groupBy("book_id", "chapter_no", "title").agg(F.count(F.lit(1)).alias("n"), words.alias("words"))
-    w = W.partitionBy("book_id").orderBy("chapter_no")
-    keep = (F.row_number().over(w) == 1) | ~((F.col("n") <= 2) & (F.col("words") < 50))
-    c = c.withColumn("keep", keep).withColumn("part", F.sum(F.col("keep").cast("int")).over(w) - 1)
-    c = c.withColumn("name", F.first("title").over(W.partitionBy("book_id", "part").orderBy("chapter_no")))
-    return paras.drop("title").join(c.select("book_id", "chapter_no", "part", F.col("name").alias("title")), ["book_id", "chapter_no"])
+    c = c.join(c.groupBy("book_id").agg(F.min("chapter_no").alias("first")), "book_id")
+    keep = (F.col("chapter_no") == F.col("first")) | ~((F.col("n") <= 2) & (F.col("words") < 50))
+    c = with_running_sums(c, ["book_id"], ["chapter_no"], {"part": keep.cast("int")}, _block("chapter_no")).withColumn("part", F.col("part") - 1)
+    names = c.groupBy("book_id", "part").agg(F.min_by("title", "chapter_no").alias("name"))
+    parts = c.select("book_id", "chapter_no", "part").join(names, ["book_id", "part"])
+    return paras.drop("title").join(parts.withColumnRenamed("name", "title"), ["book_id", "chapter_no"])
 
 
 def build_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,27 +157,90 @@ def merge_small_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of books by chapter, place in it and place in the book."""
-    m = merged_rows(chapter_rows(books(spark, sf_dir)))
-    local = F.row_number().over(W.partitionBy("book_id", "part").orderBy("para_no")) - 1
-    overall = F.row_number().over(W.partitionBy("book_id").orderBy("para_no")) - 1
-    return m.select("book_id", "part", local.alias("local_idx"), overall.alias("chunk_idx"), (overall - local).alias("start_chunk"), F.length("text").alias("size"))
+    m = merged_rows(chapter_rows(books(spark, sf_dir))).select("book_id", "part", "para_no", F.length("text").alias("size"))
+    m = with_running_sums(m, ["book_id"], ["para_no"], {"overall": F.lit(1)}, _block("para_no"))
+    first = m.groupBy("book_id", "part").agg(F.min("overall").alias("first"))
+    return m.join(first, ["book_id", "part"]).select(
+        "book_id", "part", (F.col("overall") - F.col("first")).alias("local_idx"), (F.col("overall") - 1).alias("chunk_idx"), (F.col("first") - 1).alias("start_chunk"), "size"
+    )
+
+
+def _block_ends(batches):
+    """(book_id, block, words) in order to a row a block: its words, and for each number of words already open the parts that it closes and the words that it leaves open."""
+    at, opened, closed, total = None, None, None, 0
+    start = np.arange(PART_WORDS)
+
+    def out():
+        return pa.RecordBatch.from_pydict({"book_id": [at[0]], "block": pa.array([at[1]], pa.int64()), "words": pa.array([total], pa.int64()), "closed": [closed.tolist()], "opened": [opened.tolist()]})
+
+    for batch in batches:
+        for book, block, words in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words")), strict=True):
+            if (book, block) != at:
+                if at:
+                    yield out()
+                at, opened, closed, total = (book, block), start.copy(), np.zeros(PART_WORDS, np.int64), 0
+            opened += words
+            total += words
+            full = opened >= PART_WORDS
+            closed[full] += 1
+            opened[full] = 0
+    if at:
+        yield out()
+
+
+def _block_starts(batches):
+    """Blocks in order to the part and the open words at each one's start; after a book's last block a row (block -1) of where it ends."""
+    book, part, opened, total = None, 0, 0, 0
+    columns = ("book_id", "block", "part", "opened", "total")
+
+    def out(block):
+        return pa.RecordBatch.from_arrays([pa.array([book]), *(pa.array([x], pa.int64()) for x in (block, part, opened, total))], names=columns)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if row["book_id"] != book:
+                if book is not None:
+                    yield out(-1)
+                book, part, opened, total = row["book_id"], 0, 0, 0
+            yield out(row["block"])
+            part, opened, total = part + row["closed"][opened], row["opened"][opened], total + row["words"]
+    if book is not None:
+        yield out(-1)
+
+
+def _line_parts(batches):
+    """Lines in order, with the part and open words at their block's start, to their own part."""
+    at = None
+    for batch in batches:
+        own = []
+        for book, block, words, part0, opened0 in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words", "part", "opened")), strict=True):
+            if (book, block) != at:
+                at, part, opened = (book, block), part0, opened0
+            own.append(part)
+            opened += words
+            if opened >= PART_WORDS:
+                part, opened = part + 1, 0
+        yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("k"), batch.column("words"), pa.array(own, pa.int64())], names=["book_id", "k", "words", "own"])
 
 
 def fallback_parts(paras: DataFrame) -> DataFrame:
     """book_id, k, part, whole of paragraphs (book_id, k, words): parts close once they reach PART_WORDS; a small last one joins that before.
 
-    The fold keeps where parts end, not the paragraphs.
+    Where a part ends depends on all before it, but only through the words open at the time.  So each block of LINES
+    paragraphs is read once for all numbers of open words, the blocks of a book are gone through in order (a number
+    each), and each block then places its own paragraphs.
     """
-    per = paras.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("k", "words"))).alias("ps"), F.sum("words").alias("total"))
-    fold = F.expr(
-        f"""aggregate(ps, named_struct('n', 0L, 'ends', cast(array() as array<int>)),
-          (a, p) -> if(a.n + p.words >= {PART_WORDS}, named_struct('n', 0L, 'ends', concat(a.ends, array(p.k))), named_struct('n', a.n + p.words, 'ends', a.ends)))"""
-    )
-    f = per.withColumn("f", fold).select("book_id", "total", F.size("f.ends").alias("last"), F.col("f.n").alias("open"), "f.ends", F.explode("ps").alias("p"))
-    f = f.withColumn("own", F.size(F.filter("ends", lambda e: e < F.col("p.k"))))
+    rows = paras.select("book_id", "k", F.col("words").cast("long").alias("words"), _block("k").alias("block"))
+    dealt = lambda df: df.repartition("book_id", "block").sortWithinPartitions("book_id", "block", "k")
+    ends = dealt(rows).select("book_id", "block", "words").mapInArrow(_block_ends, "book_id string, block long, words long, closed array<long>, opened array<long>")
+    starts = ends.repartition("book_id").sortWithinPartitions("book_id", "block").mapInArrow(_block_starts, "book_id string, block long, part long, opened long, total long")
+    last = starts.where("block = -1").select("book_id", F.col("part").alias("last"), F.col("opened").alias("open"), "total")
+    own = dealt(rows.join(starts.drop("total"), ["book_id", "block"])).mapInArrow(_line_parts, f"book_id string, k {dict(paras.dtypes)['k']}, words long, own long")
+    f = own.join(last, "book_id")
     small = (F.col("own") == F.col("last")) & (F.col("open") < LEAST_PART) & (F.col("last") > 0)
     part = F.when(F.col("total") < WHOLE, 0).when(small, F.col("own") - 1).otherwise(F.col("own"))
-    return f.select("book_id", F.col("p.k").alias("k"), F.col("p.words").alias("words"), part.alias("part"), (F.col("total") < WHOLE).alias("whole"))
+    return f.select("book_id", "k", "words", part.cast("int").alias("part"), (F.col("total") < WHOLE).alias("whole"))
 
 
 def fallback_split(spark: SparkSession, sf_dir: str) -> DataFrame:

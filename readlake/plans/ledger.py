@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readlake.operators.ordered import with_island_start
+from readlake.operators.ordered import with_island_start, with_neighbour, with_running_sums, with_window_of
 from readlake.params import FINISHED
 from readlake.sources.tables import jobs, progress, table, usage, with_views
 
@@ -96,30 +96,50 @@ def backlog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("user_id", "job_id", "priority", "position", (F.col("position") <= 2).alias("active"))
 
 
+SPAN = 86_400_000_000  # microseconds of a history that one task orders
+
+
+def _span(time: str = "ts"):
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / SPAN)
+
+
 def finish_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saves that pass the finishing line, the save before (stored to one decimal) being short of it."""
-    w = W.partitionBy("user_id", "doc_id").orderBy("ts", "event_id")
-    before = F.lag(F.floor(F.col("progress") * 10 + 0.5) / 10).over(w)
-    p = progress(spark, sf_dir).withColumn("before", F.coalesce(before, F.lit(0.0)))
-    return p.where((F.col("progress") >= FINISHED) & (F.col("before") < FINISHED)).select("user_id", "doc_id", "event_id", "ts")
+    p = with_neighbour(progress(spark, sf_dir), ["user_id", "doc_id"], ["ts", "event_id"], "progress", "before", _span())
+    before = F.coalesce(F.floor(F.col("before") * 10 + 0.5) / 10, F.lit(0.0))
+    return p.where((F.col("progress") >= FINISHED) & (before < FINISHED)).select("user_id", "doc_id", "event_id", "ts")
 
 
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that exceed their user's limit within a sliding window."""
-    e = table(spark, sf_dir, "events").withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    w = W.partitionBy("user_id").orderBy("sec").rangeBetween(-RATE_HOURS * 3600, 0)
-    c = e.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("oldest", F.min("sec").over(w))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"))
+    c = with_window_of(e, ["user_id"], "sec", RATE_HOURS * 3600, {"n": F.count(F.lit(1)), "oldest": F.min("sec")})
     return c.where(F.col("n") > RATE_LIMIT).select("event_id", "user_id", "n", (F.col("oldest") + RATE_HOURS * 3600 - F.col("sec")).alias("wait_sec"))
 
 
+ETA_APART, ETA_SAMPLES = 43_200, 3  # seconds between samples at least (saves are sparse here); samples that a rate spans
+
+
 def rolling_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes left by the rate over the last three saves of a position; at least one."""
-    w = W.partitionBy("user_id", "doc_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
-    p = progress(spark, sf_dir).withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    p = p.withColumn("gain", F.col("progress") - F.first("progress").over(w)).withColumn("took", F.col("sec") - F.first("sec").over(w))
-    rate = F.col("gain") / F.col("took")
-    eta = F.when((F.col("took") > 0) & (F.col("gain") > 0), F.greatest(F.lit(1.0), F.round((100 - F.col("progress")) / rate / 60, 3)))
-    return p.select("event_id", "user_id", "doc_id", eta.alias("eta_min"))
+    """Seconds left by the rate over the last samples of a position, and words a minute since the first save.
+
+    Samples are saves thinned as they come: each is ETA_APART or more after the sample before.  A save sees the last
+    ETA_SAMPLES samples up to itself.  Without a rate (a sample alone, or none gained), the time since the first save
+    stands in once 4 % are read.
+    """
+    keys, order = ["user_id", "doc_id"], ["ts", "event_id"]
+    p = progress(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("k", F.concat_ws("/", *keys))
+    kept = throttled(p.select("k", "event_id", "at"), "k", ETA_APART * 1_000_000).select("event_id", F.lit(1).alias("sample"))
+    p = with_running_sums(p.join(kept, "event_id", "left"), keys, order, {"seen": F.coalesce("sample", F.lit(0))}, _span())
+    samples = p.where("sample = 1").select(*keys, F.col("seen").alias("no"), F.col("progress").alias("then"), F.col("at").alias("since"))
+    last = samples.select(*keys, F.col("no").alias("seen"), F.col("then").alias("now"), F.col("since").alias("until"))
+    first = samples.select(*keys, F.col("no").alias("from_no"), "then", "since")
+    start = p.groupBy(*keys).agg(F.min("at").alias("start"))
+    p = p.withColumn("from_no", F.greatest(F.lit(1), F.col("seen") - (ETA_SAMPLES - 1))).join(last, [*keys, "seen"]).join(first, [*keys, "from_no"]).join(start, keys)
+    took, gain, elapsed = (F.col("until") - F.col("since")) / 1e6, F.col("now") - F.col("then"), (F.col("at") - F.col("start")) / 1e6
+    left = F.when((took > 0) & (gain > 0), (100 - F.col("progress")) / (gain / took)).when(F.col("progress") > 4, elapsed / (F.col("progress") / 100) * (1 - F.col("progress") / 100))
+    pace = F.when((F.col("words") > 0) & (elapsed > 0.5), F.floor(F.col("words") / elapsed * 60 + 0.5))
+    return p.withColumn("words", F.floor(F.col("progress") * 100)).select("event_id", *keys, F.when(left.isNotNull(), F.greatest(F.lit(1), F.floor(left + 0.5))).alias("eta_sec"), pace.alias("words_a_minute"))
 
 
 def cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +193,9 @@ def read_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last save of each burst; a burst ends with a pause (an hour here, as saves are sparse)."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    p = progress(spark, sf_dir).withColumn("next", F.lead(F.unix_timestamp(F.col("ts").cast("timestamp"))).over(w))
-    return p.where(F.col("next").isNull() | (F.col("next") - F.unix_timestamp(F.col("ts").cast("timestamp")) >= 3600)).select("user_id", "event_id", "progress")
+    p = progress(spark, sf_dir).withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    p = with_neighbour(p, ["user_id"], ["ts", "event_id"], "sec", "next", _span(), ahead=True)
+    return p.where(F.col("next").isNull() | (F.col("next") - F.col("sec") >= 3600)).select("user_id", "event_id", "progress")
 
 
 _NOW = "(SELECT max(ts) AS now FROM events)"
@@ -219,9 +239,14 @@ WHERE progress >= {FINISHED} AND before < {FINISHED}"""
 SELECT *, count(*) OVER w AS n, min(sec) OVER w AS oldest FROM (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {RATE_HOURS * 3600} PRECEDING AND CURRENT ROW)) WHERE n > {RATE_LIMIT}""",
     "rolling_eta": with_views(
-        """SELECT event_id, user_id, doc_id, CASE WHEN took > 0 AND gain > 0 THEN greatest(1.0, round((100 - progress) / (gain / took) / 60, 3)) END AS eta_min FROM (
-SELECT *, progress - first_value(progress) OVER w AS gain, sec - first_value(sec) OVER w AS took FROM (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM progress)
-WINDOW w AS (PARTITION BY user_id, doc_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+        f"""WITH RECURSIVE o AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, doc_id ORDER BY ts, event_id) AS k, min(epoch_us(ts)) OVER (PARTITION BY user_id, doc_id) AS began FROM progress),
+f AS (SELECT *, us AS last, true AS sample, [{{'t': us, 'p': progress}}] AS seen FROM o WHERE k = 1
+  UNION ALL SELECT o.*, CASE WHEN o.us - f.last >= {ETA_APART * 1_000_000} THEN o.us ELSE f.last END, o.us - f.last >= {ETA_APART * 1_000_000},
+    CASE WHEN o.us - f.last >= {ETA_APART * 1_000_000} THEN list_append(f.seen, {{'t': o.us, 'p': o.progress}})[-{ETA_SAMPLES}:] ELSE f.seen END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.doc_id = f.doc_id AND o.k = f.k + 1),
+r AS (SELECT *, (seen[-1].t - seen[1].t) / 1e6 AS took, seen[-1].p - seen[1].p AS gain, (us - began) / 1e6 AS elapsed, floor(progress * 100)::BIGINT AS words FROM f),
+e AS (SELECT *, CASE WHEN took > 0 AND gain > 0 THEN (100 - progress) / (gain / took) WHEN progress > 4 THEN elapsed / (progress / 100) * (1 - progress / 100) END AS eta FROM r)
+SELECT event_id, user_id, doc_id, CASE WHEN eta IS NOT NULL THEN greatest(1, floor(eta + 0.5)::BIGINT) END AS eta_sec, CASE WHEN words > 0 AND elapsed > 0.5 THEN floor(words / elapsed * 60 + 0.5)::BIGINT END AS words_a_minute FROM e"""
     ),
     "cache_state": f"""SELECT event_type, CASE WHEN age > {TTL_HOURS * 3600} THEN 'expired' WHEN age > {REFRESH_HOURS * 3600} THEN 'stale' ELSE 'live' END AS state, count(*) AS n
 FROM (SELECT event_type, floor(epoch(now))::BIGINT - floor(epoch(ts))::BIGINT AS age FROM events, {_NOW}) GROUP BY ALL""",

@@ -84,12 +84,13 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         F.concat_ws("-", "source", F.floor(F.col("doc_id") / BOOK_SPAN).cast("string")).alias("book_id"), "doc_id", "text"
     )
-    chapter = F.row_number().over(W.partitionBy("book_id").orderBy("doc_id"))
-    rows = d.withColumn("chapter", chapter).select(
-        "book_id", "chapter", F.posexplode(F.concat(F.array(F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))), F.split("text", "\n"))).alias("part", "text")
-    )
-    both = rows.select("book_id", "chapter", "part", F.explode(F.array(F.lit(0), F.lit(1))).alias("blank"), "text")
-    at = F.row_number().over(W.partitionBy("book_id").orderBy("chapter", "part", "blank")) - 1
+    # a book is ordered by its documents, of which it spans BOOK_SPAN at most; lines get their numbers from these
+    w = W.partitionBy("book_id").orderBy("doc_id")
+    parts = F.concat(F.array(F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))), F.split("text", "\n"))
+    rows = d.withColumn("chapter", F.row_number().over(w)).withColumn("n", 2 * (F.size(F.split("text", "\n")) + 1))
+    rows = rows.withColumn("before", F.sum("n").over(w) - F.col("n")).select("book_id", "before", F.posexplode(parts).alias("part", "text"))
+    both = rows.select("book_id", "before", "part", F.explode(F.array(F.lit(0), F.lit(1))).alias("blank"), "text")
+    at = F.col("before") + 2 * F.col("part") + F.col("blank")
     return both.select("book_id", at.alias("line_no"), F.when(F.col("blank") == 1, "").otherwise(F.col("text")).alias("text"), ((F.col("part") == 0) & (F.col("blank") == 0)).alias("heading"))
 
 
