@@ -32,3 +32,8 @@ def replaced_slice(base: DataFrame, new: DataFrame, keys: list[str], ordinal: st
     kept = base.join(new.select(*keys).distinct(), keys, "left_anti")
     number = (F.row_number().over(W.partitionBy(*keys).orderBy(ordinal)) - 1).cast("int")
     return kept.unionByName(new.withColumn(ordinal, number))
+
+
+def overwrite_slices(new: DataFrame, path: str, keys: list[str]) -> None:
+    """On disk: the partitions that ``new`` has rows of are replaced; the files of all others aren't touched."""
+    new.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

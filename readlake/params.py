@@ -59,6 +59,9 @@ CONTEXT_CAP = 131072
 PROFILES = (("creative", 12.0, 6.0), ("fast", -4.0, 9.0))
 #: profile, fragment of an id, bonus.
 FAMILIES = (("creative", "widget", 5.0), ("creative", "red", 3.0), ("fast", "bolt", 4.0), ("fast", "small", 2.5), ("fast", "gear", -2.0))
+#: What coders lose in every profile, and entries below TINY billions in some.
+CODERS, CODER_LOSS = "(^|[-/])[a-z0-9_]*coder[a-z0-9_]*([-:]|$)", 120.0
+TINY, TINY_LOSS = 7, {"creative": 20.0}
 #: Makers by the pattern of their ids, and what being one of them is worth.
 MAKERS = (("^brand-1[0-9]/", 2.0), ("^brand-[1-4]/", 1.0))
 

@@ -165,27 +165,31 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _block_ends(batches):
+def _block_ends(full_at: int):
     """(book_id, block, words) in order to a row a block: its words, and for each number of words already open the parts that it closes and the words that it leaves open."""
-    at, opened, closed, total = None, None, None, 0
-    start = np.arange(PART_WORDS)
 
-    def out():
-        return pa.RecordBatch.from_pydict({"book_id": [at[0]], "block": pa.array([at[1]], pa.int64()), "words": pa.array([total], pa.int64()), "closed": [closed.tolist()], "opened": [opened.tolist()]})
+    def made(batches):
+        at, opened, closed, total = None, None, None, 0
+        start = np.arange(full_at)
 
-    for batch in batches:
-        for book, block, words in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words")), strict=True):
-            if (book, block) != at:
-                if at:
-                    yield out()
-                at, opened, closed, total = (book, block), start.copy(), np.zeros(PART_WORDS, np.int64), 0
-            opened += words
-            total += words
-            full = opened >= PART_WORDS
-            closed[full] += 1
-            opened[full] = 0
-    if at:
-        yield out()
+        def out():
+            return pa.RecordBatch.from_pydict({"book_id": [at[0]], "block": pa.array([at[1]], pa.int64()), "words": pa.array([total], pa.int64()), "closed": [closed.tolist()], "opened": [opened.tolist()]})
+
+        for batch in batches:
+            for book, block, words in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words")), strict=True):
+                if (book, block) != at:
+                    if at:
+                        yield out()
+                    at, opened, closed, total = (book, block), start.copy(), np.zeros(full_at, np.int64), 0
+                opened += words
+                total += words
+                full = opened >= full_at
+                closed[full] += 1
+                opened[full] = 0
+        if at:
+            yield out()
+
+    return made
 
 
 def _block_starts(batches):
@@ -209,19 +213,23 @@ def _block_starts(batches):
         yield out(-1)
 
 
-def _line_parts(batches):
+def _line_parts(full_at: int):
     """Lines in order, with the part and open words at their block's start, to their own part."""
-    at = None
-    for batch in batches:
-        own = []
-        for book, block, words, part0, opened0 in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words", "part", "opened")), strict=True):
-            if (book, block) != at:
-                at, part, opened = (book, block), part0, opened0
-            own.append(part)
-            opened += words
-            if opened >= PART_WORDS:
-                part, opened = part + 1, 0
-        yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("k"), batch.column("words"), pa.array(own, pa.int64())], names=["book_id", "k", "words", "own"])
+
+    def made(batches):
+        at = None
+        for batch in batches:
+            own = []
+            for book, block, words, part0, opened0 in zip(*(batch.column(c).to_pylist() for c in ("book_id", "block", "words", "part", "opened")), strict=True):
+                if (book, block) != at:
+                    at, part, opened = (book, block), part0, opened0
+                own.append(part)
+                opened += words
+                if opened >= full_at:
+                    part, opened = part + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("k"), batch.column("words"), pa.array(own, pa.int64())], names=["book_id", "k", "words", "own"])
+
+    return made
 
 
 def fallback_parts(paras: DataFrame) -> DataFrame:
@@ -233,10 +241,10 @@ def fallback_parts(paras: DataFrame) -> DataFrame:
     """
     rows = paras.select("book_id", "k", F.col("words").cast("long").alias("words"), _block("k").alias("block"))
     dealt = lambda df: df.repartition("book_id", "block").sortWithinPartitions("book_id", "block", "k")
-    ends = dealt(rows).select("book_id", "block", "words").mapInArrow(_block_ends, "book_id string, block long, words long, closed array<long>, opened array<long>")
+    ends = dealt(rows).select("book_id", "block", "words").mapInArrow(_block_ends(PART_WORDS), "book_id string, block long, words long, closed array<long>, opened array<long>")
     starts = ends.repartition("book_id").sortWithinPartitions("book_id", "block").mapInArrow(_block_starts, "book_id string, block long, part long, opened long, total long")
     last = starts.where("block = -1").select("book_id", F.col("part").alias("last"), F.col("opened").alias("open"), "total")
-    own = dealt(rows.join(starts.drop("total"), ["book_id", "block"])).mapInArrow(_line_parts, f"book_id string, k {dict(paras.dtypes)['k']}, words long, own long")
+    own = dealt(rows.join(starts.drop("total"), ["book_id", "block"])).mapInArrow(_line_parts(PART_WORDS), f"book_id string, k {dict(paras.dtypes)['k']}, words long, own long")
     f = own.join(last, "book_id")
     small = (F.col("own") == F.col("last")) & (F.col("open") < LEAST_PART) & (F.col("last") > 0)
     part = F.when(F.col("total") < WHOLE, 0).when(small, F.col("own") - 1).otherwise(F.col("own"))

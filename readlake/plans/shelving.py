@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from readlake.operators.keyed import cascade, latest_by_key, patched, replaced_slice
 from readlake.operators.stores import json_rows
-from readlake.params import CONTEXT_CAP, FAMILIES, FINISHED, MAKERS, PROFILES, WORDS_PER_MINUTE
+from readlake.params import CODER_LOSS, CODERS, CONTEXT_CAP, FAMILIES, FINISHED, MAKERS, PROFILES, TINY, TINY_LOSS, WORDS_PER_MINUTE
 from readlake.plans.retrieval import _ANN, annotations
-from readlake.sources.tables import passages, shelf, table, usage, with_views
+from readlake.sources.tables import jobs, passages, shelf, table, usage, with_views
 
 NEEDLE = "the"
 
@@ -113,15 +113,15 @@ def append_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def filtered(rows: DataFrame, needle: str = "", status: str = "all", favourites: bool = False, collection: str | None = None) -> DataFrame:
-    """Rows of a shelf that hold the needle in title, author, tag or collection and pass the other filters, pinned and newest first."""
+def passes(needle: str = "", status: str = "all", favourites: bool = False, collection: str | None = None):
+    """Whether a row of a shelf holds the needle in title, author, tag or collection and passes the other filters."""
     hit = F.lit(needle == "")
     for c in ("title", "author", "tag", "collection"):
         hit |= F.coalesce(F.contains(F.lower(c), F.lit(needle.lower())), F.lit(False))
     p = F.col("progress")
     arm = {"reading": (p > 0) & (p < FINISHED), "finished": p >= FINISHED, "unstarted": p == 0}.get(status, F.lit(True))
     own = (F.col("favorite") | F.lit(not favourites)) & (F.lit(True) if collection is None else F.coalesce(F.col("collection") == collection, F.lit(False)))
-    return rows.where(hit & arm & own).orderBy(F.desc("favorite"), F.desc(F.coalesce("last_read_at", "created_at")), "doc_id")
+    return hit & arm & own
 
 
 #: Filters that the query shows: name, needle, status, favourites only, collection.
@@ -129,12 +129,10 @@ FILTERS = (("reading", NEEDLE, "reading", False, None), ("finished", "", "finish
 
 
 def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What several filters of the shelf let through."""
-    s, out = shelf(spark, sf_dir), None
-    for name, *how in FILTERS:
-        rows = filtered(s, *how).select(F.lit(name).alias("filter"), "doc_id", "title", "progress", "favorite")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """What several filters of the shelf let through, each pinned and newest first: one scan and one sort for all."""
+    names = F.array_compact(F.array(*[F.when(passes(*how), F.lit(name)) for name, *how in FILTERS]))
+    rows = shelf(spark, sf_dir).withColumn("filter", F.explode(names))
+    return rows.orderBy("filter", F.desc("favorite"), F.desc(F.coalesce("last_read_at", "created_at")), "doc_id").select("filter", "doc_id", "title", "progress", "favorite")
 
 
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +144,9 @@ def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shelf_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of the shelf in each order, favourites pinned."""
+    """The first rows of the shelf in each order, favourites pinned; titles stand as in a dictionary, whatever their case and accents."""
     s, out = shelf(spark, sf_dir), None
-    orders = {"recent": F.desc(F.coalesce("last_read_at", "created_at")), "title": F.asc("title"), "size": F.desc("byte_size"), "progress": F.desc("progress")}
+    orders = {"recent": F.desc(F.coalesce("last_read_at", "created_at")), "title": F.asc(F.collate("title", "UNICODE")), "size": F.desc("byte_size"), "progress": F.desc("progress")}
     for name, key in orders.items():
         top = s.orderBy(F.desc("favorite"), key, "doc_id").limit(25).select("doc_id", "favorite", F.lit(name).alias("ordering"))
         out = top if out is None else out.unionByName(top)
@@ -174,6 +172,19 @@ def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.distinct().select("doc_id", "chunk_idx", F.row_number().over(w).alias("ordinal"))
 
 
+def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What belongs to a document or user, in its order: scenes by chapter and place, stories and jobs latest first."""
+    scenes = passages(spark, sf_dir).where("local_idx < 2").select("doc_id", F.concat_ws("/", "chapter_idx", "local_idx").alias("child"), F.struct(F.col("chapter_idx").cast("long").alias("a"), F.col("local_idx").cast("long").alias("b")).alias("place"))
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    stories = told.select((F.col("conv_id") % 50).alias("doc_id"), F.col("conv_id").cast("string").alias("child"), F.struct((-F.col("last")).alias("a"), F.col("conv_id").alias("b")).alias("place"))
+    work = jobs(spark, sf_dir).select(F.col("user_id").alias("doc_id"), F.col("job_id").cast("string").alias("child"), F.struct((-F.unix_seconds(F.col("updated_at").cast("timestamp"))).alias("a"), F.col("job_id").alias("b")).alias("place"))
+    each = None
+    for kind, rows in (("scene", scenes), ("story", stories), ("job", work)):
+        rows = rows.select(F.lit(kind).alias("kind"), F.col("doc_id").alias("parent"), "child", "place")
+        each = rows if each is None else each.unionByName(rows)
+    return each.withColumn("ordinal", F.row_number().over(W.partitionBy("kind", "parent").orderBy("place"))).select("kind", "parent", "child", "ordinal")
+
+
 def distinct_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf(spark, sf_dir).where("collection is not null").select("collection").distinct()
 
@@ -207,7 +218,7 @@ def minutes_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entry, id, name, context, in_price: parts as rows of a model catalogue, a third of them free, some of users' own."""
     maker = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
-    own = F.concat(maker, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size"), F.lit("b"), F.when(F.col("p_partkey") % 3 == 0, ":free").otherwise(""))
+    own = F.concat(maker, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size"), F.lit("b"), F.when(F.col("p_partkey") % 15 == 3, "-coder").otherwise(""), F.when(F.col("p_partkey") % 3 == 0, ":free").otherwise(""))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("entry"), F.when(F.col("p_partkey") % 17 == 6, F.concat(F.lit("x:user/"), F.col("p_partkey"), F.lit(":free"))).otherwise(own).alias("id"),
         F.col("p_name").alias("name"), (F.col("p_size") * 4096).cast("long").alias("context"), (F.col("p_retailprice") / 1e9).alias("in_price"),
@@ -220,14 +231,18 @@ def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The free entry that suits each profile best: by context, size, maker and family."""
+    """The free entry that suits each profile best: by context, size, maker and family, less what coders and tiny ones lose."""
     c = catalog(spark, sf_dir).where("id like '%:free'")
-    size = F.least(F.lit(10.0), F.coalesce(F.expr("try_cast(nullif(regexp_extract(id, '([0-9]+)b:', 1), '') as double)"), F.lit(0.0)) / 5)
+    billions = F.coalesce(F.expr("try_cast(nullif(regexp_extract(id, '([0-9]+)b[:-]', 1), '') as double)"), F.lit(0.0))
+    size = F.least(F.lit(10.0), billions / 5)
+    coder = F.when(F.col("id").rlike(CODERS), CODER_LOSS).otherwise(0.0)
     maker = sum((F.when(F.col("id").rlike(p), bonus).otherwise(0.0) for p, bonus in MAKERS), F.lit(0.0))
     scores = []
     for profile, by_size, by_context in PROFILES:
         family = sum((F.when(F.contains("id", F.lit(part)), bonus).otherwise(0.0) for who, part, bonus in FAMILIES if who == profile), F.lit(0.0))
-        score = size / 10 * by_size + F.least(F.lit(CONTEXT_CAP), F.col("context")) / CONTEXT_CAP * by_context + maker + family
+        score = size / 10 * by_size + F.least(F.lit(CONTEXT_CAP), F.col("context")) / CONTEXT_CAP * by_context + maker + family - coder
+        if profile in TINY_LOSS:
+            score -= F.when((billions > 0) & (billions < TINY), TINY_LOSS[profile]).otherwise(0.0)
         scores.append(F.struct(F.lit(profile).alias("profile"), F.round(score, 6).alias("score")))
     each = c.select("entry", "id", F.explode(F.array(*scores)).alias("s")).select("entry", "id", "s.profile", "s.score")
     # combined map-side: one row for each profile reaches the last task of each
@@ -235,13 +250,13 @@ def catalog_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("profile", (-F.col("b.first")).alias("entry"), "b.id", "b.score")
 
 
-_CAT = """SELECT p_partkey AS entry, CASE WHEN p_partkey % 17 = 6 THEN 'x:user/' || p_partkey || ':free' ELSE lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') || '-' || p_size || 'b' || CASE WHEN p_partkey % 3 = 0 THEN ':free' ELSE '' END END AS id,
+_CAT = """SELECT p_partkey AS entry, CASE WHEN p_partkey % 17 = 6 THEN 'x:user/' || p_partkey || ':free' ELSE lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') || '-' || p_size || 'b' || CASE WHEN p_partkey % 15 = 3 THEN '-coder' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ':free' ELSE '' END END AS id,
 p_name AS name, (p_size * 4096)::BIGINT AS context, p_retailprice / 1e9 AS in_price FROM part"""
 _MADE = " + ".join(f"CASE WHEN regexp_matches(id, '{p}') THEN {b!r} ELSE 0 END" for p, b in MAKERS)
 _RANKS = " UNION ALL ".join(
     f"SELECT '{profile}' AS profile, entry, id, round(size / 10 * ({by_size!r}::DOUBLE) + least({CONTEXT_CAP}, context) / {CONTEXT_CAP} * {by_context!r}::DOUBLE + ({_MADE})::DOUBLE + ("
     + " + ".join(f"CASE WHEN contains(id, '{part}') THEN {bonus!r} ELSE 0 END" for who, part, bonus in FAMILIES if who == profile)
-    + ")::DOUBLE, 6) AS score FROM free"
+    + f")::DOUBLE - CASE WHEN regexp_matches(id, '{CODERS}') THEN {CODER_LOSS!r} ELSE 0 END::DOUBLE - CASE WHEN billions > 0 AND billions < {TINY} THEN {TINY_LOSS.get(profile, 0.0)!r} ELSE 0 END::DOUBLE, 6) AS score FROM free"
     for profile, by_size, by_context in PROFILES
 )
 _N = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> ''))"
@@ -249,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_lookup, predicate_scan, owner_scan, upsert_latest, patch_rows, cascade_delete, replace_slice, export_json, export_text, append_chapter, library_filter,
-        metadata_search, shelf_sort, reading_rail, top_progress, ordered_children, distinct_collections, preference_chain, library_totals, minutes_left, catalog_filter, catalog_rank,
+        metadata_search, shelf_sort, reading_rail, top_progress, ordered_children, child_lists, distinct_collections, preference_chain, library_totals, minutes_left, catalog_filter, catalog_rank,
     )
 }
 ORACLES = {
@@ -293,7 +308,7 @@ AND (contains(lower(title), '{needle}') OR contains(lower(author), '{needle}') O
     "shelf_sort": with_views(
         " UNION ALL ".join(
             f"(SELECT doc_id, favorite, '{n}' AS ordering FROM shelf ORDER BY favorite DESC, {k}, doc_id LIMIT 25)"
-            for n, k in (("recent", "coalesce(last_read_at, created_at) DESC"), ("title", "title"), ("size", "byte_size DESC"), ("progress", "progress DESC"))
+            for n, k in (("recent", "coalesce(last_read_at, created_at) DESC"), ("title", "title COLLATE de"), ("size", "byte_size DESC"), ("progress", "progress DESC"))
         )
     ),
     "reading_rail": with_views(
@@ -304,6 +319,12 @@ ORDER BY section, placed_at DESC, doc_id LIMIT 10"""
     "ordered_children": with_views(
         """SELECT doc_id, chunk_idx, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS ordinal FROM (
 SELECT DISTINCT doc_id, unnest([doc_id * 7 % n, doc_id * 3 % n, doc_id * 5 % n]) AS chunk_idx FROM (SELECT doc_id, count(*) AS n FROM passages WHERE doc_id % 2 = 0 GROUP BY doc_id))"""
+    ),
+    "child_lists": with_views(
+        """SELECT kind, parent, child, row_number() OVER (PARTITION BY kind, parent ORDER BY a, b) AS ordinal FROM (
+SELECT 'scene' AS kind, doc_id AS parent, chapter_idx || '/' || local_idx AS child, chapter_idx::BIGINT AS a, local_idx::BIGINT AS b FROM passages WHERE local_idx < 2
+UNION ALL SELECT 'story', conv_id % 50, conv_id::VARCHAR, -max(turn), conv_id FROM conversations GROUP BY conv_id
+UNION ALL SELECT 'job', user_id, job_id::VARCHAR, -floor(epoch(updated_at))::BIGINT, job_id FROM jobs)"""
     ),
     "distinct_collections": with_views("SELECT DISTINCT collection FROM shelf WHERE collection IS NOT NULL"),
     "preference_chain": with_views("SELECT author AS choice, min(CASE WHEN favorite THEN 0 WHEN progress > 50 THEN 1 ELSE 2 END) AS rank FROM shelf GROUP BY author"),
@@ -313,6 +334,6 @@ floor(sum(words * progress / 100) + 0.5)::BIGINT AS words_read, floor(sum(words
     ),
     "minutes_left": with_views(f"SELECT doc_id, greatest(1, floor((100 - progress) / 100 * words / {WORDS_PER_MINUTE} + 0.5)::BIGINT) AS minutes FROM shelf"),
     "catalog_filter": f"SELECT entry, id, name, context, round(in_price * 1e6, 4) AS in_per_m FROM ({_CAT}) WHERE id LIKE '%:free' AND NOT id LIKE 'x:user/%'",
-    "catalog_rank": f"""WITH free AS (SELECT *, least(10.0, coalesce(try_cast(nullif(regexp_extract(id, '([0-9]+)b:', 1), '') AS DOUBLE), 0) / 5) AS size FROM ({_CAT}) WHERE id LIKE '%:free')
+    "catalog_rank": f"""WITH free AS (SELECT *, least(10.0, billions / 5) AS size FROM (SELECT *, coalesce(try_cast(nullif(regexp_extract(id, '([0-9]+)b[:-]', 1), '') AS DOUBLE), 0) AS billions FROM ({_CAT}) WHERE id LIKE '%:free'))
 SELECT profile, entry, id, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, entry) AS r FROM ({_RANKS})) WHERE r = 1""",
 }

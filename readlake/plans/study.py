@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,20 +18,39 @@ QUIZ = 6
 SUBTITLES = ("beginning", "rise", "middle", "fall", "close")
 
 
+CAST, LEAST_QUOTE, LONGEST_QUOTE = 4, 6, 180  # names of a scene; characters of a quote
+NOBODY = ("A reader", "A room")  # who plays where a chapter names nobody
+
+
 def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chapter's first sentences in two to five equal slices, with title, mood, opening and closing sentence."""
-    c = K.chapters(spark, sf_dir).select("doc_id", "chapter_idx", "text", T.sentences(F.col("text")).alias("s"))
+    """A chapter's first sentences in two to five equal slices, with title, mood, cast, a quote, opening and closing sentence.
+
+    The mood and the cast are the chapter's, but for the middle scene: it has its own mood, and the first two names.
+    Quotes go round; a chapter with none has none.
+    """
+    c = K.chapters(spark, sf_dir).withColumn("key", F.concat_ws("/", "doc_id", "chapter_idx"))
+    names = K.name_rows(c.select(F.col("key").alias("doc_id"), "text"), CAST).groupBy(F.col("doc_id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("rank", "name")))["name"].alias("names"))
+    words = K.keyword_rows(c.select(F.col("key").alias("doc_id"), "text"), 1).select(F.col("doc_id").alias("key"), F.col("word").alias("seed"))
+    quotes = F.transform(F.regexp_extract_all("text", F.lit(f'[“"]([^”"\\n]{{{LEAST_QUOTE},{LONGEST_QUOTE}}})[”"]'), F.lit(1)), F.trim)
+    c = c.select("doc_id", "chapter_idx", "key", "text", quotes.alias("quotes"), T.sentences(F.col("text")).alias("s"))
     scenes = F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(F.length("text") / 2500)))
     c = c.where(F.size("s") > 0).withColumn("scenes", scenes.cast("int")).withColumn("n", F.least(F.size("s"), 12 * F.col("scenes")))
     c = c.withColumn("size", F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("scenes")).cast("int")))
-    rows = c.select("doc_id", "chapter_idx", "scenes", F.posexplode(F.expr("transform(sequence(0, scenes - 1), i -> slice(s, i * size + 1, least(size, greatest(0, n - i * size))))")).alias("ordinal", "part"))
-    rows = rows.where(F.size("part") > 0)
-    mood, time, place = scalars.mood_of(F.lower(F.array_join("part", " ")))
-    title = F.concat(F.lit("Chapter "), F.col("chapter_idx") + 1, F.lit(" — "), F.element_at(F.array(*map(F.lit, SUBTITLES)), F.col("ordinal") + 1))
+    slices = F.filter(F.expr("transform(sequence(0, scenes - 1), i -> slice(s, i * size + 1, least(size, greatest(0, n - i * size))))"), lambda p: F.size(p) > 0)
+    whole = F.concat_ws(" / ", *scalars.mood_of(F.lower("text")))
+    c = c.select("doc_id", "chapter_idx", "key", "quotes", whole.alias("whole"), slices.alias("slices")).join(names, "key", "left").join(words, "key", "left")
+    rows = c.select("*", F.size("slices").alias("count"), F.posexplode("slices").alias("ordinal", "part"))
+    middle = F.col("ordinal") == F.floor(F.col("count") / 2)
+    cast = F.coalesce("names", F.array(*map(F.lit, NOBODY)))
+    title = F.concat(F.coalesce(F.concat(F.lit("The "), F.initcap("seed")), F.lit("Chapter")), F.lit(" — "), F.element_at(F.array(*map(F.lit, SUBTITLES)), F.col("ordinal") + 1))
     closing = F.when(F.size("part") > 2, F.element_at("part", -1)).otherwise("")
+    quote = F.when(F.size("quotes") > 0, F.get("quotes", F.col("ordinal") % F.size("quotes")))
+    speaker = F.when(quote.isNotNull() & F.col("names").isNotNull(), F.get("names", F.col("ordinal") % F.size("names")))
+    own = F.concat_ws(" / ", *scalars.mood_of(F.lower(F.array_join("part", " "))))
     return rows.select(
-        "doc_id", "chapter_idx", "ordinal", title.alias("title"), F.size("part").alias("sentences"), F.element_at("part", 1).alias("opening"), closing.alias("closing"), F.concat_ws(" / ", mood, time, place).alias("mood")
-    )
+        "doc_id", "chapter_idx", "ordinal", title.alias("title"), F.size("part").alias("sentences"), F.element_at("part", 1).alias("opening"), closing.alias("closing"), F.when(middle, own).otherwise(F.col("whole")).alias("mood"),
+        F.array_join(F.when(middle, F.slice(cast, 1, 2)).otherwise(cast), "; ").alias("cast"), quote.alias("quote"), speaker.alias("speaker"),
+    )
 
 
 def dedupe_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +66,8 @@ def cloze_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A word is asked for once: sentences are folded in order, each taking its first candidate not yet used.
     Distractors are words occurring 2 to 12 times with lengths within two of the answer's, in the order of a
-    hash, so that runs agree.
+    hash, so that runs agree.  Answers meet the words of their own bands of length only, and each keeps its first
+    three on the way to the shuffle.
     """
     docs = K.documents(spark, sf_dir)
     sents = K.sentence_rows(docs).where((F.size(T.tokens(F.col("sentence"))) >= 6) & (F.length("sentence") < 280))
@@ -62,8 +84,9 @@ def cloze_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
              'out', concat(a.out, transform(slice(array_except(s.cs, a.used), 1, 1), c -> named_struct('idx', s.idx, 'clean', c)))), a -> a.out)"""
     )
     asked = per.select("doc_id", F.explode(fold).alias("q")).select("doc_id", "q.idx", F.col("q.clean").alias("answer"))
-    pool = tf.where("tf between 2 and 12").select("doc_id", "word")
-    pairs = asked.join(pool, "doc_id").where((F.col("word") != F.col("answer")) & (F.abs(F.length("word") - F.length("answer")) <= 2))
+    pool = tf.where("tf between 2 and 12").select("doc_id", "word", F.length("word").alias("band"))
+    bands = asked.select("*", F.explode(F.sequence(F.length("answer") - 2, F.length("answer") + 2)).alias("band"))
+    pairs = bands.join(pool, ["doc_id", "band"]).where(F.col("word") != F.col("answer"))
     order = F.row_number().over(W.partitionBy("doc_id", "idx").orderBy(F.md5(F.concat("word", F.lit("/"), "answer")), "word"))
     wrong = pairs.withColumn("r", order).where("r <= 3").groupBy("doc_id", "idx", "answer").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(F.struct("r", "word")))["word"], "; ").alias("distractors"))
     full = wrong.where("n = 3").withColumn("ordinal", F.row_number().over(W.partitionBy("doc_id").orderBy("idx")))
@@ -83,13 +106,25 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (scene_slices, dedupe_titles, cloze_quiz, analysis)}
 _M = scalars.ORACLES["mood_class"]
-_PART = "array_to_string(part, ' ')"
-_V = K._V | {
-    "slices": f"""SELECT doc_id, chapter_idx, i AS ordinal, s[i * size + 1 : i * size + least(size, greatest(0, n - i * size))] AS part FROM (SELECT *, unnest(range(scenes)) AS i FROM (SELECT *, greatest(1, ceil(n / scenes))::BIGINT AS size FROM (
-SELECT *, least(len(s), 12 * scenes) AS n FROM (SELECT doc_id, chapter_idx, {T.sql_sentences("text")} AS s, greatest(2, least(5, ceil(length(text) / 2500)))::BIGINT AS scenes FROM chaps) WHERE len(s) > 0)))""",
-    "moods": _M.replace("SELECT doc_id, CASE", "SELECT doc_id, chapter_idx, ordinal, part, CASE", 1).replace(
-        "FROM (SELECT doc_id, lower(text) AS t FROM documents)", f"FROM (SELECT *, lower({_PART}) AS t FROM slices WHERE len(part) > 0)"
-    ),
+
+
+def _moods(source: str) -> str:
+    """Rows of a view with text t and their mood, time and place in words."""
+    return "SELECT *, mood || ' / ' || time || ' / ' || place AS said FROM (" + _M.replace("SELECT doc_id, CASE", "SELECT *, CASE", 1).replace("FROM (SELECT doc_id, lower(text) AS t FROM documents)", f"FROM {source}") + ")"
+
+
+_BY_DOC = ("toks", "tf", "sents", "kw", "ntoks", "near", "caps", "common", "named", "names")
+#: The views of words and names with a chapter in the place of a document.
+_BY_CHAPTER = {"c_docs": "SELECT doc_id || '/' || chapter_idx AS doc_id, text FROM chaps"} | {
+    f"c_{name}": re.sub(rf"\b(FROM|JOIN) ({'|'.join(_BY_DOC)})\b", r"\1 c_\2", K._V[name]).replace("FROM documents", "FROM c_docs").replace("rank <= 6", f"rank <= {CAST}") for name in _BY_DOC
+}
+_V = K._V | _BY_CHAPTER | {
+    "slices": f"""SELECT doc_id, chapter_idx, ordinal, count(*) OVER (PARTITION BY doc_id, chapter_idx) AS many, part, lower(array_to_string(part, ' ')) AS t FROM (
+SELECT doc_id, chapter_idx, i AS ordinal, s[i * size + 1 : i * size + least(size, greatest(0, n - i * size))] AS part FROM (SELECT *, unnest(range(scenes)) AS i FROM (SELECT *, greatest(1, ceil(n / scenes))::BIGINT AS size FROM (
+SELECT *, least(len(s), 12 * scenes) AS n FROM (SELECT doc_id, chapter_idx, {T.sql_sentences("text")} AS s, greatest(2, least(5, ceil(length(text) / 2500)))::BIGINT AS scenes FROM chaps) WHERE len(s) > 0)))) WHERE len(part) > 0""",
+    "lowered": "SELECT doc_id, chapter_idx, text, lower(text) AS t FROM chaps",
+    "scene_moods": _moods("slices"),
+    "chapter_moods": _moods("lowered"),
     "cands": f"""SELECT * FROM (SELECT doc_id, idx, k, regexp_replace(lower(raw), '[^a-z'']', '', 'g') AS clean FROM (SELECT doc_id, idx, unnest(range(len(w))) AS k, unnest(w) AS raw, len(w) AS n FROM (
 SELECT doc_id, idx, regexp_split_to_array(sentence, '[ \\t\\n\\v\\f\\r]+') AS w FROM sents WHERE len({T.sql_tokens("sentence")}) >= 6 AND length(sentence) < 280)) WHERE k > 0 AND k < n - 1)
 WHERE length(clean) >= 5 AND clean NOT IN ({sql_list(STOP_WORDS)}) AND (doc_id, clean) IN (SELECT (doc_id, word) FROM tf)""",
@@ -97,7 +132,12 @@ WHERE length(clean) >= 5 AND clean NOT IN ({sql_list(STOP_WORDS)}) AND (doc_id,
 }
 ORACLES = {
     "scene_slices": with_views(
-        f"""SELECT doc_id, chapter_idx, ordinal::INT AS ordinal, 'Chapter ' || (chapter_idx + 1) || ' — ' || [{sql_list(SUBTITLES)}][ordinal + 1] AS title, len(part)::INT AS sentences, part[1] AS opening, CASE WHEN len(part) > 2 THEN part[-1] ELSE '' END AS closing, mood || ' / ' || time || ' / ' || place AS mood FROM moods""", **_V
+        f"""SELECT doc_id, chapter_idx, ordinal::INT AS ordinal, coalesce('The ' || upper(seed[1]) || seed[2:], 'Chapter') || ' — ' || [{sql_list(SUBTITLES)}][ordinal + 1] AS title, len(part)::INT AS sentences, part[1] AS opening,
+CASE WHEN len(part) > 2 THEN part[-1] ELSE '' END AS closing, CASE WHEN ordinal = many // 2 THEN own ELSE whole END AS mood, array_to_string(CASE WHEN ordinal = many // 2 THEN players[1:2] ELSE players END, '; ') AS cast,
+quotes[ordinal % nullif(len(quotes), 0) + 1] AS quote, CASE WHEN len(quotes) > 0 THEN names[ordinal % len(names) + 1] END AS speaker
+FROM (SELECT m.*, m.said AS own, w.said AS whole, names, coalesce(names, [{sql_list(NOBODY)}]) AS players, k.word AS seed, list_transform(regexp_extract_all(w.text, '[“"]([^”"\n]{{{LEAST_QUOTE},{LONGEST_QUOTE}}})[”"]', 1), lambda q: trim(q)) AS quotes
+  FROM scene_moods m JOIN chapter_moods w USING (doc_id, chapter_idx) LEFT JOIN (SELECT doc_id AS key, list(name ORDER BY rank) AS names FROM c_names GROUP BY doc_id) n ON n.key = m.doc_id || '/' || m.chapter_idx
+  LEFT JOIN (SELECT doc_id AS key, word FROM c_kw WHERE rank = 1) k ON k.key = m.doc_id || '/' || m.chapter_idx)""", **_V
     ),
     "dedupe_titles": f"""SELECT conv_id, turn, CASE WHEN n > 1 THEN title || ' — ' || CASE WHEN n <= {len(ROMAN)} THEN [{sql_list(ROMAN)}][n] ELSE n::VARCHAR END ELSE title END AS title FROM (
 SELECT conv_id, turn, upper(role[1]) || role[2:] AS title, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)""",

@@ -38,7 +38,7 @@ def test_headings(spark):
 
 
 def test_clean_and_join(spark):
-    assert one(spark, "a . . . b  –  c ,\x07d", T.clean_inline) == "a …b—c,d" or one(spark, "a . . . b  –  c ,\x07d", T.clean_inline) == "a … b—c,d"
+    assert one(spark, "a . . . b  –  c ,\x07d", T.clean_inline) == "a … b—c,d"
     assert one(spark, "won-\nder and\nHalf-\nTime", lambda c: T.join_lines(F.split(c, "\n"))) == "wonder and Half- Time"
 
 
