@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Groups with at least this share of all rows are joined by broadcast, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where none is configured, a local session gets a temporary one; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-readlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+from readlake.sources.shared import discard, fresh_path, materialize, shared_dir
+from readlake.sources.tables import table
 
+__all__ = ["HOT_SHARE", "ascii_lower", "discard", "fresh_path", "join_groups", "materialize", "shared_dir", "small", "table", "text_or_empty"]
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder whose every reader has been written elsewhere."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+#: Groups with at least this share of all rows are joined by broadcast, so there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
 
 
 def small(batches, rows: int = 256, size: int = 4 << 20):

@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is bucketed and sorted by digest (``sorted_runs``).  A delta is first reduced to one row per digest
+The index is bucketed and sorted by digest (``operators.runs``).  A delta is first reduced to one row per digest
 (map-side), then merge-anti-joined with the index (the index side is read in its buckets, without a shuffle), and
 what is new is appended.  A known digest that comes again is appended too, as a later row with the delta's
 count and largest doc_id: ``read`` adds the rows of a digest up in their bucket, again without a shuffle, and runs
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm.common import ascii_lower, discard, fresh_path, join_groups, materialize, table, text_or_empty
-from readlake.llm.sorted_runs import SortedRuns
+from readlake.operators.runs import SortedRuns
 
 BUCKET_ROWS = 2_000_000
 DELTAS = 2
@@ -45,7 +45,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, rows: int = 0):
         self.spark = spark
         self.name = name or "digest_run"
-        self.path = path or fresh_path(spark, "digest-index")
+        self.path = path or fresh_path(spark, "digest-index", keep=True)
         wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
         self.runs = SortedRuns(spark, self.path, COLUMNS, ["digest"], {"keep_id": F.max, "group_size": F.sum}, wanted, self.name)
 

@@ -4,7 +4,7 @@
    whether it is the first of its key in its document.  They are written in batches.
 2. A batch is reduced to one row a key (documents that hold it, largest doc_id).  Its keys are merge-anti-joined
    with the sorted runs of all batches before it, which tells new keys from known ones, and are added as a run of
-   their own: new keys first seen there, known ones as counts to add.  Full levels are merged (``sorted_runs``).
+   their own: new keys first seen there, known ones as counts to add.  Full levels are merged (``operators.runs``).
 3. A key that enough documents hold loses all lines but those of the largest doc_id.  Lines meet their keys by a
    shuffle of hashes; the few keys that hold a large share of all lines are looked up by broadcast.
 4. The positions lost by a document (a document's own lines, no more) meet its text, in the only shuffle of texts.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm.common import HOT_SHARE, discard, fresh_path, materialize, small, table, text_or_empty
-from readlake.llm.sorted_runs import SortedRuns
+from readlake.operators.runs import SortedRuns
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -76,7 +76,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, rows: int = 0):
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-        self.path = path or fresh_path(spark, "line-index")
+        self.path = path or fresh_path(spark, "line-index", keep=True)
         self.runs = SortedRuns(spark, self.path, COLUMNS, ["h1", "h2"], {"holders": F.sum, "last_id": F.max, "fresh": F.max}, buckets)
 
     def add(self, batch: DataFrame, name: str) -> None:

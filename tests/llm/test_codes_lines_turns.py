@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.llm import exact_dedup, line_dedup, turn_repair, vector_codes
-from readlake.llm.sorted_runs import FAN
+from readlake.operators.runs import FAN
 
 BLANKS = " \t\n\x0b\x0c\r"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
