@@ -697,6 +697,28 @@ def test_near_runs_pair_members_of_different_components():
     assert near_dedup._partners(run[1:3], 0)[1] == []
 
 
+def test_near_runs_that_tasks_cut_are_paired(spark):
+    """Every member of every run is linked to its run, however the order is divided."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(bytes([r, k]), bytes([r, k]), 0.5, 0, bytes([0, r]), bytes([k])) for r in range(40) for k in range(2 if r % 3 else 3)]
+    members = spark.createDataFrame(rows, "node binary, comp binary, central float, band int, key binary, rest binary")
+    try:
+        for n in ("1", "23", "61"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            joined = {frozenset((bytes(r["node"]), bytes(p))) for r in near_dedup._paired(members).collect() for p in r["partners"]}
+            for r in range(40):
+                run = {x[0] for x in rows if x[4] == bytes([0, r])}
+                reached, grew = {min(run)}, True
+                while grew:
+                    more = {b for pair in joined if pair & reached for b in pair} - reached
+                    reached, grew = reached | more, bool(more)
+                assert reached == run
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in near_dedup.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
