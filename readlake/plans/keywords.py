@@ -117,7 +117,7 @@ def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.filter("s", lambda x: F.contains(F.lower(x), F.col("word")))
     hits = sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s")).repartition("doc_id", "place")
     note = summaries(hits, ["doc_id", "place"], 1)
-    return kw.join(note.withColumnRenamed("place", "rank"), ["doc_id", "rank"], "left").select("doc_id", "rank", F.initcap("word").alias("name"), F.coalesce("summary", F.lit("")).alias("note"))
+    return kw.join(note.withColumnRenamed("place", "rank"), ["doc_id", "rank"], "left").select("doc_id", "rank", T.capitalised(F.col("word")).alias("name"), F.coalesce("summary", F.lit("")).alias("note"))
 
 
 def theme_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select("*", F.size("slices").alias("count"), F.posexplode("slices").alias("ordinal", "part"))
     middle = F.col("ordinal") == F.floor(F.col("count") / 2)
     cast = F.coalesce("names", F.array(*map(F.lit, NOBODY)))
-    title = F.concat(F.coalesce(F.concat(F.lit("The "), F.initcap("seed")), F.lit("Chapter")), F.lit(" — "), F.element_at(F.array(*map(F.lit, SUBTITLES)), F.col("ordinal") + 1))
+    title = F.concat(F.coalesce(F.concat(F.lit("The "), T.capitalised(F.col("seed"))), F.lit("Chapter")), F.lit(" — "), F.element_at(F.array(*map(F.lit, SUBTITLES)), F.col("ordinal") + 1))
     closing = F.when(F.size("part") > 2, F.element_at("part", -1)).otherwise("")
     quote = F.when(F.size("quotes") > 0, F.get("quotes", F.col("ordinal") % F.size("quotes")))
     speaker = F.when(quote.isNotNull() & F.col("names").isNotNull(), F.get("names", F.col("ordinal") % F.size("names")))
@@ -55,7 +55,7 @@ def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second and later titles of a document that say the same get a roman number."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.initcap("role").alias("title"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.capitalised(F.col("role")).alias("title"))
     n = F.row_number().over(W.partitionBy("conv_id", F.lower(F.trim("title"))).orderBy("turn"))
     base = F.trim(F.regexp_replace("title", " +— +[IVXLC]+$", ""))
     return t.withColumn("n", n).select("conv_id", "turn", F.when(F.col("n") > 1, F.concat(base, F.lit(" — "), T.roman(F.col("n")))).otherwise(F.col("title")).alias("title"))
