@@ -108,7 +108,7 @@ def styled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slides_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides (a conversation's turns) as a heading with their number and title, and lines."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("slide"), F.posexplode(F.filter(F.transform(F.split("text", r"\. |\n"), F.trim), lambda x: x != "")).alias("k", "item"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("slide"), F.posexplode(F.filter(F.transform(F.split("text", r"\. |\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("k", "item"))
     head = c.groupBy("conv_id", "slide").agg(F.min_by("item", "k").alias("title")).select("conv_id", "slide", F.lit(-1).alias("k"), F.concat(F.lit("Slide "), F.col("slide") + 1, F.lit(": "), "title").alias("text"), F.lit(True).alias("heading"))
     return head.unionByName(c.where("k > 0").select("conv_id", "slide", "k", F.col("item").alias("text"), F.lit(False).alias("heading")))
 

@@ -31,7 +31,7 @@ def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = K.chapters(spark, sf_dir).withColumn("key", F.concat_ws("/", "doc_id", "chapter_idx"))
     names = K.name_rows(c.select(F.col("key").alias("doc_id"), "text"), CAST).groupBy(F.col("doc_id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("rank", "name")))["name"].alias("names"))
     words = K.keyword_rows(c.select(F.col("key").alias("doc_id"), "text"), 1).select(F.col("doc_id").alias("key"), F.col("word").alias("seed"))
-    quotes = F.transform(F.regexp_extract_all("text", F.lit(f'[“"]([^”"\\n]{{{LEAST_QUOTE},{LONGEST_QUOTE}}})[”"]'), F.lit(1)), F.trim)
+    quotes = F.transform(F.regexp_extract_all("text", F.lit(f'[“"]([^”"\\n]{{{LEAST_QUOTE},{LONGEST_QUOTE}}})[”"]'), F.lit(1)), lambda q: F.trim(q))  # (a bare trim would take the index as what to trim)
     c = c.select("doc_id", "chapter_idx", "key", "text", quotes.alias("quotes"), T.sentences(F.col("text")).alias("s"))
     scenes = F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(F.length("text") / 2500)))
     c = c.where(F.size("s") > 0).withColumn("scenes", scenes.cast("int")).withColumn("n", F.least(F.size("s"), 12 * F.col("scenes")))
