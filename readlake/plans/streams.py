@@ -16,10 +16,11 @@ from readlake.plans.ledger import ORACLES as BATCH
 from readlake.plans.ledger import REFRESH_HOURS, STALE_DAYS, THROTTLE_SECONDS, TTL_HOURS
 from readlake.sources.shared import discard, fresh_path
 from readlake.sources.tables import jobs, table
-from readlake.streaming.sources import file_stream, played_back, run_to_end
+from readlake.streaming.sources import part_stream, played_back, run_to_end
 from readlake.streaming.timed import CacheAges, JobFates, Throttle
 
 DELAY_SECONDS = 3600  # how late a row may come; later ones are dropped
+SESSION_MICROS = 3_600_000_000  # a pause that ends a burst
 SHARDS = 4  # of a cache's namespace
 
 
@@ -32,7 +33,7 @@ def events_of(spark: SparkSession, sf_dir: str, ahead: int | None = None) -> tup
     """Events as a stream of many micro-batches under a watermark, and the folder that they come from."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     path = played_back(events, "ts", DELAY_SECONDS, "event_id", ahead)
-    return file_stream(spark, path, 1).withWatermark("ts", f"{DELAY_SECONDS} seconds"), path
+    return part_stream(spark, path).withWatermark("ts", f"{DELAY_SECONDS} seconds"), path
 
 
 def to_store(stream: DataFrame, mode: str, into: SortedRuns, shaped: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[dict]:
@@ -86,7 +87,10 @@ def stream_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_stream(events: DataFrame) -> DataFrame:
     last = F.max(F.struct("ts", "event_id", F.least(F.lit(100.0), F.col("value")).alias("progress"))).alias("l")
-    return events.groupBy(F.session_window("ts", "1 hour"), "user_id").agg(last).select("user_id", "l.event_id", "l.progress")
+    # pauses are counted in whole seconds: the burst goes on until an hour from the event's second on; a session takes in what begins at its very end, so it ends a microsecond before
+    left = F.lit(SESSION_MICROS - 1) - F.pmod(F.unix_micros("ts"), F.lit(1_000_000))
+    gap = F.make_interval(secs=(left / 1_000_000).cast("decimal(18,6)"))
+    return events.groupBy(F.session_window("ts", gap), "user_id").agg(last).select("user_id", "l.event_id", "l.progress")
 
 
 def stream_session_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +126,7 @@ def stream_stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that idled too long fail, finished ones are reaped, by timers that need no input."""
     rows = jobs(spark, sf_dir).select("job_id", "user_id", "status", F.col("updated_at").cast("timestamp").alias("ts"))
     path = played_back(rows, "ts", DELAY_SECONDS, "job_id")
-    stream = file_stream(spark, path, 1).withWatermark("ts", f"{DELAY_SECONDS} seconds").select("job_id", "user_id", "status", "ts", F.unix_micros("ts").alias("at"))
+    stream = part_stream(spark, path).withWatermark("ts", f"{DELAY_SECONDS} seconds").select("job_id", "user_id", "status", "ts", F.unix_micros("ts").alias("at"))
     into = store(spark, {"job_id": "BIGINT", "fate": "STRUCT<step: INT, status: STRING, fate: STRING>"}, ["job_id"], {"fate": F.max})
     to_store(job_stream(stream), "append", into, lambda df: df.groupBy("job_id").agg(F.max(F.struct("step", "status", "fate")).alias("fate")))
     return finished(into, path).groupBy("fate.status", "fate.fate").agg(F.count(F.lit(1)).alias("n"))
