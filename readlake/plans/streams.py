@@ -17,9 +17,10 @@ from readlake.plans.ledger import REFRESH_HOURS, STALE_DAYS, THROTTLE_SECONDS, T
 from readlake.sources.shared import discard, fresh_path
 from readlake.sources.tables import jobs, table
 from readlake.streaming.sources import part_stream, played_back, run_to_end
-from readlake.streaming.timed import CacheAges, JobFates, Throttle
+from readlake.streaming.timed import CacheAges, Throttle
 
 DELAY_SECONDS = 3600  # how late a row may come; later ones are dropped
+DAY_MICROS = 86_400_000_000
 SESSION_MICROS = 3_600_000_000  # a pause that ends a burst
 SHARDS = 4  # of a cache's namespace
 
@@ -118,15 +119,25 @@ def stream_cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_stream(rows: DataFrame) -> DataFrame:
-    fates = {"running": ("failed", STALE_DAYS[0]), "queued": ("failed", STALE_DAYS[0]), "done": ("reaped", STALE_DAYS[1])}
-    return rows.groupBy("user_id").transformWithState(JobFates(fates), JobFates.OUTPUT, "Append", "EventTime")
+    """Jobs as kept when they come (step 0), and as failed or reaped (step 1) once the watermark has passed the last of the whole days that their status may idle.
+
+    A job's wait is a session of its own that lasts as long, kept and closed by Spark's own state.
+    """
+    days = F.when(F.col("status").isin("running", "queued"), STALE_DAYS[0]).when(F.col("status") == "done", STALE_DAYS[1])
+    due = (F.floor(F.unix_micros("ts") / DAY_MICROS) + days + 1) * DAY_MICROS
+    gap = F.make_interval(secs=((due - F.unix_micros("ts")) / 1_000_000).cast("decimal(18,6)"))
+    # by an expression of ts too: a filter on other columns alone would take the closing row away before it moves time on
+    known = rows.where(F.when(F.col("ts").isNotNull(), F.col("job_id")).isNotNull())
+    kept = known.select("job_id", F.lit(0).alias("step"), "status", F.lit("kept").alias("fate"))
+    idle = known.groupBy(F.session_window("ts", gap), "job_id").agg(F.max_by("status", "ts").alias("status"))
+    return kept.unionByName(idle.select("job_id", F.lit(1).alias("step"), "status", F.when(F.col("status") == "done", "reaped").otherwise("failed").alias("fate")))
 
 
 def stream_stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that idled too long fail, finished ones are reaped, by timers that need no input."""
-    rows = jobs(spark, sf_dir).select("job_id", "user_id", "status", F.col("updated_at").cast("timestamp").alias("ts"))
+    """Jobs that idled too long fail, finished ones are reaped, by the watermark alone, without input."""
+    rows = jobs(spark, sf_dir).select("job_id", "status", F.col("updated_at").cast("timestamp").alias("ts"))
     path = played_back(rows, "ts", DELAY_SECONDS, "job_id")
-    stream = part_stream(spark, path).withWatermark("ts", f"{DELAY_SECONDS} seconds").select("job_id", "user_id", "status", "ts", F.unix_micros("ts").alias("at"))
+    stream = part_stream(spark, path).withWatermark("ts", f"{DELAY_SECONDS} seconds")
     into = store(spark, {"job_id": "BIGINT", "fate": "STRUCT<step: INT, status: STRING, fate: STRING>"}, ["job_id"], {"fate": F.max})
     to_store(job_stream(stream), "append", into, lambda df: df.groupBy("job_id").agg(F.max(F.struct("step", "status", "fate")).alias("fate")))
     return finished(into, path).groupBy("fate.status", "fate.fate").agg(F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,6 @@ from collections.abc import Iterator
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-DAY_MS = 86_400_000
-
 
 class Throttle(StatefulProcessor):
     """Of a key's rows (at, event_id) lets through those ``limit`` microseconds or more after the last one let through."""
@@ -100,43 +98,3 @@ class CacheAges(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class JobFates(StatefulProcessor):
-    """Tells of a user's jobs (job_id, status, at) that they are kept when they change, and when they idled so long that they fail or are reaped."""
-
-    OUTPUT = "job_id long, step int, status string, fate string"
-
-    def __init__(self, fates: dict[str, tuple[str, int]]):
-        self.fates = fates  # by status the fate, and the whole days that must have passed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.jobs = handle.getMapState("jobs", "job_id long", "status string, due_ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return iter(())
-        out, due = [], []
-        for r in sorted(rows, key=lambda r: (r.at, r.job_id)):
-            fate, days = self.fates[r.status]
-            due.append((r.at // 1000 // DAY_MS + days + 1) * DAY_MS)
-            self.jobs.updateValue((r.job_id,), (r.status, due[-1]))
-            out.append(Row(job_id=r.job_id, step=0, status=r.status, fate="kept"))
-        self.handle.registerTimer(min(due))
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, out, rest = timerValues.getCurrentWatermarkInMs(), [], []
-        for (job_id,), (status, due) in list(self.jobs.iterator()):
-            if due <= now:
-                out.append(Row(job_id=job_id, step=1, status=status, fate=self.fates[status][0]))
-                self.jobs.removeKey((job_id,))
-            else:
-                rest.append(due)
-        if rest:
-            self.handle.registerTimer(min(rest))
-        return iter(out)
-
-    def close(self) -> None:
-        pass
