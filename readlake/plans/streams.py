@@ -17,12 +17,14 @@ from readlake.plans.ledger import REFRESH_HOURS, STALE_DAYS, THROTTLE_SECONDS, T
 from readlake.sources.shared import discard, fresh_path
 from readlake.sources.tables import jobs, table
 from readlake.streaming.sources import part_stream, played_back, run_to_end
-from readlake.streaming.timed import CacheAges, Throttle
+from readlake.streaming.timed import NOBODY, CacheAges, Throttle
 
 DELAY_SECONDS = 3600  # how late a row may come; later ones are dropped
 DAY_MICROS = 86_400_000_000
 SESSION_MICROS = 3_600_000_000  # a pause that ends a burst
-SHARDS = 4  # of a cache's namespace
+SHARDS = 32  # of a cache's namespace
+BUCKETS = 256  # of users
+NO_ID = -(2**63)
 
 
 def store(spark: SparkSession, columns: dict[str, str], keys: list[str], merge: dict[str, Callable]) -> SortedRuns:
@@ -59,12 +61,15 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throttled_stream(events: DataFrame) -> DataFrame:
-    rows = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("user_id").transformWithState(Throttle(THROTTLE_SECONDS * 1_000_000), Throttle.OUTPUT, "Append", "EventTime")
+    bucket = F.coalesce(F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS))), F.lit(NOBODY)).alias("bucket")
+    known = [F.coalesce(c, F.lit(NO_ID)).cast("long").alias(c) for c in ("user_id", "event_id")]  # arrays hold no nulls
+    rows = events.select(bucket, *known, "ts", F.unix_micros("ts").alias("at"))
+    passed = rows.groupBy("bucket").transformWithStateInPandas(Throttle(THROTTLE_SECONDS * 1_000_000), Throttle.OUTPUT, "Append", "EventTime")
+    return passed.select("user_id", F.nullif("event_id", F.lit(NO_ID)).alias("event_id"))
 
 
 def stream_read_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events let through by each user's throttle; the state is the last time that one was, and the rows that wait."""
+    """Events let through by each user's throttle; the state is each user's last time that one was, and the rows that wait."""
     events, path = events_of(spark, sf_dir, ahead=DELAY_SECONDS + 1)
     into = store(spark, {"event_id": "BIGINT", "user_id": "BIGINT"}, ["event_id"], {"user_id": F.max})
     to_store(throttled_stream(events), "append", into)
@@ -103,8 +108,9 @@ def stream_session_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_stream(events: DataFrame) -> DataFrame:
-    rows = events.select("event_type", F.pmod("user_id", F.lit(SHARDS)).cast("int").alias("shard"), "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("event_type", "shard").transformWithState(CacheAges(TTL_HOURS * 3600, REFRESH_HOURS * 3600), CacheAges.OUTPUT, "Update", "EventTime")
+    shard = F.coalesce(F.pmod("user_id", F.lit(SHARDS)).cast("int"), F.lit(NOBODY)).alias("shard")
+    rows = events.select("event_type", shard, "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("event_type", "shard").transformWithStateInPandas(CacheAges(TTL_HOURS * 3600, REFRESH_HOURS * 3600), CacheAges.OUTPUT, "Update", "EventTime")
 
 
 def stream_cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
