@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions import text as T
 from readlake.params import ARTICLES, NEVER_NAMES, SPEECH_VERBS, STOP_WORDS, sql_list
-from readlake.sources.tables import passages, table, with_views
+from readlake.sources.tables import dealt, passages, table, with_views
 
 KEYWORDS, SUMMARY, NAMES, THEMES, VOCABULARY = 12, 5, 6, 4, 7
 
@@ -26,8 +26,8 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
 
 def term_freqs(docs: DataFrame) -> DataFrame:
-    """doc_id, word, tf, first_pos of content words; combined map-side."""
-    rows = token_rows(docs).where(T.is_content_word(F.col("word")))
+    """doc_id, word, tf, first_pos of content words; texts are dealt once and their words counted where they are."""
+    rows = token_rows(dealt(docs, "doc_id")).where(T.is_content_word(F.col("word")))
     return rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
@@ -42,7 +42,7 @@ def keyword_rows(docs: DataFrame, n: int = KEYWORDS) -> DataFrame:
 def sentence_arrays(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, s: the sentences of each text, in order.  Texts are dealt by their keys first, which later steps rely on."""
     keys = keys or ["doc_id"]
-    return docs.repartition(*keys).select(*keys, T.sentences(F.col("text")).alias("s"))
+    return dealt(docs, *keys).select(*keys, T.sentences(F.col("text")).alias("s"))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -74,7 +74,7 @@ def summaries(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document: how many, how many different, and the longest."""
-    return token_rows(documents(spark, sf_dir)).groupBy("doc_id").agg(
+    return token_rows(dealt(documents(spark, sf_dir), "doc_id")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("types"), F.max(F.length("word")).alias("longest")
     )
 
@@ -115,7 +115,7 @@ def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     kw = keyword_rows(docs, THEMES).select("doc_id", "word", "rank")
     held = F.filter("s", lambda x: F.contains(F.lower(x), F.col("word")))
-    hits = sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s")).repartition("doc_id", "place")
+    hits = dealt(sentence_arrays(docs).join(kw, "doc_id").select("doc_id", F.col("rank").alias("place"), held.alias("s")), "doc_id", "place")
     note = summaries(hits, ["doc_id", "place"], 1)
     return kw.join(note.withColumnRenamed("place", "rank"), ["doc_id", "rank"], "left").select("doc_id", "rank", T.capitalised(F.col("word")).alias("name"), F.coalesce("summary", F.lit("")).alias("note"))
 
@@ -145,7 +145,7 @@ STRIP_LEFT, STRIP_RIGHT, NAME = r"^[\"'“”‘’(\[]+", r"[\"'“”’),.!?;
 
 def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     """doc_id, rank, name, note: capitalised words that aren't common ones, by weight (double beside a speech verb)."""
-    base = docs.repartition("doc_id").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
+    base = dealt(docs, "doc_id").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
     # a sentence's words with those beside them; only capitalised ones leave their array
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
     words = base.select("doc_id", F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null").select("doc_id", "idx", F.transform(F.split("sentence", T.SPACES), clean).alias("cs"))

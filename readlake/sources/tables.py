@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SHARE = 2 << 20  # bytes of input files that one task is dealt
 BOOK_SPAN = 1000  # doc_ids that one book of a source spans, so that a book doesn't grow with the corpus
 
 
@@ -20,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys, over so many tasks that one's share doesn't grow with the input; what is grouped or joined by the keys stays in place."""
+    spark = df.sparkSession
+    at, conf, size = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for file in df.inputFiles():
+        path = at(file)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // SHARE)), *keys)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, text: documents by line."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
