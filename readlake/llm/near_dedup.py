@@ -23,6 +23,9 @@
    runs that hold several components go on, with twice as many samples in the key; all members stay, linked
    ones too.  It ends when no run holds two components, at the latest when all samples are in the key; no bucket
    is dropped or capped.  A run that the order's division into tasks cuts meets again at its ends.
+7. What hubs and neighbours left out is found exactly: members of buckets that still hold several components are
+   joined by the rarest shingles of each, so many that texts of SIMILARITY share one at least, and pairs of different
+   components whose shingles from there on can reach it are verified too.  So no pair of a bucket is lost.
 
 Cases: null text is empty; empty texts are one class; equal texts share a class whatever their number;
 rows that repeat a doc_id and text count once in ``stage``; a null doc_id is a class member like others
@@ -44,6 +47,7 @@ from readlake.llm.common import join_groups, materialize, small, table
 
 WORDS = 5
 SIMILARITY = 0.8
+LEAST = SIMILARITY * (1 - 1e-6)  # for bounds from rounded sums
 BANDS, ROWS = 12, 3
 DF_BITS = 19
 RARE = 1e-3  # share of documents below which a shingle's inverse document frequency is 1
@@ -52,6 +56,7 @@ CHUNK = 1 << 14  # frequencies in one row on their way to the sum
 LEVEL = 64  # partial sums added by one task
 RUN = 1 << 14  # members of a run that are looked at together
 GIVEN = 1 << 12  # members with partners in a batch
+LOT = 1 << 10  # holders of a shingle that one key of the join takes on its left side
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -396,9 +401,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
     return pairs.join(held, "node").join(hubs, ["hub", "part"]).select("node", "hub", "a", "b").mapInArrow(run, "node binary, hub binary")
 
 
-def linked(first: DataFrame, sets: DataFrame, idf) -> DataFrame:
+def _rarest(sets: DataFrame, idf, spread) -> DataFrame:
+    """(shingle, node, comp, n, n_left, w, w_left): each node's rarest shingles, one of which two texts of SIMILARITY share.
+
+    Shingles stand in one global order, by their holders; n and w are a node's counts and weights in all, n_left and
+    w_left those from the shingle on.  Texts share no more than what either has left at the first shingle they share.
+    """
+
+    def run(batches):
+        rarity, spreads = idf.value, spread.value
+        for batch in small(batches, 64, 1 << 18):
+            at, columns = [], [[], [], [], [], []]
+            for k, raw in enumerate(batch.column("shingles").to_pylist()):
+                keys, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+                one, two = slots(keys)
+                order = np.lexsort((keys, np.minimum(spreads[0][one], spreads[1][two])))
+                keys, n = keys[order], n[order]
+                w = n * idf_of(keys, rarity).astype(np.float64)
+                n_left, w_left = n[::-1].cumsum()[::-1], w[::-1].cumsum()[::-1]
+                stop = int(((n_left >= LEAST * n_left[:1]) | (w_left >= LEAST * w_left[:1])).sum())
+                at.append(np.full(stop, k))
+                for column, x in zip(columns, (keys.view(np.int32), np.broadcast_to(n_left[:1], len(n)), n_left, np.broadcast_to(w_left[:1], len(n)), w_left), strict=True):
+                    column.append(x[:stop])
+            rows = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(rows), batch.column("comp").take(rows), *(pa.array(np.concatenate(c), kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))],
+                names=["node", "comp", "shingle", "n", "n_left", "w", "w_left"],
+            )
+
+    return sets.select("node", "comp", "shingles").mapInArrow(run, "node binary, comp binary, shingle int, n long, n_left long, w double, w_left double")
+
+
+def _left_out(met: DataFrame, first: DataFrame, labels: DataFrame | None, sets: DataFrame, idf, spread) -> DataFrame:
+    """(node, hub, part): pairs of different components among members of mixed buckets that can reach SIMILARITY.
+
+    met: node, band of members of buckets.  A shingle of many holders is dealt over keys of LOT on one side.
+    """
+    members = _members(first, labels, met.select("node", "band").distinct(), ROWS).select("node", "comp", "key")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    asked = members.join(mixed, "key", "left_semi").select("node", "comp").distinct()
+    rare = materialize(_rarest(sets.join(asked, "node"), idf, spread), "near-rare")
+    shared = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = rare.join(shared.select("shingle", F.ceil(F.col("held") / LOT).alias("lots")), "shingle")
+    one = rows.withColumn("lot", F.pmod(F.xxhash64("node"), "lots")).drop("lots").alias("a")
+    two = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("lots").alias("b")
+    share = LEAST / (1 + LEAST)
+    can = f"least(a.n_left, b.n_left) >= {share} * (a.n + b.n) or least(a.w_left, b.w_left) >= {share} * (a.w + b.w)"
+    pairs = one.join(two, ["shingle", "lot"]).where(f"a.node > b.node and a.comp <> b.comp and ({can})")
+    pairs = pairs.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")).distinct()
+    return pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LEVEL)))
+
+
+def linked(first: DataFrame, sets: DataFrame, idf, spread) -> DataFrame:
     """(node, root) for each node with a verified link to another.  first: rid, node, samples, central; sets: rid, node, shingles."""
-    labels, active, found, rows = None, None, None, ROWS
+    labels, active, found, rows, met = None, None, None, ROWS, None
     while True:
         now = materialize(_paired(_members(first, labels, active, rows)), "near-active")
         if now.isEmpty():
@@ -406,6 +462,7 @@ def linked(first: DataFrame, sets: DataFrame, idf) -> DataFrame:
         if active is None:  # the shingles of members of these buckets, once each
             wanted = now.select("node").distinct().join(first.select("node", "rid"), "node").select("rid")
             sets = materialize(sets.select("rid", "node", "shingles").join(wanted, "rid", "left_semi").drop("rid"), "near-sets")
+            met = now
         each = now.select("node", F.explode("partners").alias("hub"), "part")
         once = each.groupBy(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).agg(F.min(F.struct("part", "hub")).alias("x"))
         pairs = once.select(F.when(F.col("x.hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "x.hub", "x.part")
@@ -416,6 +473,11 @@ def linked(first: DataFrame, sets: DataFrame, idf) -> DataFrame:
         if rows == BANDS * ROWS:
             break
         active, rows = now, min(2 * rows, BANDS * ROWS)
+    if met is not None:
+        good = materialize(_verified(materialize(_left_out(met, first, labels, sets, idf, spread), "near-pairs"), sets, idf), "near-links")
+        if not good.isEmpty():
+            found = good if found is None else found.unionByName(good)
+            labels = components(found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
     return labels if labels is not None else first.sparkSession.createDataFrame([], "node binary, root binary")
 
 
@@ -463,7 +525,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     # one row for each set of equal documents goes on
     first = materialize(equal, "near-first")
-    roots = linked(first.select("rid", "node", "samples", "central"), sets, idf)
+    roots = linked(first.select("rid", "node", "samples", "central"), sets, idf, spread)
     named = first.drop("samples", "central", "rid").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = F.max(F.struct("last.doc_id", "node", "last.digest")).alias("keep")
     sizes = materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), keep), "near-sizes")
