@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions import text as T
 from readlake.params import ARTICLES, NEVER_NAMES, SPEECH_VERBS, STOP_WORDS, sql_list
+from readlake.sources.shared import materialize
 from readlake.sources.tables import dealt, passages, table, with_views
 
 KEYWORDS, SUMMARY, NAMES, THEMES, VOCABULARY = 12, 5, 6, 4, 7
@@ -17,6 +18,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def with_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its sentences ``s``, worked out once for queries of several parts."""
+    return materialize(dealt(docs, "doc_id").select("doc_id", "text", T.sentences(F.col("text")).alias("s")), "sentences")
+
+
+def _sentences_of(docs: DataFrame) -> Column:
+    return F.col("s") if "s" in docs.columns else T.sentences(F.col("text"))
+
+
 def token_rows(docs: DataFrame) -> DataFrame:
     """doc_id, pos, word.
 
@@ -27,7 +37,7 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
 def term_freqs(docs: DataFrame) -> DataFrame:
     """doc_id, word, tf, first_pos of content words; texts are dealt once and their words counted where they are."""
-    rows = token_rows(dealt(docs, "doc_id")).where(T.is_content_word(F.col("word")))
+    rows = token_rows(dealt(docs.select("doc_id", "text"), "doc_id")).where(T.is_content_word(F.col("word")))
     return rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
@@ -42,7 +52,8 @@ def keyword_rows(docs: DataFrame, n: int = KEYWORDS) -> DataFrame:
 def sentence_arrays(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, s: the sentences of each text, in order.  Texts are dealt by their keys first, which later steps rely on."""
     keys = keys or ["doc_id"]
-    return dealt(docs, *keys).select(*keys, T.sentences(F.col("text")).alias("s"))
+    held = docs.select(*keys, "s" if "s" in docs.columns else "text")
+    return dealt(held, *keys).select(*keys, _sentences_of(held).alias("s"))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -61,12 +72,10 @@ def summaries(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
     ranked and looked up, where they are.
     """
     rows = texts.select(*keys, F.size("s").alias("n"), F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null")
-    # words that don't count stand as null, so that every sentence has a row
-    words = rows.select(*keys, "n", "idx", F.explode_outer(T.tokens(F.col("sentence"))).alias("word"))
-    words = words.withColumn("word", F.when(T.is_content_word(F.col("word")), F.col("word")))
-    per = words.groupBy(*keys, "n", "idx", "word").agg(F.count("word").alias("k"))
-    per = per.withColumn("tf", F.sum("k").over(W.partitionBy(*keys, "word")))
-    dense = per.groupBy(*keys, "n", "idx").agg(F.sum(F.col("k") * F.col("tf")).alias("density"), F.sum("k").alias("words"))
+    # a sentence without words that count has a row with none
+    words = rows.select(*keys, "n", "idx", F.explode_outer(F.filter(T.tokens(F.col("sentence")), T.is_content_word)).alias("word"))
+    words = words.withColumn("tf", F.count("word").over(W.partitionBy(*keys, "word")))
+    dense = words.groupBy(*keys, "n", "idx").agg(F.sum("tf").alias("density"), F.count("word").alias("words"))
     score = F.round(F.col("density") / F.pow(F.col("words") + 3.0, F.lit(0.62)) + position_bonus(F.col("idx"), F.col("n")), 9)
     best = ranked(dense.withColumn("score", score), keys, [F.desc("score"), "idx"], n).groupBy(*keys).agg(F.sort_array(F.collect_list("idx")).alias("at"))
     return best.join(texts, keys).select(*keys, F.array_join(F.transform("at", lambda i: F.get("s", i)), " ").alias("summary"))
@@ -140,18 +149,21 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_rows(documents(spark, sf_dir))
 
 
+CAPITAL = r"^[\"'“”‘’(\[]*[A-Z]"  # what a word begins with whose clean form may be a name
 STRIP_LEFT, STRIP_RIGHT, NAME = r"^[\"'“”‘’(\[]+", r"[\"'“”’),.!?;:]+$", r"^[A-Z][\p{L}'’-]{1,20}$"
 
 
 def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     """doc_id, rank, name, note: capitalised words that aren't common ones, by weight (double beside a speech verb)."""
-    base = dealt(docs, "doc_id").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
-    # a sentence's words with those beside them; only capitalised ones leave their array
+    base = dealt(docs, "doc_id").select("doc_id", "text", _sentences_of(docs).alias("s"))
+    # only capitalised words of a sentence, and those beside them, are cleaned and leave their array
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
-    words = base.select("doc_id", F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null").select("doc_id", "idx", F.transform(F.split("sentence", T.SPACES), clean).alias("cs"))
-    beside = F.transform("cs", lambda c, k: F.struct(k.alias("k"), c.alias("clean"), F.lower(F.get("cs", k - 1)).alias("prev"), F.lower(F.get("cs", k + 1)).alias("next")))
+    words = base.select("doc_id", F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null").select("doc_id", "idx", F.split("sentence", T.SPACES).alias("ws"))
+    near = lambda k: F.lower(clean(F.get("ws", k)))
+    beside = F.transform("ws", lambda c, k: F.when(c.rlike(CAPITAL), F.struct(k.alias("k"), clean(c).alias("clean"), near(k - 1).alias("prev"), near(k + 1).alias("next"))))
     caps = words.select("doc_id", "idx", F.explode_outer(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).where("x is not null").select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
     every = base.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("lower")).where("lower is not null").groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
+    every = every.where("every > 1")  # what occurs once doesn't matter below, and isn't shuffled
     both = caps.join(every, ["doc_id", "lower"], "left").withColumn("caps", F.count(F.lit(1)).over(W.partitionBy("doc_id", "lower")))
     verb = F.coalesce(F.col("prev").isin(*SPEECH_VERBS), F.lit(False)) | F.coalesce(F.col("next").isin(*SPEECH_VERBS), F.lit(False))
     kept = both.where(~((F.coalesce("every", F.lit(0)) - F.col("caps") >= 1) & (F.col("caps") <= 1)))
@@ -179,7 +191,7 @@ def _listed(df: DataFrame, col: str) -> DataFrame:
 
 def study_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, keywords, words and names of each document in one row."""
-    docs = documents(spark, sf_dir)
+    docs = with_sentences(documents(spark, sf_dir))
     out = docs.select("doc_id").join(summaries(sentence_arrays(docs), ["doc_id"], 3), "doc_id", "left")
     for part, col in ((keyword_rows(docs, 6), "word"), (vocabulary_rows(docs), "term"), (name_rows(docs), "name")):
         out = out.join(_listed(part, col), "doc_id", "left")

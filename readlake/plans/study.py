@@ -95,7 +95,7 @@ def cloze_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, first theme, number of names and mood of each document."""
-    docs = K.documents(spark, sf_dir)
+    docs = K.with_sentences(K.documents(spark, sf_dir))
     s = K.summaries(K.sentence_arrays(docs), ["doc_id"], 4)
     top = K.keyword_rows(docs, 1).select("doc_id", F.col("word").alias("theme"))
     names = K.name_rows(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("names"))
