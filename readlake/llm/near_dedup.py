@@ -20,7 +20,7 @@
    members share, which would take the group apart).  A hub's shingles are dealt out once for each part of its
    run, so that no hub is a hot key.
 6. Links are contracted to connected components by repeated minimum labels over the links alone.  Members of
-   runs that hold several components go on, with twice as many samples in the key; all members stay, linked
+   runs that hold several components go on, with FINER times as many samples in the key; all members stay, linked
    ones too.  It ends when no run holds two components, at the latest when all samples are in the key; no bucket
    is dropped or capped.  A run that the order's division into tasks cuts meets again at its ends.
 7. What hubs and neighbours left out is found exactly: members of buckets that still hold several components are
@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.llm.common import join_groups, materialize, small, table
@@ -56,6 +57,7 @@ CHUNK = 1 << 14  # frequencies in one row on their way to the sum
 LEVEL = 64  # partial sums added by one task
 RUN = 1 << 14  # members of a run that are looked at together
 GIVEN = 1 << 12  # members with partners in a batch
+FINER = 4  # times as many samples in the key of a further round
 LOT = 1 << 10  # holders of a shingle that one key of the join takes on its left side
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
@@ -200,7 +202,7 @@ def document_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
         if tasks == 1:
             break
     out, n = np.zeros(size, np.int64), 0
-    for r in parts.toLocalIterator():  # 2 << DF_BITS counts in all, whatever the input
+    for r in parts.collect():  # 2 << DF_BITS counts in all, whatever the input; a local iterator runs a job a partition
         at = r["chunk"] * CHUNK
         out[at : at + CHUNK] += np.frombuffer(r["counts"], np.int64)
         n += r["n"]
@@ -380,8 +382,13 @@ def _paired(members: DataFrame) -> DataFrame:
     found = materialize(members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scanned, schema), "near-runs")
     own = [c.split()[0] for c in _PAIRED.split(", ")]
     ends = found.where("key is not null").select("node", "comp", "central", "band", "key")
-    seams = ends.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_scanned, schema)
-    return found.where("key is null").select(*own).unionByName(seams.where("key is null").select(*own))
+    each, me = W.partitionBy("key"), F.struct("node", "comp")
+    last = lambda rows: F.max_by(me, F.when(rows, F.struct("central", "node"))).over(each)
+    hubs = ends.withColumn("one", last(F.lit(True))).withColumn("two", last(F.col("comp") != F.col("one.comp"))).withColumn("before", F.lag(me).over(each.orderBy("node")))
+    near = F.filter(F.array("one", "two", "before"), lambda x: x["comp"] != F.col("comp"))
+    partners = F.array_distinct(F.transform(near, lambda x: x["node"])).alias("partners")
+    seams = hubs.where("two is not null").select("node", "band", partners, F.xxhash64("key").alias("part"))
+    return found.where("key is null").select(*own).unionByName(seams)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
@@ -454,7 +461,7 @@ def _left_out(met: DataFrame, first: DataFrame, labels: DataFrame | None, sets:
 
 def linked(first: DataFrame, sets: DataFrame, idf, spread) -> DataFrame:
     """(node, root) for each node with a verified link to another.  first: rid, node, samples, central; sets: rid, node, shingles."""
-    labels, active, found, rows, met = None, None, None, ROWS, None
+    labels, active, rows, met = None, None, ROWS, None
     while True:
         now = materialize(_paired(_members(first, labels, active, rows)), "near-active")
         if now.isEmpty():
@@ -468,19 +475,29 @@ def linked(first: DataFrame, sets: DataFrame, idf, spread) -> DataFrame:
         pairs = once.select(F.when(F.col("x.hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "x.hub", "x.part")
         good = materialize(_verified(materialize(pairs, "near-pairs"), sets, idf), "near-links")
         if not good.isEmpty():
-            found = good if found is None else found.unionByName(good)
-            labels = components(found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+            labels = joined(labels, good)
         if rows == BANDS * ROWS:
             break
-        active, rows = now, min(2 * rows, BANDS * ROWS)
+        active, rows = now, min(FINER * rows, BANDS * ROWS)
     if met is not None:
         good = materialize(_verified(materialize(_left_out(met, first, labels, sets, idf, spread), "near-pairs"), sets, idf), "near-links")
         if not good.isEmpty():
-            found = good if found is None else found.unionByName(good)
-            labels = components(found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+            labels = joined(labels, good)
     return labels if labels is not None else first.sparkSession.createDataFrame([], "node binary, root binary")
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) with the links (node, hub) of a round: only their components' roots are contracted further."""
+    edges = links.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    if labels is None:
+        return components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    step = components(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moved = labels.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(moved.unionByName(step.join(labels, "node", "left_anti")), "cc-labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is its component's least node.
 
