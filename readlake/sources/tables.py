@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARE = 2 << 20  # bytes of input files that one task is dealt
+SHARE = 2 << 20  # bytes of the input's files, or of the texts in them, that one task is dealt
+_BYTES: dict[tuple, int] = {}  # by files, their lengths and times
 BOOK_SPAN = 1000  # doc_ids that one book of a source spans, so that a book doesn't grow with the corpus
 
 
@@ -21,14 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads or, if that is more, of all strings in them: a file may hold a text once for many rows."""
+    spark = df.sparkSession
+    at, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(unquote(file) for file in df.inputFiles())
+    found = [(path := at(file)).getFileSystem(conf).getFileStatus(path) for file in files]
+    key = tuple((file, status.getLen(), status.getModificationTime()) for file, status in zip(files, found, strict=True))
+    if files and key not in _BYTES:
+        rows = spark.read.parquet(*files)
+        texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")).cast("long"), F.lit(0)) for c, kind in rows.dtypes if kind == "string"]
+        _BYTES[key] = max(sum(size for _, size, _ in key), rows.select(F.sum(sum(texts, F.lit(0)))).first()[0] or 0)
+    return _BYTES.get(key, 0)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` by its keys, over so many tasks that one's share doesn't grow with the input; what is grouped or joined by the keys stays in place."""
-    spark = df.sparkSession
-    at, conf, size = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for file in df.inputFiles():
-        path = at(file)
-        size += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // SHARE)), *keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // SHARE)), *keys)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
