@@ -16,9 +16,24 @@ __all__ = ["HOT_SHARE", "ascii_lower", "discard", "fresh_path", "join_groups", "
 HOT_SHARE = 0.001
 
 
+#: Bytes of batches after which a Python worker returns what it has freed.
+RETURNED = 8 << 20
+
+
+def release() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for later tasks, and what it held at most would stay with it."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # trims the C library's heap, in which Python and tokenizers allocate
+
+
 def small(batches, rows: int = 256, size: int = 4 << 20):
-    """Arrow batches in slices of so many rows and about so many bytes of text, to bound what a task holds at a time."""
+    """Arrow batches in slices of so many rows and about so many bytes of text, to bound what a task holds at a time.
+
+    What earlier slices took is returned to the system after each RETURNED bytes and at the task's end.
+    """
+    seen = whole = 0
     for batch in batches:
+        seen += batch.nbytes
         n = batch.num_rows
         weight = sum(
             (pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)),
@@ -31,6 +46,12 @@ def small(batches, rows: int = 256, size: int = 4 << 20):
                 stop = at + max(1, int((weight[at:stop].cumsum() <= size).sum()))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch, weight
+        if seen >= RETURNED:
+            release()
+            whole, seen = whole + seen, 0
+    if whole or seen >= RETURNED >> 3:
+        release()
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

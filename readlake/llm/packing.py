@@ -43,6 +43,7 @@ END_ID = 1
 CACHE = 64 << 20  # bytes that a worker's words and their ids may take
 OVERHEAD = 200  # bytes of an entry beside its word and ids
 GROUP = 512  # words that are encoded as one text
+LOT = 1 << 14  # distinct words that are looked at together
 LONG_WORD = 64  # bytes; longer ones aren't remembered
 MOST = 6  # documents of a pattern
 DRAWS = 12_000  # candidate patterns of each number of documents that a round draws; rounds draw anew
@@ -154,7 +155,9 @@ class WordEncoder:
         """The ids of each text.  Words are split, numbered and put together again by Arrow; only distinct ones are looked at."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         numbered = words.flatten().dictionary_encode()
-        ids = pa.array(self.learn(numbered.dictionary.to_pylist()), pa.large_binary()).take(numbered.indices)
+        distinct = numbered.dictionary
+        lots = range(0, max(1, len(distinct)), LOT)
+        ids = pa.concat_arrays([pa.array(self.learn(distinct.slice(k, LOT).to_pylist()), pa.large_binary()) for k in lots]).take(numbered.indices)
         if not len(ids):
             return [memoryview(b"")] * len(texts)
         edges = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :]
