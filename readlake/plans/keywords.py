@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from readlake.functions import text as T
 from readlake.params import ARTICLES, NEVER_NAMES, SPEECH_VERBS, STOP_WORDS, sql_list
 from readlake.sources.shared import materialize
-from readlake.sources.tables import dealt, passages, table, with_views
+from readlake.sources.tables import dealt, passages_of, table, with_views
 
 KEYWORDS, SUMMARY, NAMES, THEMES, VOCABULARY = 12, 5, 6, 4, 7
 
@@ -106,8 +106,12 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters_of(documents(spark, sf_dir))
+
+
+def chapters_of(docs: DataFrame) -> DataFrame:
     """doc_id, chapter_idx, text of derived passages."""
-    p = passages(spark, sf_dir).groupBy("doc_id", "chapter_idx").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "text"))).alias("ps"))
+    p = passages_of(docs).groupBy("doc_id", "chapter_idx").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "text"))).alias("ps"))
     return p.select("doc_id", "chapter_idx", F.array_join("ps.text", "\n\n").alias("text"))
 
 
@@ -153,21 +157,33 @@ CAPITAL = r"^[\"'“”‘’(\[]*[A-Z]"  # what a word begins with whose clean
 STRIP_LEFT, STRIP_RIGHT, NAME = r"^[\"'“”‘’(\[]+", r"[\"'“”’),.!?;:]+$", r"^[A-Z][\p{L}'’-]{1,20}$"
 
 
+def capital_words(ws: Column) -> Column:
+    """k, clean, prev, next of the words of a sentence that may be names; only these, and those beside them, are cleaned."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
+    near = lambda k: F.lower(clean(F.get(ws, k)))
+    beside = F.transform(ws, lambda c, k: F.when(c.rlike(CAPITAL), F.struct(k.alias("k"), clean(c).alias("clean"), near(k - 1).alias("prev"), near(k + 1).alias("next"))))
+    return F.filter(beside, lambda x: x["clean"].rlike(NAME))
+
+
+def beside_verb(prev: Column, following: Column) -> Column:
+    return F.coalesce(prev.isin(*SPEECH_VERBS), F.lit(False)) | F.coalesce(following.isin(*SPEECH_VERBS), F.lit(False))
+
+
+def may_be_name(clean: Column, prev: Column) -> Column:
+    return ~clean.isin(*NEVER_NAMES) & ~F.coalesce(prev.isin(*ARTICLES), F.lit(False))
+
+
 def name_rows(docs: DataFrame, n: int = NAMES) -> DataFrame:
     """doc_id, rank, name, note: capitalised words that aren't common ones, by weight (double beside a speech verb)."""
     base = dealt(docs, "doc_id").select("doc_id", "text", _sentences_of(docs).alias("s"))
-    # only capitalised words of a sentence, and those beside them, are cleaned and leave their array
-    clean = lambda x: F.regexp_replace(F.regexp_replace(x, STRIP_LEFT, ""), STRIP_RIGHT, "")
     words = base.select("doc_id", F.posexplode_outer("s").alias("idx", "sentence")).where("idx is not null").select("doc_id", "idx", F.split("sentence", T.SPACES).alias("ws"))
-    near = lambda k: F.lower(clean(F.get("ws", k)))
-    beside = F.transform("ws", lambda c, k: F.when(c.rlike(CAPITAL), F.struct(k.alias("k"), clean(c).alias("clean"), near(k - 1).alias("prev"), near(k + 1).alias("next"))))
-    caps = words.select("doc_id", "idx", F.explode_outer(F.filter(beside, lambda x: x["clean"].rlike(NAME))).alias("x")).where("x is not null").select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
+    caps = words.select("doc_id", "idx", F.explode_outer(capital_words(F.col("ws"))).alias("x")).where("x is not null").select("doc_id", F.lower("x.clean").alias("lower"), "idx", "x.k", "x.clean", "x.prev", "x.next")
     every = base.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("lower")).where("lower is not null").groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("every"))
     every = every.where("every > 1")  # what occurs once doesn't matter below, and isn't shuffled
     both = caps.join(every, ["doc_id", "lower"], "left").withColumn("caps", F.count(F.lit(1)).over(W.partitionBy("doc_id", "lower")))
-    verb = F.coalesce(F.col("prev").isin(*SPEECH_VERBS), F.lit(False)) | F.coalesce(F.col("next").isin(*SPEECH_VERBS), F.lit(False))
+    verb = beside_verb(F.col("prev"), F.col("next"))
     kept = both.where(~((F.coalesce("every", F.lit(0)) - F.col("caps") >= 1) & (F.col("caps") <= 1)))
-    kept = kept.where(~F.col("clean").isin(*NEVER_NAMES) & ~F.coalesce(F.col("prev").isin(*ARTICLES), F.lit(False)))
+    kept = kept.where(may_be_name(F.col("clean"), F.col("prev")))
     totals = kept.groupBy("doc_id", F.col("clean").alias("name")).agg(F.sum(F.when(verb, 2).otherwise(1)).alias("weight"), F.min(F.struct("idx", "k")).alias("first"))
     best = ranked(totals.where("weight >= 2"), ["doc_id"], [F.desc("weight"), "first.idx", "first.k"], n)
     return best.join(base.select("doc_id", "s"), "doc_id").select("doc_id", "rank", "name", "weight", F.get("s", F.col("first.idx")).alias("note"))

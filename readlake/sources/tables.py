@@ -42,9 +42,13 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // SHARE)), *keys)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, text: documents by line."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(table(spark, sf_dir, "documents"))
 
 
 def words(col: str) -> F.Column:
@@ -117,8 +121,12 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_of(table(spark, sf_dir, "documents"))
+
+
+def passages_of(docs: DataFrame) -> DataFrame:
     """doc_id, chapter_idx, local_idx, chunk_idx, text: a document's lines with a word, five to a chapter."""
-    n = lines(spark, sf_dir).where(F.trim("text") != "")
+    n = lines_of(docs).where(F.trim("text") != "")
     at = (F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1).alias("chunk_idx")
     return n.select("doc_id", at, "text").select("doc_id", F.floor(F.col("chunk_idx") / 5).cast("int").alias("chapter_idx"), (F.col("chunk_idx") % 5).alias("local_idx"), "chunk_idx", "text")
 
