@@ -12,7 +12,6 @@ from readlake.functions import text as T
 from readlake.params import ROMAN, STOP_WORDS, sql_list
 from readlake.plans import keywords as K
 from readlake.plans import scalars
-from readlake.sources.shared import materialize
 from readlake.sources.tables import dealt, table, with_views
 
 QUIZ = 6
@@ -23,19 +22,22 @@ CAST, LEAST_QUOTE, LONGEST_QUOTE = 4, 6, 180  # names of a scene; characters of
 NOBODY = ("A reader", "A room")  # who plays where a chapter names nobody
 
 
-def chapter_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, doc_id, chapter_idx and text of each chapter with its scenes' sentences, quotes, moods and capitalised words, worked out once.
+CHAPTER = ["doc_id", "chapter_idx"]
 
-    ``whole`` and ``own`` are the moods of the chapter and of its middle scene. Documents without an id are in no row of the SQL.
+
+def chapter_scenes(c: DataFrame) -> DataFrame:
+    """doc_id, chapter_idx, scene, name: what a chapter's scenes say in one row of it, and in others what may name somebody, by weight.
+
+    Sentences are cut once: the capitalised words are counted as rows of their own, the first of which takes the scenes along.
+    A name counts double beside a speech verb, and has to be met twice or to speak; ``once`` is a word capitalised but once.
     """
-    c = K.chapters_of(dealt(K.documents(spark, sf_dir).where("doc_id is not null"), "doc_id"))
     quotes = F.transform(F.regexp_extract_all("text", F.lit(f'[“"]([^”"\\n]{{{LEAST_QUOTE},{LONGEST_QUOTE}}})[”"]'), F.lit(1)), lambda q: F.trim(q))  # (a bare trim would take the index as what to trim)
     scenes = F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(F.length("text") / 2500))).cast("int")
-    c = c.select("*", quotes.alias("quotes"), scenes.alias("scenes"), T.sentences(F.col("text")).alias("s"), scalars.cue_hits(F.lower("text")).alias("hits"))
+    c = c.select(*CHAPTER, quotes.alias("quotes"), scenes.alias("scenes"), T.sentences(F.col("text")).alias("s"), scalars.cue_hits(F.lower("text")).alias("hits"))
     c = c.withColumn("n", F.least(F.size("s"), 12 * F.col("scenes")))
     c = c.withColumn("size", F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("scenes")).cast("int")))
     slices = F.filter(F.expr("transform(sequence(0, scenes - 1), i -> slice(s, i * size + 1, least(size, greatest(0, n - i * size))))"), lambda p: F.size(p) > 0)
-    word = lambda i, x: F.struct(i.alias("idx"), x["k"].alias("k"), x["clean"].alias("clean"), K.beside_verb(x["prev"], x["next"]).alias("verb"), K.may_be_name(x["clean"], x["prev"]).alias("kept"))
+    word = lambda i, x: F.struct(i.alias("idx"), x["k"].alias("k"), x["clean"].alias("clean"), F.when(K.may_be_name(x["clean"], x["prev"]), F.when(K.beside_verb(x["prev"], x["next"]), 2).otherwise(1)).alias("weight"))
     caps = F.transform("s", lambda sentence, i: F.get(F.transform(F.array(F.split(sentence, T.SPACES)), lambda ws: F.transform(K.capital_words(ws), lambda x: word(i, x))), F.lit(0)))
     c = c.withColumn("slices", slices).withColumn("caps", F.flatten(caps))
     middle = F.get("slices", F.floor(F.size("slices") / 2).cast("int"))
@@ -43,58 +45,51 @@ def chapter_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, own = (F.concat_ws(" / ", *scalars.mood_of(F.col(hits))) for hits in ("hits", "middle"))
     closing = lambda p: F.when(F.size(p) > 2, F.element_at(p, -1)).otherwise("")
     parts = F.transform("slices", lambda p: F.struct(F.size(p).alias("sentences"), F.element_at(p, 1).alias("opening"), closing(p).alias("closing")))
-    c = c.select(F.monotonically_increasing_id().alias("id"), "doc_id", "chapter_idx", "text", "quotes", whole.alias("whole"), own.alias("own"), parts.alias("parts"), "caps")
-    return materialize(c, "scenes")
+    c = c.select(*CHAPTER, F.struct("quotes", whole.alias("whole"), own.alias("own"), parts.alias("parts")).alias("scene"), "caps")
+    c = c.select(*CHAPTER, "scene", F.posexplode_outer("caps").alias("pos", "x"))
+    at = F.when(F.col("x.weight").isNotNull(), F.shiftleft(F.col("x.idx").cast("long"), 32) + F.col("x.k"))
+    c = c.select(*CHAPTER, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("scene")).alias("scene"), F.lower("x.clean").alias("lower"), F.col("x.clean").alias("name"), "x.weight", at.alias("at"))
+    c = c.groupBy(*CHAPTER, "lower", "name").agg(F.first("scene", True).alias("scene"), F.count("name").alias("n"), F.sum("weight").alias("weight"), F.min("at").alias("at"))
+    c = c.withColumn("once", F.sum("n").over(W.partitionBy(*CHAPTER, "lower")) == 1).where("weight >= 2 or scene is not null")
+    return c.select(*CHAPTER, "scene", F.when(F.col("weight") >= 2, F.struct(-F.col("weight"), "at", "name", "once")).alias("name"))
 
 
 def chapter_words(c: DataFrame) -> DataFrame:
-    """id, seed, common: a chapter's first keyword, and capitalised words that it has in another form too and capitalised but once.
+    """doc_id, chapter_idx, first, word, tf, pos: the words that a chapter says more than once, and its first that counts.
 
-    Texts are dealt once and all of a chapter's words are counted in one go: its tokens, its capitalised words, and of these the ones
-    that could be names by one mention. A word that is said once is the keyword only if it is the first of all.
+    A word that is said once is the keyword only if it is the first of all, so that few words are left to choose from.
     """
-    lowers = lambda caps: F.transform(caps, lambda x: F.lower(x["clean"]))
-    c = c.select("id", "text", lowers("caps").alias("caps"), lowers(F.filter("caps", lambda x: x["verb"] & x["kept"])).alias("asked"))
-    c = dealt(c, "id").select("id", "caps", "asked", T.tokens(F.col("text")).alias("t"))
+    c = c.select(*CHAPTER, T.tokens(F.col("text")).alias("t"))
     first = F.coalesce(*[F.get(F.filter(t, T.is_content_word), F.lit(0)) for t in (F.slice("t", 1, 32), F.col("t"))])
-    c = c.select("id", first.alias("first"), F.size("t").alias("n"), F.size("caps").alias("m"), F.concat("t", "caps", "asked").alias("all"))
-    c = c.select("id", "first", "n", "m", F.posexplode_outer("all").alias("pos", "word"))  # (beside a generator all else is worked out for each of its rows)
-    pos, n, m = (F.col(x) for x in ("pos", "n", "m"))
-    c = c.groupBy("id", "first", "word").agg(
-        F.count_if(pos < n).alias("every"), F.count_if((pos >= n) & (pos < n + m)).alias("caps"), F.max(pos >= n + m).alias("asked"), F.min("pos").alias("pos")
-    )
-    often = (F.col("every") > 1) & T.is_content_word(F.col("word"))
-    common = F.col("asked") & (F.col("every") - F.col("caps") >= 1) & (F.col("caps") <= 1)
-    held = c.select("id", "first", F.when(often, F.col("word")).alias("often"), "every", "pos", F.when(common, F.col("word")).alias("common"))
-    best = F.max_by("often", F.when(F.col("often").isNotNull(), F.struct("every", -F.col("pos"))))
-    return held.groupBy("id").agg(F.coalesce(best, F.first("first")).alias("seed"), F.collect_list("common").alias("common"))
-
-
-def chapter_names(c: DataFrame) -> DataFrame:
-    """id, names: what may name somebody in a chapter (double beside a speech verb), by weight, for those who are mentioned twice or speak."""
-    caps = dealt(c.select("id", F.filter("caps", lambda x: x["kept"]).alias("caps")), "id").select("id", F.explode_outer("caps").alias("x")).where("x is not null")
-    caps = caps.groupBy("id", F.col("x.clean").alias("name")).agg(F.sum(F.when(F.col("x.verb"), 2).otherwise(1)).alias("weight"), F.min(F.shiftleft(F.col("x.idx").cast("long"), 32) + F.col("x.k")).alias("first"))
-    return caps.where("weight >= 2").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(-F.col("weight"), "first", "name")))["name"].alias("names"))
+    c = c.select(*CHAPTER, first.alias("first"), "t").select(*CHAPTER, "first", F.posexplode_outer("t").alias("pos", "word"))  # (beside a generator all else is worked out for each of its rows)
+    return c.groupBy(*CHAPTER, "first", "word").agg(F.count("word").alias("tf"), F.min("pos").alias("pos")).where("tf > 1 or word = first")
 
 
 def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chapter's first sentences in two to five equal slices, with title, mood, cast, a quote, opening and closing sentence.
 
     The mood and the cast are the chapter's, but for the middle scene: it has its own mood, and the first two names.
-    Quotes go round; a chapter with none has none.
+    Quotes go round; a chapter with none has none. Texts are dealt once by their documents, and all else is worked out
+    where they are; documents without an id are in no row of the SQL.
     """
-    c = chapter_scenes(spark, sf_dir)
-    known = chapter_words(c).join(chapter_names(c), "id", "left")
-    known = known.select("id", "seed", F.slice(F.filter("names", lambda x: ~F.array_contains("common", F.lower(x))), 1, CAST).alias("names"))
-    scenes = dealt(c.select("id", "doc_id", "chapter_idx", "quotes", "whole", "own", "parts"), "id").join(known, "id", "left")
-    rows = scenes.select("*", F.size("parts").alias("count"), F.posexplode_outer("parts").alias("ordinal", "part")).where("ordinal is not null")
+    c = K.chapters_of(dealt(K.documents(spark, sf_dir).where("doc_id is not null"), "doc_id"))
+    # both are held by documents, and so is their union: a join by chapters would shuffle them again
+    c = chapter_scenes(c).unionByName(chapter_words(c), allowMissingColumns=True)
+    often = F.when(F.col("tf") > 1, F.col("word"))
+    best = F.max_by("word", F.when(T.is_content_word(often), F.struct("tf", -F.col("pos"))))
+    seed = F.coalesce(best, F.first("first", True))
+    c = c.groupBy(*CHAPTER).agg(F.first("scene", True).alias("scene"), F.sort_array(F.collect_list("name")).alias("names"), seed.alias("seed"), F.collect_list(often).alias("often"))
+    # a word that is capitalised but once, and in small letters elsewhere, is no name
+    named = F.filter("names", lambda x: ~(x["once"] & F.array_contains("often", F.lower(x["name"]))))
+    c = c.select(*CHAPTER, "scene.*", "seed", F.slice(named, 1, CAST)["name"].alias("names"))
+    rows = c.select("*", F.size("parts").alias("count"), F.posexplode_outer("parts").alias("ordinal", "part")).where("ordinal is not null")
     middle, names = F.col("ordinal") == F.floor(F.col("count") / 2), F.when(F.size("names") > 0, F.col("names"))
     cast = F.coalesce(names, F.array(*map(F.lit, NOBODY)))
     title = F.concat(F.coalesce(F.concat(F.lit("The "), T.capitalised(F.col("seed"))), F.lit("Chapter")), F.lit(" — "), F.element_at(F.array(*map(F.lit, SUBTITLES)), F.col("ordinal") + 1))
     quote = F.when(F.size("quotes") > 0, F.get("quotes", F.col("ordinal") % F.size("quotes")))
     speaker = F.when(quote.isNotNull() & names.isNotNull(), F.get("names", F.col("ordinal") % F.size("names")))
     return rows.select(
-        "doc_id", "chapter_idx", "ordinal", title.alias("title"), "part.sentences", "part.opening", "part.closing", F.when(middle, F.col("own")).otherwise(F.col("whole")).alias("mood"),
+        *CHAPTER, "ordinal", title.alias("title"), "part.sentences", "part.opening", "part.closing", F.when(middle, F.col("own")).otherwise(F.col("whole")).alias("mood"),
         F.array_join(F.when(middle, F.slice(cast, 1, 2)).otherwise(cast), "; ").alias("cast"), quote.alias("quote"), speaker.alias("speaker"),
     )
 
